@@ -12,7 +12,7 @@ class Params:
     trailing_window_days: int = 7
     min_arrival_exposure: float = 0.10
     arrival_cutoff_date: date | None = None
-    delivery_cost_per_order: float = 35.0
+    delivery_cost_per_order: float = 42.0
     # A running balance is cut into pieces of at most this many sequence numbers,
     # so no single batch can ever be one task's whole input.
     ledger_slice_width: int = 1 << 20

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larder.operators import aggregates, dimensions, facts, marts, staging
 from larder.params import Params
+from larder.plans.jobs import job_builders
 from larder.sources import seeds
 from larder.sources.tpch import LEDGER_SLICE_WIDTH, TpchFeeds
 from larder.workspace import Workspace
@@ -39,6 +40,8 @@ KEPT = {
     "stg_pos__orders", "stg_pos__order_lines", "stg_pos__order_items", "dim_product", "dim_date", "dim_promotion",
     "fct_order_item", "fct_order", "fct_inventory_movement", "fct_inventory_batch", "fct_availability_hour",
     "fct_clickstream", "fct_price_history", "agg_store_sku_day", "agg_intraday_arrival_curve", "mart_customer_360",
+    "mart_forecast_accuracy", "mart_demand_forecast", "mart_expiry_risk", "elasticity_panel", "mart_price_elasticity",
+    "rec_markdown", "rec_deal_slot", "rec_transfer_order", "rec_purchase_order", "event_panel", "uplift_panel",
 }
 
 
@@ -121,6 +124,7 @@ class Warehouse:
             "mart_cohort_retention": lambda: marts.mart_cohort_retention(t("fct_order"), t("mart_customer_360")),
             "dq_source_coverage": lambda: self._coverage(),
         }
+        builders.update(job_builders(self))
         if name not in builders:
             raise KeyError(f"no such table: {name}")
         return builders[name]()

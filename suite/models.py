@@ -12,14 +12,18 @@ from suite.spec import Query, columns, shape_spark, shape_sql, with_ctes
 LIBRARY = {**FEEDS, **MODELS}
 
 
-def over_warehouse(build, cols: str, sql: str | None) -> Query:
-    """A query whose Spark side takes the warehouse and whose SQL side reads the CTE library."""
+def over_library(library: dict[str, str], build, cols: str, sql: str | None) -> Query:
+    """A query whose Spark side takes the warehouse and whose SQL side reads a CTE library."""
     spec = columns(cols)
 
     def run(spark, folder):
         return shape_spark(build(open_tpch(spark, folder)), spec)
 
-    return Query(run, spec, with_ctes(shape_sql(sql, spec), LIBRARY) if sql else None)
+    return Query(run, spec, with_ctes(shape_sql(sql, spec), library) if sql else None)
+
+
+def over_warehouse(build, cols: str, sql: str | None) -> Query:
+    return over_library(LIBRARY, build, cols, sql)
 
 
 def table(name: str, cte: str, cols: str) -> Query:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from suite.decisions import decision_queries
 from suite.models import model_queries
+from suite.showcase import showcase_queries
 from suite.spec import Query
 
 
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for part in (model_queries,):
+    for part in (model_queries, showcase_queries, decision_queries):
         out.update(part())
     return out
