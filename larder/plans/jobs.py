@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from larder.decisions import elasticity, expiry, forecast
+from larder.decisions import elasticity, expiry, forecast, markdown, replenish, slots, transfers
 
 
 def features(wh, origins: DataFrame) -> DataFrame:
@@ -35,6 +35,30 @@ def position(wh) -> DataFrame:
     )
 
 
+def decisions(wh) -> DataFrame:
+    return markdown.markdown_decisions(
+        wh("mart_expiry_risk"), wh("fct_price_history"), wh("dim_product"), wh("mart_price_elasticity")
+    )
+
+
+def deal_candidates(wh) -> DataFrame:
+    return slots.deal_candidates(
+        wh("mart_expiry_risk"), wh("agg_store_sku_day"), wh("fct_price_history"), wh("dim_product")
+    )
+
+
+def transfer_candidates(wh) -> DataFrame:
+    return transfers.transfer_candidates(
+        wh("mart_expiry_risk"), wh("agg_store_sku_day"), wh("dim_store"), wh("dim_product")
+    )
+
+
+def replenish_candidates(wh) -> DataFrame:
+    return replenish.replenish_candidates(
+        wh("mart_demand_forecast"), wh("mart_expiry_risk"), wh("stg_wms__purchase_orders"), wh("dim_product")
+    )
+
+
 def job_builders(wh) -> dict:
     return {
         "mart_forecast_accuracy": lambda: forecast.backtest(wh("agg_store_sku_day"), wh("dim_product"), wh.params),
@@ -47,4 +71,10 @@ def job_builders(wh) -> dict:
             wh("agg_store_sku_day"), wh("fct_price_history"),
         ),
         "mart_price_elasticity": lambda: elasticity.estimate(wh("elasticity_panel")),
+        "rec_markdown": lambda: markdown.optimise(decisions(wh)),
+        "rec_deal_slot": lambda: slots.slot_recommendations(slots.deal_allocate(slots.deal_score(deal_candidates(wh)))),
+        "rec_transfer_order": lambda: transfers.transfer_plan(transfers.shelf_life_gate(transfer_candidates(wh))),
+        "rec_purchase_order": lambda: replenish.order_up_to(
+            replenish_candidates(wh), forecast.fit_dispersion(wh("mart_forecast_accuracy"))
+        ),
     }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from larder.decisions import expiry, forecast, elasticity
+from pyspark.sql import functions as F
+
+from larder.decisions import expiry, forecast, markdown, slots, transfers
 from larder.plans import jobs
 from suite.ctes_feeds import FEEDS
 from suite.ctes_jobs import JOBS
@@ -110,4 +112,110 @@ def decision_queries() -> dict[str, Query]:
             "l1_category:s dte_band:s observations:i discounted_observations:i elasticity_raw:5 standard_error:5 is_identified:b "
             "category_elasticity:5 category_standard_error:5 signal_weight:5 elasticity_shrunk:5 elasticity:5 elasticity_basis:s",
         ),
+        "n16_markdown_decisions": q(
+            lambda wh: jobs.decisions(wh),
+            "batch_id:s store_id:s sku_id:s l1_category:s dte_band:s qty_remaining:i base_price:2 posted_price:2 elasticity_raw:5 is_identified:b",
+        ),
+        "n16_posted_prices": q(
+            lambda wh: jobs.decisions(wh),
+            "batch_id:s store_id:s sku_id:s l1_category:s dte_band:s qty_remaining:i base_price:2 posted_price:2",
+            "select * from priced",
+        ),
+        "n17_markdown_grid": q(
+            lambda wh: markdown.evaluate(jobs.decisions(wh), F.lit(-1.6)),
+            "batch_id:s store_id:s sku_id:s depth:2 price:4 demand:5 batch_sold:5 total_sold:5 margin:4 spend:4",
+            "select * from grid",
+        ),
+        "n18_concave_frontier": q(
+            lambda wh: markdown.concave_frontier(markdown.evaluate(jobs.decisions(wh), F.lit(-1.6))).select(
+                "store_id", "batch_id", F.size("steps").alias("n_steps"),
+                F.element_at("steps", -1)["depth"].alias("deepest"), F.element_at("steps", -1)["margin"].alias("best_margin"),
+            ),
+            "store_id:s batch_id:s n_steps:i deepest:2 best_margin:4",
+            """with up as (select *, row_number() over (partition by batch_id order by spend, margin, depth) as n from grid),
+                    rising as (select * from up u where n = 1 or not exists (
+                      select 1 from up e where e.batch_id = u.batch_id and e.n < u.n and e.margin >= u.margin)),
+                    kept as (select * from rising i where n = 1 or not exists (
+                      select 1 from rising a join rising b on a.batch_id = b.batch_id where a.batch_id = i.batch_id and a.n < i.n and b.n > i.n
+                        and (b.margin - a.margin) * greatest(i.spend - a.spend, 1e-9) >= (i.margin - a.margin) * greatest(b.spend - a.spend, 1e-9)))
+               select store_id, batch_id, count(*) as n_steps, arg_max(depth, n) as deepest, arg_max(margin, n) as best_margin
+               from kept group by store_id, batch_id""",
+        ),
+        "n20_rec_markdown": q(
+            lambda wh: wh("rec_markdown"),
+            "batch_id:s store_id:s sku_id:s dte_band:s recommended_depth:2 recommended_price:2 unconstrained_depth:2 is_budget_constrained:b "
+            "expected_units_sold:4 expected_markdown_spend:4 expected_margin:4 margin_vs_do_nothing:4 decision:s decline_reason:s elasticity_used:5",
+        ),
+        "n20_elastic_plan": q(
+            lambda wh: markdown.optimise(
+                jobs.decisions(wh).withColumns({"elasticity_raw": F.lit(-1.6), "is_identified": F.lit(True)}), budget=100.0
+            ),
+            "batch_id:s store_id:s recommended_depth:2 unconstrained_depth:2 is_budget_constrained:b expected_markdown_spend:4 decision:s",
+        ),
+        "n21_monotonicity": q(
+            lambda wh: markdown.check_monotonicity(
+                wh("mart_expiry_risk").filter(F.col("days_to_expiry").between(1, 7)).select("days_to_expiry")
+            ),
+            "days_to_expiry:i depth:2 margin:4",
+            """select d as days_to_expiry, round(1 - r, 2) as depth, m as margin
+               from (select d, r, least(12 * d * pow(r, -1.6), 120) * (100 * r - 60) - (120 - least(12 * d * pow(r, -1.6), 120)) * 60 as m
+                     from (select distinct days_to_expiry as d from risk where days_to_expiry between 1 and 7),
+                          (select round(1 - n * 0.05::double, 2) as r from range(9) t(n)))
+               qualify row_number() over (partition by d order by round(m, 9) desc, r desc) = 1""",
+        ),
+        "n21_measured_profile": q(
+            lambda wh: markdown.measured_depth_profile(jobs.decisions(wh)),
+            "l1_category:s dte_band:s days_to_expiry:i elasticity:5 is_identified:b depth:2 margin:4",
+        ),
+        "n22_deal_candidates": q(
+            lambda wh: jobs.deal_candidates(wh),
+            "store_id:s sku_id:s date_day:d l2_subcategory:s is_private_label:b on_hand_units:i days_to_expiry:i units_at_risk:5 "
+            "value_at_risk:4 unit_landed_cost:2 base_units_per_day:6 base_price:2",
+            "select *, rate as base_units_per_day from deal_pool",
+        ),
+        "n23_deal_score": q(
+            lambda wh: slots.deal_score(jobs.deal_candidates(wh)),
+            "store_id:s sku_id:s expected_units:5 clearance_value:4 basket_value:4 cannibalisation_drag:4 item_margin_delta:4 slot_value:4",
+            "select * from deal_values",
+        ),
+        "n24_deal_slots": q(
+            lambda wh: wh("rec_deal_slot"),
+            "store_id:s sku_id:s slot_rank:i slot_value:4 is_private_label:b",
+            """select store_id, sku_id, row_number() over (partition by store_id order by slot_value desc, sku_id) as slot_rank, slot_value, is_private_label
+               from (select store_id, unnest(picks) as sku_id from deal_sets where labels >= 1
+                     qualify row_number() over (partition by store_id order by total desc) = 1)
+               join deal_values using (store_id, sku_id)""",
+        ),
+        "n25_breakeven_reactivation": q(
+            lambda wh: slots.breakeven_reactivation_value(slots.deal_score(jobs.deal_candidates(wh))),
+            "breakeven_reactivation_value:4",
+            """select coalesce(median(v), 0) as breakeven_reactivation_value
+               from (select -slot_value / (expected_units * 0.0283) as v from deal_values) where v > 0""",
+        ),
+        "n26_transfer_candidates": q(
+            lambda wh: jobs.transfer_candidates(wh),
+            "date_day:d from_store:s to_store:s sku_id:s km:3 units_at_risk:5 days_to_expiry:i unit_landed_cost:2 unmet_units:4 daily_rate:6 unit_margin:2",
+            "select * from arcs",
+        ),
+        "n27_shelf_life_gate": q(
+            lambda wh: transfers.shelf_life_gate(jobs.transfer_candidates(wh)),
+            "from_store:s to_store:s sku_id:s transit_hours:6 arc_cap:i unit_benefit:2",
+            """select *, cast(round(cap) as int) as arc_cap, unit_landed_cost + greatest(unit_margin, 0) as unit_benefit
+               from arcs where round(cap) >= 6""",
+        ),
+        "n28_transfer_plan": q(
+            lambda wh: wh("rec_transfer_order"),
+            "from_store:s to_store:s sku_id:s units:i avoided_writeoff:2 recovered_margin:2 trip_cost:2 trip_cost_share:4 net_benefit:4 method:s",
+        ),
+        "n30_replenish_candidates": q(
+            lambda wh: jobs.replenish_candidates(wh),
+            "store_id:s sku_id:s date_day:d l1_category:s shelf_life_days:i base_price:2 landed_cost:2 daily_forecast:6 on_hand_units:i "
+            "lead_days:4 mean_lead_days:6",
+            "select * from reorder",
+        ),
+        "n31_purchase_orders": q(
+            lambda wh: wh("rec_purchase_order"),
+            "store_id:s sku_id:s daily_forecast:6 critical_ratio:5 p_spoil:5 uncapped_order_up_to:0 shelf_life_cap:0 order_up_to:0 "
+            "is_shelf_life_capped:b on_hand_units:0 order_units:0",
+        ),
     }

@@ -180,6 +180,18 @@ def showcase_queries() -> dict[str, Query]:
                      join products p on p.sku_id = i.sku_id where line_type = 'sale' group by i.sku_id having count(distinct version_no) > 1)
                join products using (sku_id) order by round(abs(b - a), 2) desc, sku_id limit 40""",
         ),
+        "q13_expiry_markdown_decision": q(
+            sc.expiry_decisions,
+            "l1_category:s batches_at_risk:i value_at_risk_inr:0 units_at_risk:0 avg_days_to_expiry:1 avg_risk_score:3 marked_down:i "
+            "held_price:i no_coefficient:i pct_of_at_risk_acted_on:1",
+            None,
+        ),
+        "q14_promotion_lift_vs_fitted": q(
+            sc.promotion_lift_vs_fitted,
+            "l1_category:s dte_band:s discounted_days:i regular_days:i units_regular:2 units_discounted:2 naive_lift_pct:1 "
+            "avg_price_ratio:3 fitted_elasticity:4 is_identified:b elasticity_basis:s observations:i",
+            None,
+        ),
         "q14_naive_promotion_lift": q(
             sc.naive_promotion_lift,
             "l1_category:s dte_band:s discounted_days:i regular_days:i units_regular:2 units_discounted:2 naive_lift_pct:1 avg_price_ratio:3",
