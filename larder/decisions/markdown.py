@@ -12,10 +12,10 @@ from larder.workspace import cut_lineage
 
 DEPTHS = [round(0.05 * i, 2) for i in range(13)]
 BUDGET_PER_STORE_DAY = 1000.0
-# Why a batch gets no depth.
-NOT_ESTIMATED = "S4.1 fitted no coefficient for this category and DTE band"
-NO_SLOPE = "fitted, but the interval covers zero - no price response established"
-NO_HEADROOM = "no feasible price between landed cost and the price already posted"
+# Why a batch gets no depth.
+NOT_ESTIMATED = "no slope was fitted for this category and freshness band"
+NO_SLOPE = "the fitted slope cannot be told from zero"
+NO_HEADROOM = "no price fits between cost and the one already posted"
 
 
 def posted_prices(prices: DataFrame, as_of: Column) -> DataFrame:

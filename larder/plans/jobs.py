@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from larder.causal import deal, did, uplift
+from larder.causal.tree import CausalTree
+from larder.operators import marts
 from larder.decisions import elasticity, expiry, forecast, markdown, replenish, slots, transfers
 
 
@@ -59,6 +65,98 @@ def replenish_candidates(wh) -> DataFrame:
     )
 
 
+def retention(wh) -> DataFrame:
+    return deal.retention_outcomes(
+        wh("fct_order_item"), wh("agg_store_sku_day"), wh("dim_customer"), wh("stg_crm__deal_exposure")
+    )
+
+
+LEARNERS = {
+    "t_learner": uplift.t_learner,
+    "x_learner": uplift.x_learner,
+    "transformed_outcome": uplift.transformed_outcome,
+    "two_stage": uplift.two_stage,
+}
+
+
+def uplift_scores(wh, learner: str, outcome: str = "margin_post") -> DataFrame:
+    """Held-out customers scored by one learner, written once."""
+
+    def build() -> DataFrame:
+        train, score = uplift.split(wh("uplift_panel"))
+        if learner == "causal_tree":
+            # Smaller leaves than the default, so that small panels split as well.
+            fitted = CausalTree(uplift.NUMERIC, min_per_arm=30).fit(train, outcome)
+            return fitted.predict(score.select(*uplift.NUMERIC, *[c for c in uplift.KEPT if c not in uplift.NUMERIC]))
+        return LEARNERS[learner](train, score, outcome)
+
+    return wh.derive(f"uplift_{learner}_{outcome}", build)
+
+
+def behaviour_curve(wh) -> DataFrame:
+    """The gain curve of the simplest score: how much a customer bought before."""
+    return uplift.gain_curve(wh("uplift_panel").withColumn("uplift", F.col("units_pre")))
+
+
+def deal_readout(wh) -> DataFrame:
+    def build() -> DataFrame:
+        scored = {name: uplift_scores(wh, name) for name in ("t_learner", "x_learner", "causal_tree")}
+        judged = {name: uplift.qini(uplift.gain_curve(s)) for name, s in scored.items()}
+        churn = uplift_scores(wh, "causal_tree", "churned").select("customer_id", F.col("uplift").alias("churn_uplift"))
+        net = scored["causal_tree"].join(churn, "customer_id").withColumns(
+            {
+                "uplift": F.col("uplift") - F.col("churn_uplift") * deal.CUSTOMER_VALUE,
+                "net_post": F.col("margin_post") - F.col("churned") * deal.CUSTOMER_VALUE,
+            }
+        )
+        curve = uplift.targeting_curve(uplift.gain_curve(net, "net_post"))
+        return deal.deal_readout(
+            wh("fct_order_item"), wh("stg_crm__deal_exposure"), wh("event_panel"), retention(wh), wh("rec_deal_slot"), judged, curve
+        )
+
+    return wh.derive("deal_readout", build)
+
+
+def presented_readout(wh) -> DataFrame:
+    return marts.mart_deal_readout(deal_readout(wh))
+
+
+TRIAL_START = date(2025, 7, 1)
+
+
+def trial(wh) -> DataFrame:
+    """A store experiment over the warehouse: categories repeat it, every other store is treated."""
+    treated = F.substring("store_id", 5, 12).cast("int") % 2 == 0
+    return did.with_margin(did.experiment_panel(wh("agg_store_sku_day"), TRIAL_START, F.col("l1_category"), treated))
+
+
+def experiment(wh) -> DataFrame:
+    return did.experiment_readout(trial(wh))
+
+
+def presented_experiment(wh) -> DataFrame:
+    return marts.mart_experiment_readout(experiment(wh))
+
+
+def component_trial(wh) -> DataFrame:
+    """The trial with one component's part of the result taken out at a time."""
+    full = trial(wh)
+    without = {
+        "markdown": full.withColumn("revenue", F.col("revenue") + F.col("markdown_subsidy")),
+        "freshness": full.withColumns({"units_expired": F.lit(0), "writeoff_value": F.lit(0.0)}),
+        "availability": full.withColumn("units_lost", F.lit(0.0)),
+    }
+    frames = {did.FULL: full, **without}
+    same = {k: f.withColumns({"units_expired": F.col("units_expired").cast("long"), "margin": F.col("revenue") - F.col("cogs")}) for k, f in frames.items()}
+    return did.stack(same, "component")
+
+
+def swept_trial(wh, costs: tuple[float, ...] = (0.0, 42.0, 70.0)) -> DataFrame:
+    """The trial's margin at several delivery costs."""
+    priced = trial(wh).withColumns({"param": F.lit("delivery_cost"), "value": F.explode(F.array(*[F.lit(c) for c in costs]))})
+    return priced.withColumn("margin", F.col("margin") - F.col("value") * F.col("orders"))
+
+
 def job_builders(wh) -> dict:
     return {
         "mart_forecast_accuracy": lambda: forecast.backtest(wh("agg_store_sku_day"), wh("dim_product"), wh.params),
@@ -77,4 +175,8 @@ def job_builders(wh) -> dict:
         "rec_purchase_order": lambda: replenish.order_up_to(
             replenish_candidates(wh), forecast.fit_dispersion(wh("mart_forecast_accuracy"))
         ),
+        "event_panel": lambda: deal.event_panel(wh("fct_price_history"), wh("agg_store_sku_day")),
+        "uplift_panel": lambda: deal.uplift_panel(wh("fct_order_item"), wh("dim_customer"), wh("stg_crm__deal_exposure")),
+        "mart_deal_readout": lambda: presented_readout(wh),
+        "mart_experiment_readout": lambda: presented_experiment(wh),
     }

@@ -30,7 +30,7 @@ LEDGER_SLICE_WIDTH = SEQ_SKU_SPAN << 20
 
 PROMO_BY_RULE = (
     "case when rule = 0 and dw < 5 then 'PROMO-MD-30' when rule = 1 and dw < 3 then 'PROMO-MD-50' "
-    "when rule = 2 and dw < 4 then 'PROMO-DEAL11' when rule = 3 and dw < 2 then 'PROMO-MD-50' "
+    "when rule = 2 and dw < 4 and day_idx between 182 and 321 then 'PROMO-DEAL11' when rule = 3 and dw < 2 then 'PROMO-MD-50' "
     "when rule = 4 and dw in (0, 1, 2, 4) then 'PROMO-MD-30' end"
 )
 

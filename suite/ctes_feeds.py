@@ -18,7 +18,7 @@ select o_orderkey, o_custkey, store_no, sku_no, day_idx, day_idx // 15 as block,
             when 'PROMO-DEAL11' then 11.0 else base_price end as realized_price
 from (
   select *, case when rule = 0 and dw < 5 then 'PROMO-MD-30' when rule = 1 and dw < 3 then 'PROMO-MD-50'
-       when rule = 2 and dw < 4 then 'PROMO-DEAL11' when rule = 3 and dw < 2 then 'PROMO-MD-50'
+       when rule = 2 and dw < 4 and day_idx between 182 and 321 then 'PROMO-DEAL11' when rule = 3 and dw < 2 then 'PROMO-MD-50'
        when rule = 4 and dw in (0, 1, 2, 4) then 'PROMO-MD-30' end as promo_id
   from (
     select h.*, l.sku_no, l.qty, l.is_returned, l.suppkey,
@@ -134,7 +134,7 @@ select 'STR-' || store_no as store_id, 'SKU-' || lpad(cast(sku_no as varchar), 5
        date '2025-01-01' + cast(day_idx as int) as dt
 from (
   select *, case when rule = 0 and dw < 5 then 'PROMO-MD-30' when rule = 1 and dw < 3 then 'PROMO-MD-50'
-       when rule = 2 and dw < 4 then 'PROMO-DEAL11' when rule = 3 and dw < 2 then 'PROMO-MD-50'
+       when rule = 2 and dw < 4 and day_idx between 182 and 321 then 'PROMO-DEAL11' when rule = 3 and dw < 2 then 'PROMO-MD-50'
        when rule = 4 and dw in (0, 1, 2, 4) then 'PROMO-MD-30' end as p
   from (select a.*, (a.sku_no * 31 + store_no * 17 + (day_idx // 7) * 13) % 20 as rule, day_idx % 7 as dw,
                cast(base0 + case when (day_idx // 45 + a.sku_no) % 3 = 0 then 1 else 0 end as double) as base_price

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from suite.causal import causal_queries
 from suite.decisions import decision_queries
 from suite.models import model_queries
 from suite.showcase import showcase_queries
@@ -10,6 +11,6 @@ from suite.spec import Query
 
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for part in (model_queries, showcase_queries, decision_queries):
+    for part in (model_queries, showcase_queries, decision_queries, causal_queries):
         out.update(part())
     return out
