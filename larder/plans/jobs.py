@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from larder.causal import deal, did, uplift
 from larder.causal.tree import CausalTree
 from larder.operators import marts
+from larder.quality.results import dq_test_results
 from larder.decisions import elasticity, expiry, forecast, markdown, replenish, slots, transfers
 
 
@@ -179,4 +180,5 @@ def job_builders(wh) -> dict:
         "uplift_panel": lambda: deal.uplift_panel(wh("fct_order_item"), wh("dim_customer"), wh("stg_crm__deal_exposure")),
         "mart_deal_readout": lambda: presented_readout(wh),
         "mart_experiment_readout": lambda: presented_experiment(wh),
+        "dq_test_results": lambda: dq_test_results(wh),
     }

@@ -41,7 +41,7 @@ KEPT = {
     "fct_order_item", "fct_order", "fct_inventory_movement", "fct_inventory_batch", "fct_availability_hour",
     "fct_clickstream", "fct_price_history", "agg_store_sku_day", "agg_intraday_arrival_curve", "mart_customer_360",
     "mart_forecast_accuracy", "mart_demand_forecast", "mart_expiry_risk", "elasticity_panel", "mart_price_elasticity",
-    "rec_markdown", "rec_deal_slot", "rec_transfer_order", "rec_purchase_order", "event_panel", "uplift_panel",
+    "rec_markdown", "rec_deal_slot", "rec_transfer_order", "rec_purchase_order", "event_panel", "uplift_panel", "dq_test_results",
 }
 
 
