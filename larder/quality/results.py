@@ -17,10 +17,14 @@ def coverage_scan(coverage: DataFrame) -> DataFrame:
         F.count(F.when(F.col("is_missing_partition"), 1)).alias("missing"), F.count("*").alias("n"),
     )
     missing = F.col("missing")
+
+    def check(name: str, value, status):
+        return F.struct(F.lit(name).alias("check_name"), value.alias("value"), status.alias("status"))
+
     rows = F.array(
-        F.struct(F.lit("no_feed_is_stale").alias("check_name"), F.col("stale").alias("value"), F.when(F.col("stale") > 0, "fail").otherwise("pass").alias("status")),
-        F.struct(F.lit("no_partition_is_missing"), missing, F.when(missing > MISSING_FAIL, "fail").when(missing > 0, "warn").otherwise("pass")),
-        F.struct(F.lit("coverage_is_measured"), F.col("n"), F.when(F.col("n") > 0, "pass").otherwise("fail")),
+        check("no_feed_is_stale", F.col("stale"), F.when(F.col("stale") > 0, "fail").otherwise("pass")),
+        check("no_partition_is_missing", missing, F.when(missing > MISSING_FAIL, "fail").when(missing > 0, "warn").otherwise("pass")),
+        check("coverage_is_measured", F.col("n"), F.when(F.col("n") > 0, "pass").otherwise("fail")),
     )
     return sums.select(F.explode(rows).alias("r")).select("r.*")
 
