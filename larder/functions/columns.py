@@ -49,10 +49,29 @@ def changed(now: Column, before: Column) -> Column:
     return ~now.eqNullSafe(before)
 
 
+def minute_number(ts: Column) -> Column:
+    """Whole minutes of a zoneless timestamp since 1970, whatever the session's time zone."""
+    return F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint") * 1440 + F.hour(ts) * 60 + F.minute(ts)
+
+
+def hour_number(ts: Column) -> Column:
+    return F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint") * 24 + F.hour(ts)
+
+
 def minutes_between(start: Column, end: Column) -> Column:
     """Minute boundaries crossed from start to end."""
-    whole = [F.date_trunc("minute", c).cast("timestamp_ntz") for c in (start, end)]
-    return F.timestamp_diff("MINUTE", *whole)
+    return minute_number(end) - minute_number(start)
+
+
+def utc_instant(ts: Column) -> Column:
+    """A zoneless UTC timestamp as an instant."""
+    return F.concat(ts.cast("string"), F.lit("Z")).cast("timestamp")
+
+
+def utc_wall_time(instant: Column) -> Column:
+    """An instant as a zoneless UTC timestamp."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.unix_micros(instant) / F.lit(1e6))
 
 
 def months_between_starts(start: Column, end: Column) -> Column:

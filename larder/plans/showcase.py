@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.functions.columns import changed, sum_where
+from larder.functions.columns import changed, hour_number, sum_where
 from larder.functions.ordered import global_running, islands, latest_per_key, run_window, running_sum, top_per_group
 from larder.functions.ranges import band_of, in_force
 from larder.operators.facts import RECEIPT_EVENTS
@@ -107,7 +107,7 @@ def browse_bursts(wh, min_hours: int = 3, limit: int | None = 50) -> DataFrame:
             F.sum("censored_event_count").alias("censored_events"),
         )
     )
-    hour = F.timestamp_diff("HOUR", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("hour_ts_ist"))
+    hour = hour_number(F.col("hour_ts_ist"))
     seq = F.row_number().over(run_window(["store_id", "sku_id"], "hour_ts_ist"))
     bursts = (
         hourly.withColumn("island", hour - seq)

@@ -114,7 +114,7 @@ def contract_results(df: DataFrame, table: str, contract: Contract, lookup: Call
     parts = [one_pass.select(F.explode(packed).alias("x")).select("x.check_name", "x.column_name", "x.failed_rows")]
     for keys in [(c,) for c in contract.unique] + list(contract.compound_unique):
         kind = "unique" if len(keys) == 1 else "compound_unique"
-        repeated = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+        repeated = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("_copies")).filter("_copies > 1")
         parts.append(repeated.agg(F.count("*").alias("failed_rows")).select(F.lit(kind).alias("check_name"), F.lit(",".join(keys)).alias("column_name"), "failed_rows"))
     for column, parent, key in contract.references:
         parents = lookup(parent).select(F.col(key).alias(column)).distinct()

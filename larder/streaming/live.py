@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from larder.functions.columns import conformed_sku_id, row_hash
+from larder.functions.columns import conformed_sku_id, row_hash, utc_instant, utc_wall_time
 from larder.operators.staging import ORDER_COLUMNS
 from larder.sources.feeds import feed_schema
 
@@ -22,15 +22,10 @@ def stream_feed(spark: SparkSession, root: str, name: str, files_per_trigger: in
     return reader.parquet(f"{root}/{name}")
 
 
-def _event_time(column: str):
-    """Watermarks need an instant: the zoneless time is read as UTC."""
-    return F.to_utc_timestamp(F.col(column).cast("timestamp"), F.current_timezone())
-
-
 def deduplicated_orders(orders: DataFrame) -> DataFrame:
     """Orders retried within the allowed lateness, once each; state is bounded by the watermark."""
     return (
-        orders.withColumns({"row_hash": row_hash(ORDER_COLUMNS), "event_time": _event_time("order_ts")})
+        orders.withColumns({"row_hash": row_hash(ORDER_COLUMNS), "event_time": utc_instant(F.col("order_ts"))})
         .withWatermark("event_time", LATENESS)
         .dropDuplicatesWithinWatermark(["row_hash"])
     )
@@ -39,11 +34,11 @@ def deduplicated_orders(orders: DataFrame) -> DataFrame:
 def hourly_clicks(clicks: DataFrame) -> DataFrame:
     """Events per store, SKU and UTC hour, emitted when the watermark has passed the hour."""
     return (
-        clicks.withColumns({"event_time": _event_time("event_ts_utc"), "sku_id": conformed_sku_id(F.col("sku_id"))})
+        clicks.withColumns({"event_time": utc_instant(F.col("event_ts_utc")), "sku_id": conformed_sku_id(F.col("sku_id"))})
         .withWatermark("event_time", LATENESS)
         .groupBy(F.window("event_time", "1 hour"), "store_id", "sku_id", "event_type", "was_in_stock")
         .agg(F.count("*").alias("event_count"))
-        .select(F.col("window.start").alias("hour_utc"), "store_id", "sku_id", "event_type", "was_in_stock", "event_count")
+        .select(utc_wall_time(F.col("window.start")).alias("hour_utc"), "store_id", "sku_id", "event_type", "was_in_stock", "event_count")
     )
 
 
@@ -54,7 +49,7 @@ def browse_sessions(clicks: DataFrame, gap: str = "1 hour", min_span_hours: int
     """
     sessions = (
         clicks.filter(F.col("event_type") == "pdp_view")
-        .withColumns({"event_time": _event_time("event_ts_utc"), "sku_id": conformed_sku_id(F.col("sku_id"))})
+        .withColumns({"event_time": utc_instant(F.col("event_ts_utc")), "sku_id": conformed_sku_id(F.col("sku_id"))})
         .withWatermark("event_time", LATENESS)
         .groupBy(F.session_window("event_time", gap), "store_id", "sku_id")
         .agg(F.count("*").alias("events"), F.min("event_time").alias("first_event"), F.max("event_time").alias("last_event"))

@@ -14,6 +14,8 @@ def canonical(frame):
     import pandas as pd
 
     out = pd.DataFrame()
+    if frame.empty:
+        return pd.DataFrame({c: pd.Series(dtype=object) for c in sorted(frame.columns)})
     for c in sorted(frame.columns):
         col = frame[c]
         if pd.api.types.is_bool_dtype(col):

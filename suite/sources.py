@@ -159,13 +159,22 @@ def source_queries() -> dict[str, Query]:
         ),
         "r02_stream_hourly_clicks": q(
             lambda wh: streamed(wh, "clickstream", live.hourly_clicks).groupBy("store_id", "sku_id", "event_type", "was_in_stock", F.col("hour_utc").cast("date").alias("day_utc")).agg(F.sum("event_count").alias("event_count")),
-            "store_id:s sku_id:s event_type:s was_in_stock:b event_count:i",
+            "store_id:s sku_id:s event_type:s was_in_stock:b day_utc:d event_count:i",
+            """select store_id, if(sku_id like 'SKU\\_%' escape '\\', 'SKU-' || lpad(sku_id[5:], 5, '0'), sku_id) as sku_id, event_type, was_in_stock,
+                      event_date as day_utc, count(*) as event_count from clickstream
+               where date_trunc('hour', event_ts_utc) + interval 1 hour <= (select max(event_ts_utc) from clickstream) - interval 48 hour group by all""",
         ),
         "r03_stream_upsert": q(
             streamed_upsert, "store_id:s sku_id:s date_day:d units_sold:i net_revenue:2",
             "select store_id, sku_id, date_day, sum(signed_qty) as units_sold, sum(net_revenue) as net_revenue from order_item group by all",
         ),
         "r04_stream_sessions": q(
-            lambda wh: streamed(wh, "clickstream", live.browse_sessions), "store_id:s sku_id:s events:i"
+            lambda wh: streamed(wh, "clickstream", live.browse_sessions), "store_id:s sku_id:s events:i",
+            """with v as (select store_id, if(sku_id like 'SKU\\_%' escape '\\', 'SKU-' || lpad(sku_id[5:], 5, '0'), sku_id) as sku, event_ts_utc as ts
+                          from clickstream where event_type = 'pdp_view'),
+                    w as (select *, sum(opens) over (partition by store_id, sku order by ts) as session
+                          from (select *, case when ts < lag(ts) over (partition by store_id, sku order by ts) + interval 1 hour then 0 else 1 end as opens from v))
+               select store_id, sku as sku_id, count(*) as events from w group by store_id, sku, session
+               having max(ts) >= min(ts) + interval 2 hour and max(ts) + interval 1 hour <= (select max(ts) from v) - interval 48 hour""",
         ),
     }
