@@ -27,16 +27,15 @@ def posted_prices(prices: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def markdown_decisions(risk: DataFrame, prices: DataFrame, products: DataFrame, elasticity: DataFrame) -> DataFrame:
+def priced_batches(risk: DataFrame, prices: DataFrame, products: DataFrame) -> DataFrame:
+    """Batches at risk with their freshness band, list price and the price posted that day."""
     as_of = risk.agg(F.max("date_day")).scalar()
     at_risk = risk.filter((F.col("risk_state") == "at_risk") & (F.col("qty_remaining") > 0)).withColumn(
         "dte_band", band_of(F.col("days_to_expiry"), DTE_BANDS)
     )
-    slopes = elasticity.select("l1_category", "dte_band", "elasticity_raw", "is_identified", "elasticity_basis")
     return (
         at_risk.join(products.select("sku_id", F.col("base_price").alias("list_price")), "sku_id")
         .join(posted_prices(prices, as_of), ["store_id", "sku_id"], "left")
-        .join(slopes, ["l1_category", "dte_band"], "left")
         .withColumns(
             {"base_price": F.coalesce("posted_base", "list_price"), "posted_price": F.coalesce("posted_price", "list_price")}
         )
@@ -44,6 +43,11 @@ def markdown_decisions(risk: DataFrame, prices: DataFrame, products: DataFrame,
     )
 
 
+def markdown_decisions(risk: DataFrame, prices: DataFrame, products: DataFrame, elasticity: DataFrame) -> DataFrame:
+    slopes = elasticity.select("l1_category", "dte_band", "elasticity_raw", "is_identified", "elasticity_basis")
+    return priced_batches(risk, prices, products).join(slopes, ["l1_category", "dte_band"], "left")
+
+
 def evaluate(decisions: DataFrame, beta: Column, depths=DEPTHS, disposal_cost: float = 0.0) -> DataFrame:
     """Demand, units, margin and spend of every feasible price of every batch.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.columns import sum_where
-from larder.functions.ordered import top_per_group
+from larder.functions.ordered import exact_median, top_per_group
 from larder.decisions.markdown import posted_prices
 
 # The deal price and the measured effects the score rests on.
@@ -139,6 +139,5 @@ def breakeven_reactivation_value(scored: DataFrame) -> DataFrame:
     """Median of what a reactivation must be worth for a candidate to pay for itself."""
     without = F.col("clearance_value") + F.col("basket_value") + F.col("item_margin_delta")
     needed = scored.select((-without / F.nullif(F.col("expected_units") * REACTIVATION, F.lit(0.0))).alias("needed"))
-    return needed.filter("needed > 0").agg(
-        F.coalesce(F.percentile("needed", F.lit(0.5)), F.lit(0.0)).alias("breakeven_reactivation_value")
-    )
+    median = exact_median(needed.filter("needed > 0"), "needed", "m")
+    return median.select(F.coalesce("m", F.lit(0.0)).alias("breakeven_reactivation_value"))

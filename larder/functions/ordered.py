@@ -85,27 +85,45 @@ def global_running(
     return out.drop("_range", *[f"_v_{n}" for n in sums], *[f"_b_{n}" for n in sums])
 
 
-def quantile_starts(df: DataFrame, value: str, parts: int) -> DataFrame:
-    """One row: for k in 1..parts-1, the smallest value whose cume_dist exceeds k/parts.
+def quantile_starts(df: DataFrame, values: Sequence[str], parts: int) -> dict[str, list]:
+    """Per column, for k in 1..parts-1, the smallest value whose cume_dist exceeds k/parts.
 
     ``ceil(parts * cume_dist)`` is then 1 plus the number of starts at or below the value. Ties
-    are counted, not sorted, so a value shared by a third of the rows is one row here.
+    are counted, not sorted, so a value shared by a third of the rows is one row here, and all
+    columns are ranked in one pass. Only ``parts - 1`` numbers per column reach the driver.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    ranked = global_running(counts, [F.col(value).asc()], {"_upto": F.col("_n")})
-    total = ranked.agg(F.max("_upto")).scalar()
-    return ranked.withColumn("_all", total).agg(
-        *[
-            F.min(F.when(F.col("_upto") * parts > F.col("_all") * k, F.col(value))).alias(f"start_{k}")
-            for k in range(1, parts)
-        ]
+    pairs = F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("value")) for v in values])
+    counts = (
+        df.select(F.explode(pairs).alias("p")).select("p.name", "p.value").filter("value is not null")
+        .groupBy("name", "value").agg(F.count("*").alias("n"))
+    )
+    ranked = global_running(counts, [F.asc("name"), F.asc("value")], {"upto": F.col("n")})
+    spans = ranked.groupBy("name").agg(F.sum("n").alias("total"), F.max("upto").alias("end"))
+    within = ranked.join(F.broadcast(spans), "name").withColumn("upto", F.col("upto") - F.col("end") + F.col("total"))
+    starts = within.groupBy("name").agg(
+        *[F.min(F.when(F.col("upto") * parts > F.col("total") * k, F.col("value"))).alias(f"s{k}") for k in range(1, parts)]
+    )
+    found = {r["name"]: [r[f"s{k}"] for k in range(1, parts)] for r in starts.collect()}
+    return {v: found.get(v, [None] * (parts - 1)) for v in values}
+
+
+def exact_median(df: DataFrame, value: str, name: str) -> DataFrame:
+    """The middle value, or the mean of the two, from positions in one global order."""
+    known = df.select(F.col(value).cast("double").alias("v")).filter("v is not null")
+    counts = known.groupBy("v").agg(F.count("*").alias("n"))
+    ranked = global_running(counts, [F.asc("v")], {"upto": F.col("n")})
+    total = ranked.agg(F.sum("n")).scalar()
+    placed = ranked.withColumn("total", total)
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    return placed.agg(
+        ((F.min(F.when(F.col("upto") >= low, F.col("v"))) + F.min(F.when(F.col("upto") >= high, F.col("v")))) / 2).alias(name)
     )
 
 
-def quantile_score(value: Column, starts: Sequence[Column]) -> Column:
+def quantile_score(value: Column, starts: Sequence) -> Column:
     score = F.lit(1)
     for start in starts:
-        score = score + F.when(value >= start, 1).otherwise(0)
+        score = score + F.when(value >= F.lit(start), 1).otherwise(0)
     return score.cast("int")
 
 

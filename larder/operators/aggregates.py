@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,12 +136,10 @@ def agg_store_sku_day(
     if rebuild_from is not None:
         read_from = F.date_sub(F.lit(rebuild_from), params.trailing_window_days)
         sources = [(df.filter(F.col("date_day") >= read_from), fn) for df, fn in sources]
-    sales, stock, shelf, browsing = [fn(df) for df, fn in sources]
-    # Outer joins on one key are the key spine and the lookups in a single pass: the four inputs
-    # are each hash-partitioned on the cell once.
-    cells = (
-        sales.join(stock, CELL, "full_outer").join(shelf, CELL, "full_outer").join(browsing, CELL, "full_outer")
-    )
+    # The four inputs have disjoint columns, so stacking them and grouping once is the key spine
+    # and all four lookups together: no sort, and no join that could skew.
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [fn(df) for df, fn in sources])
+    cells = stacked.groupBy(*CELL).agg(*[F.max(c).alias(c) for c in stacked.columns if c not in CELL])
     additive = [
         "units_sold", "gross_units", "returned_units", "order_count", "net_revenue", "gross_revenue", "discount_value",
         "cogs", "gross_margin", "markdown_units", "markdown_subsidy_platform", "markdown_subsidy_brand",

@@ -180,7 +180,7 @@ def price_days(prices: DataFrame, promotions: DataFrame) -> DataFrame:
             F.min("realized_price").alias("realized_price"),
             F.max("realized_price").alias("realized_price_high"),
             F.max_by("promo_id", depth).alias("promo_id"),
-            F.array_sort(F.collect_list("promo_id")).alias("stacked_promo_ids"),
+            F.array_sort(F.collect_set("promo_id")).alias("stacked_promo_ids"),
             F.count("*").alias("promo_count"),
         )
     )
@@ -207,7 +207,7 @@ def fct_price_history(prices: DataFrame, promotions: DataFrame) -> DataFrame:
         F.min("promo_id").alias("promo_id"),
         F.max("promo_count").alias("max_promos_active"),
         F.max(F.col("promo_count") > 1).alias("is_promo_stacked"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("stacked_promo_ids")))).alias("stacked_promo_ids"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("stacked_promo_ids")))).alias("stacked_promo_ids"),
     )
     last = prices.agg(F.max("effective_date")).scalar()
     off = F.col("base_price") - F.col("realized_price")

@@ -91,15 +91,14 @@ def mart_customer_360(customers: DataFrame, orders: DataFrame, params: Params) -
 def score_customers(base: DataFrame, first_month: Column, last_month: Column, params: Params) -> DataFrame:
     """Fifth-of-the-base scores and the segment rules; the order of the rules matters."""
     active = base.filter("orders_lifetime > 0").withColumn("staleness", -F.col("recency_days"))
-    scores = {}
-    for name, measure in (("r_score", "staleness"), ("f_score", "orders_lifetime"), ("m_score", "gmv_lifetime")):
-        # Four cut values per measure, found without sorting the customers into one task.
-        starts = quantile_starts(active.select(measure), measure, 5)
-        value = -F.col("recency_days") if measure == "staleness" else F.col(measure)
-        scores[name] = F.when(
-            F.col("orders_lifetime") > 0,
-            quantile_score(value, [starts.select(f"start_{k}").scalar() for k in range(1, 5)]),
-        )
+    measures = {"r_score": "staleness", "f_score": "orders_lifetime", "m_score": "gmv_lifetime"}
+    # Four cut values per measure, found without sorting the customers into one task.
+    starts = quantile_starts(active, list(measures.values()), 5)
+    value = {"staleness": -F.col("recency_days")}
+    scores = {
+        name: F.when(F.col("orders_lifetime") > 0, quantile_score(value.get(m, F.col(m)), starts[m]))
+        for name, m in measures.items()
+    }
     cost = params.delivery_cost_per_order
     scored = base.withColumns(scores).withColumns(
         {

@@ -48,6 +48,10 @@ def decisions(wh) -> DataFrame:
     )
 
 
+def priced(wh) -> DataFrame:
+    return markdown.priced_batches(wh("mart_expiry_risk"), wh("fct_price_history"), wh("dim_product"))
+
+
 def deal_candidates(wh) -> DataFrame:
     return slots.deal_candidates(
         wh("mart_expiry_risk"), wh("agg_store_sku_day"), wh("fct_price_history"), wh("dim_product")

@@ -165,22 +165,22 @@ def basket_pairs(baskets: DataFrame, min_orders: int, large_basket: int = 64, sa
     """
     support = baskets.groupBy("sku_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min_orders)
     likely = baskets.join(support.select("sku_id"), "sku_id", "left_semi")
-    sizes = likely.groupBy("order_id").agg(F.count("*").alias("size")).filter("size > 1")
-    sized = likely.join(sizes, "order_id")
-    large = F.col("size") > large_basket
-    left = sized.select(
-        "order_id", F.col("sku_id").alias("sku_a"),
-        F.when(large, F.pmod(F.xxhash64("sku_id"), F.lit(salts))).otherwise(0).alias("salt"),
-    )
-    right = sized.select(
-        "order_id", F.col("sku_id").alias("sku_b"),
-        F.explode(
-            F.when(large, F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")).otherwise(F.array(F.lit(0).cast("bigint")))
-        ).alias("salt"),
-    )
+    # Baskets hold distinct SKUs, so one order is never longer than the catalogue. Hashing on the
+    # order once serves its size and, for ordinary baskets, both sides of the pairing.
+    size = F.count("*").over(Window.partitionBy("order_id"))
+    sized = likely.repartition("order_id").withColumn("size", size)
+
+    def pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        return left.withColumnRenamed("sku_id", "sku_a").join(right.withColumnRenamed("sku_id", "sku_b"), on).filter(
+            F.col("sku_a") < F.col("sku_b")
+        ).select("sku_a", "sku_b")
+
+    small = sized.filter((F.col("size") > 1) & (F.col("size") <= large_basket)).select("order_id", "sku_id")
+    large = sized.filter(F.col("size") > large_basket).select("order_id", "sku_id")
+    spread = large.withColumn("salt", F.pmod(F.xxhash64("sku_id"), F.lit(salts)))
+    copied = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     return (
-        left.join(right, ["order_id", "salt"])
-        .filter(F.col("sku_a") < F.col("sku_b"))
+        pairs(small, small, ["order_id"]).unionByName(pairs(spread, copied, ["order_id", "salt"]))
         .groupBy("sku_a", "sku_b")
         .agg(F.count("*").alias("orders_with_both"))
         .filter(F.col("orders_with_both") >= min_orders)

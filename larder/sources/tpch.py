@@ -28,6 +28,9 @@ SEQ_SKU_SPAN = 512
 # Rows of one batch inside this much sequence: at most 2^20 order keys of one day and SKU.
 LEDGER_SLICE_WIDTH = SEQ_SKU_SPAN << 20
 
+# Feeds that several models read are written once, as the raw layer of a warehouse is.
+LANDED = {"sold", "receipts", "pos_orders", "pos_order_items", "wms_inventory_movement"}
+
 PROMO_BY_RULE = (
     "case when rule = 0 and dw < 5 then 'PROMO-MD-30' when rule = 1 and dw < 3 then 'PROMO-MD-50' "
     "when rule = 2 and dw < 4 and day_idx between 182 and 321 then 'PROMO-DEAL11' when rule = 3 and dw < 2 then 'PROMO-MD-50' "
@@ -97,7 +100,8 @@ class TpchFeeds:
 
     def __call__(self, name: str) -> DataFrame:
         if name not in self._made:
-            self._made[name] = getattr(self, f"_{name}")()
+            made = getattr(self, f"_{name}")()
+            self._made[name] = self._keep(made, f"tpch_{name}") if name in LANDED else made
         return self._made[name]
 
     def _read(self, name: str) -> DataFrame:
@@ -138,12 +142,9 @@ class TpchFeeds:
             self("skus").select("sku_no", "base0"), "sku_no"
         )
         priced = _promotions(_prices(rows)).withColumn("block", F.expr(f"day_idx div {BATCH_DAYS}"))
-        return self._keep(
-            priced.select(
-                "o_orderkey", "o_custkey", "store_no", "sku_no", "day_idx", "block", "qty", "is_returned",
-                "suppkey", "base_price", "landed_cost", "promo_id", "realized_price",
-            ),
-            "tpch_sold",
+        return priced.select(
+            "o_orderkey", "o_custkey", "store_no", "sku_no", "day_idx", "block", "qty", "is_returned",
+            "suppkey", "base_price", "landed_cost", "promo_id", "realized_price",
         )
 
     def _assortment_days(self) -> DataFrame:
@@ -243,10 +244,7 @@ class TpchFeeds:
                 "shelf": _shelf_life(),
             }
         ).withColumn("expiry_idx", F.col("day_idx") + F.col("shelf"))
-        return self._keep(
-            _prices(dated.join(self("skus").select("sku_no", "base0"), "sku_no")).drop("base0", "base_price"),
-            "tpch_receipts",
-        )
+        return _prices(dated.join(self("skus").select("sku_no", "base0"), "sku_no")).drop("base0", "base_price")
 
     def _wms_inventory_batch(self) -> DataFrame:
         opening = F.col("block") == 0

@@ -117,17 +117,17 @@ def decision_queries() -> dict[str, Query]:
             "batch_id:s store_id:s sku_id:s l1_category:s dte_band:s qty_remaining:i base_price:2 posted_price:2 elasticity_raw:5 is_identified:b",
         ),
         "n16_posted_prices": q(
-            lambda wh: jobs.decisions(wh),
+            lambda wh: jobs.priced(wh),
             "batch_id:s store_id:s sku_id:s l1_category:s dte_band:s qty_remaining:i base_price:2 posted_price:2",
             "select * from priced",
         ),
         "n17_markdown_grid": q(
-            lambda wh: markdown.evaluate(jobs.decisions(wh), F.lit(-1.6)),
+            lambda wh: markdown.evaluate(jobs.priced(wh), F.lit(-1.6)),
             "batch_id:s store_id:s sku_id:s depth:2 price:4 demand:5 batch_sold:5 total_sold:5 margin:4 spend:4",
             "select * from grid",
         ),
         "n18_concave_frontier": q(
-            lambda wh: markdown.concave_frontier(markdown.evaluate(jobs.decisions(wh), F.lit(-1.6))).select(
+            lambda wh: markdown.concave_frontier(markdown.evaluate(jobs.priced(wh), F.lit(-1.6))).select(
                 "store_id", "batch_id", F.size("steps").alias("n_steps"),
                 F.element_at("steps", -1)["depth"].alias("deepest"), F.element_at("steps", -1)["margin"].alias("best_margin"),
             ),
@@ -148,7 +148,9 @@ def decision_queries() -> dict[str, Query]:
         ),
         "n20_elastic_plan": q(
             lambda wh: markdown.optimise(
-                jobs.decisions(wh).withColumns({"elasticity_raw": F.lit(-1.6), "is_identified": F.lit(True)}), budget=100.0
+                jobs.priced(wh).withColumns(
+                    {"elasticity_raw": F.lit(-1.6), "is_identified": F.lit(True), "elasticity_basis": F.lit("assumed")}
+                ), budget=100.0
             ),
             "batch_id:s store_id:s recommended_depth:2 unconstrained_depth:2 is_budget_constrained:b expected_markdown_spend:4 decision:s",
         ),

@@ -33,12 +33,19 @@ def test_global_running_splits_ties(spark):
 def test_fifth_scores_equal_cume_dist(spark):
     pdf = pd.DataFrame({"id": range(503), "x": np.where(np.arange(503) % 3 == 0, 4, rng.integers(0, 40, 503))})
     df = spark.createDataFrame(pdf)
-    starts = ordered.quantile_starts(df, "x", 5)
-    got = df.withColumn("s", ordered.quantile_score(F.col("x"), [starts.select(f"start_{k}").scalar() for k in range(1, 5)])).toPandas()
+    starts = ordered.quantile_starts(df, ["x", "id"], 5)
+    got = df.withColumn("s", ordered.quantile_score(F.col("x"), starts["x"])).toPandas()
+    assert starts["id"] == [float(int(503 * k / 5)) for k in range(1, 5)]
     cume = pdf.x.rank(method="max") / len(pdf)
     assert (got.sort_values("id").s.to_numpy() == np.ceil(5 * cume - 1e-12).to_numpy()).all()
 
 
+def test_exact_median(spark):
+    for values in ([3.0], [1.0, 2.0, 2.0, 9.0], [5.0, 1.0, 7.0, 2.0, 2.0], rng.random(100).tolist()):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        assert ordered.exact_median(df, "x", "m").first().m == float(np.median(values))
+
+
 def test_first_arrival_and_latest(spark):
     df = spark.createDataFrame([("a", 1, 3), ("a", 1, 2), ("b", None, 5), ("b", None, 4)], "k string, v int, t int")
     assert sorted(ordered.first_arrival(df, ["k", "v"], "t").collect()) == [("a", 1, 2), ("b", None, 4)]
