@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.llm import language, toxicity
 from larder.llm.decontaminate import decontaminate
 from larder.llm.packing import pack_documents
 from larder.llm.resharding import reshard
@@ -41,13 +42,30 @@ def op6_reshard(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = language.remainder("doc_id", 4) == 2
+    net = language.learn(docs.filter(~held_out), "text", "lang", "doc_id")
+    return language.identify(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "positions")
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = language.remainder("doc_id", 5) == 0
+    model = toxicity.learn(docs, table(spark, folder, "labels").filter(~held_out))
+    return toxicity.judge(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_decontaminate": op3_decontaminate, "op6_reshard": op6_reshard, "op10_pack": op10_pack}
+    return {
+        "op3_decontaminate": op3_decontaminate, "op6_reshard": op6_reshard, "op7_language": op7_language,
+        "op9_toxicity": op9_toxicity, "op10_pack": op10_pack,
+    }
 
 
 def llm_sql() -> dict[str, str]:
