@@ -11,6 +11,7 @@ from larder.llm import language, toxicity
 from larder.llm.decontaminate import decontaminate
 from larder.llm.packing import pack_documents
 from larder.llm.resharding import reshard
+from larder.llm.simhash import hex_digits, near_duplicates
 from larder.llm.tokens import vocabulary
 
 
@@ -27,6 +28,11 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_reshard(spark: SparkSession, folder: str) -> DataFrame:
     """From shards by source, of which one holds a third of the rows, to 16 shards of equal bytes."""
     docs = table(spark, folder, "documents").select(
@@ -63,7 +69,7 @@ def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op3_decontaminate": op3_decontaminate, "op6_reshard": op6_reshard, "op7_language": op7_language,
+        "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op6_reshard": op6_reshard, "op7_language": op7_language,
         "op9_toxicity": op9_toxicity, "op10_pack": op10_pack,
     }
 
