@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from larder.llm import language, toxicity
 from larder.llm.decontaminate import decontaminate
+from larder.llm.hamming_search import search, sign_code
 from larder.llm.packing import pack_documents
 from larder.llm.resharding import reshard
 from larder.llm.simhash import hex_digits, near_duplicates
+from larder.llm.sql import SQL
 from larder.llm.tokens import vocabulary
 
 
@@ -33,6 +35,12 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_hamming(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten nearest sign codes of every row whose id is divisible by 20, against all rows."""
+    codes = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), sign_code("embedding").alias("code"))
+    return search(codes, codes.filter(F.col("id") % 20 == 0), 10)
+
+
 def op6_reshard(spark: SparkSession, folder: str) -> DataFrame:
     """From shards by source, of which one holds a third of the rows, to 16 shards of equal bytes."""
     docs = table(spark, folder, "documents").select(
@@ -69,10 +77,10 @@ def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op6_reshard": op6_reshard, "op7_language": op7_language,
+        "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_hamming": op5_hamming, "op6_reshard": op6_reshard, "op7_language": op7_language,
         "op9_toxicity": op9_toxicity, "op10_pack": op10_pack,
     }
 
 
 def llm_sql() -> dict[str, str]:
-    return {}
+    return SQL
