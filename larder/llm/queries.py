@@ -15,6 +15,7 @@ from larder.llm.resharding import reshard
 from larder.llm.simhash import hex_digits, near_duplicates
 from larder.llm.sql import SQL
 from larder.llm.tokens import vocabulary
+from larder.llm.url_filter import judge_urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,6 +64,11 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "positions")
 
 
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    judged = judge_urls(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "host_segments", "path_segments", "score")
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = language.remainder("doc_id", 5) == 0
@@ -78,7 +84,7 @@ def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_hamming": op5_hamming, "op6_reshard": op6_reshard, "op7_language": op7_language,
-        "op9_toxicity": op9_toxicity, "op10_pack": op10_pack,
+        "op8_url_filter": op8_url_filter, "op9_toxicity": op9_toxicity, "op10_pack": op10_pack,
     }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 HAMMING = """
 with codes as (
-    select distinct vec_id, list_aggregate(list_transform(embedding, x -> case when x > 0 then '1' else '0' end), 'string_agg', '')::bit as code
+    select distinct vec_id, list_aggregate(list_transform(embedding, lambda x: case when x > 0 then '1' else '0' end), 'string_agg', '')::bit as code
     from embeddings where embedding is not null
 )
 select q.vec_id as query_id,
