@@ -2,26 +2,63 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import language, toxicity
+from larder.llm.chat import format_chats
 from larder.llm.decontaminate import decontaminate
 from larder.llm.hamming_search import search, sign_code
 from larder.llm.packing import pack_documents
 from larder.llm.resharding import reshard
 from larder.llm.simhash import hex_digits, near_duplicates
 from larder.llm.sql import SQL
+from larder.llm.token_rollup import TokenRollup, bpe_tokens, word_tokens
 from larder.llm.tokens import vocabulary
 from larder.llm.url_filter import judge_urls
+from larder.workspace import Workspace, cut_lineage
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return format_chats(table(spark, folder, "conversations"))
+
+
+def op2_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents are inserted with two tokenizer versions, exact copies are deleted, and the word counts of
+    what stays are revised to a new definition of words; every batch is sent twice."""
+    docs = table(spark, folder, "documents")
+    counted = cut_lineage(docs.select(
+        "doc_id", "source", "lang", F.md5("text").alias("digest"), bpe_tokens(F.col("text"), vocabulary("byte_bpe_50k.tiktoken")).alias("bpe"),
+        word_tokens(F.col("text")).alias("words"), word_tokens(F.col("text"), r"[\p{L}\p{N}]+").alias("new_words"),
+    ))
+    firsts = counted.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"))
+    copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
+    known = cut_lineage(counted.join(firsts, "digest", "left").withColumn("copy", copy).drop("digest", "first"))
+
+    def changes(kind: str, rows: DataFrame, counts: dict[str, tuple[str, str]]) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(t).alias("tokenizer"), F.col(a).alias("tokens"), F.col(b).alias("old_tokens")) for t, (a, b) in counts.items()])
+        return rows.select("source", "lang", F.lit(kind).alias("kind"), F.explode(each).alias("x")).select("source", "lang", "kind", "x.*")
+
+    both = {"byte_bpe_50k": ("bpe", "bpe"), "words": ("words", "words")}
+    batches = {
+        "load": changes("insert", known, both),
+        "copies": changes("delete", known.filter("copy"), both),
+        "new words": changes("revise", known.filter("not copy"), {"words": ("new_words", "words")}),
+    }
+    rollup = TokenRollup(spark, Workspace(spark, f"op2 {uuid.uuid4()}").path("rollup"))
+    for name, rows in batches.items():
+        rollup.commit(name, rows)
+        rollup.commit(name, rows)
+    return rollup.totals()
+
+
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontaminate(docs, table(spark, folder, "benchmark"))
@@ -83,7 +120,7 @@ def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_hamming": op5_hamming, "op6_reshard": op6_reshard, "op7_language": op7_language,
+        "op1_chat": op1_chat, "op2_token_rollup": op2_token_rollup, "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_hamming": op5_hamming, "op6_reshard": op6_reshard, "op7_language": op7_language,
         "op8_url_filter": op8_url_filter, "op9_toxicity": op9_toxicity, "op10_pack": op10_pack,
     }
 
