@@ -6,35 +6,36 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_TERMS = 400
-
 
 def leftover_and_risk(on_hand: Column, mean: Column, k: Column) -> Column:
     """struct(leftover, risk): expected unsold units and P(some are unsold).
 
-    ``k`` null means Poisson. The distribution function is summed by a recursion on the
-    probabilities, inside one higher-order function: no Python, no shuffle.
+    ``k`` null means Poisson. The distribution function is summed by a recursion on the logarithms of
+    the probabilities, inside one higher-order function: no Python, no shuffle. The sum ends where
+    the remaining mass is below rounding; beyond, each further unit adds one to what is left. So it
+    is as long as the demand, whatever the stock.
     """
-    q = F.least(F.greatest(F.rint(on_hand), F.lit(0)), F.lit(MAX_TERMS)).cast("int")
+    q = F.greatest(F.rint(on_hand), F.lit(0.0)).cast("double")
     mu = F.greatest(mean, F.lit(1e-9)).cast("double")
-    p = k / (k + mu)
-    start = F.when(k.isNull(), F.exp(-mu)).otherwise(F.exp(k * F.log(p)))
+    spread = F.sqrt(mu + F.when(k.isNull(), F.lit(0.0)).otherwise(mu * mu / k))
+    stop = F.least(q, F.ceil(mu + 40 * spread + 50).cast("double"))
+    start = F.when(k.isNull(), -mu).otherwise(k * F.log(k / (k + mu)))
 
     def grow(state: Column, i: Column) -> Column:
-        step = F.when(k.isNull(), mu / i).otherwise((k + i - 1) / i * (1 - p))
-        pmf = state["pmf"] * step
-        cdf = state["cdf"] + pmf
-        return F.struct(pmf.alias("pmf"), cdf.alias("cdf"), (state["total"] + cdf).alias("total"))
+        step = F.log(F.when(k.isNull(), mu / i).otherwise((k + i - 1) / i * (mu / (k + mu))))
+        log_pmf = state["log_pmf"] + step
+        cdf = state["cdf"] + F.exp(log_pmf)
+        return F.struct(log_pmf.alias("log_pmf"), cdf.alias("cdf"), (state["total"] + cdf).alias("total"))
 
-    terms = F.when(q > 1, F.sequence(F.lit(1), q - 1)).otherwise(F.array().cast("array<int>"))
+    terms = F.when(stop > 1, F.sequence(F.lit(1), stop.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
     summed = F.aggregate(
         terms,
-        F.struct(start.alias("pmf"), start.alias("cdf"), start.alias("total")),
+        F.struct(start.alias("log_pmf"), F.exp(start).alias("cdf"), F.exp(start).alias("total")),
         grow,
     )
     return F.struct(
-        F.when(q <= 0, 0.0).otherwise(summed["total"]).alias("leftover"),
-        F.when(q <= 0, 0.0).otherwise(summed["cdf"]).alias("risk"),
+        F.when(q <= 0, 0.0).otherwise(summed["total"] + (q - stop)).alias("leftover"),
+        F.when(q <= 0, 0.0).otherwise(F.least(summed["cdf"], F.lit(1.0))).alias("risk"),
     )
 
 

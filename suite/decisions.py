@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.decisions import expiry, forecast, markdown, slots, transfers
+from larder.functions.negbin import leftover_and_risk
 from larder.plans import jobs
 from suite.ctes_feeds import FEEDS
 from suite.ctes_jobs import JOBS
@@ -21,6 +22,12 @@ select {by}, count(*) as cells, sum(actual_units) as actual_units, sum(abs(actua
 from accuracy group by {by}"""
 
 
+def stock_of_categories(wh):
+    """Units and demand per store and category: hundreds to thousands of units a row."""
+    sums = wh("mart_expiry_risk").groupBy("store_id", "l1_category").agg(F.sum("qty_remaining").alias("units"), F.sum("residual_demand_mean").alias("mu"))
+    return sums.withColumn("k", forecast.fit_dispersion(wh("mart_forecast_accuracy")).select("k").scalar())
+
+
 def decision_queries() -> dict[str, Query]:
     def q(build, cols, sql=None):
         return over_library(LIBRARY, build, cols, sql)
@@ -68,6 +75,17 @@ def decision_queries() -> dict[str, Query]:
             "batch_id:s store_id:s sku_id:s l1_category:s expiry_date:d days_to_expiry:i qty_remaining:i units_ahead_in_queue:i horizon_demand_mean:6",
             "select * from stock_position",
         ),
+        "n09_leftover": q(
+            lambda wh: stock_of_categories(wh).select(
+                "store_id", "l1_category", "units", F.round("mu", 9).alias("mu"), leftover_and_risk(F.col("units"), F.round("mu", 9), F.col("k")).alias("x")
+            ).select("store_id", "l1_category", "units", "mu", "x.*"),
+            "store_id:s l1_category:s units:i mu:6 leftover:4 risk:6",
+            """select store_id, l1_category, units, mu, list_sum(list_transform(range(units), lambda i: (units - i) * exp(lp[i + 1]))) as leftover,
+                      list_sum(list_transform(range(units), lambda i: exp(lp[i + 1]))) as risk
+               from (select *, list_transform(range(units), lambda i: lgamma(i + k) - lgamma(k) - lgamma(i + 1) + k * ln(k / (k + mu)) + i * ln(mu / (k + mu))) as lp
+                     from (select store_id, l1_category, cast(sum(qty_remaining) as int) as units, greatest(round(sum(residual_demand_mean), 9), 1e-9) as mu
+                           from risk group by all), dispersion)""",
+        ),
         "n10_expiry_risk": q(
             lambda wh: wh("mart_expiry_risk"),
             "batch_id:s store_id:s sku_id:s l1_category:s sku_name:s date_day:d expiry_date:d days_to_expiry:i usable_days:i "

@@ -32,6 +32,23 @@ def test_leftover_and_risk(spark, k):
         assert r.risk == pytest.approx(sum(pmf(i, mu, k) for i in range(q)), abs=1e-9)
 
 
+def exact_leftover(q, mu, k):
+    """Sums in logarithms over all of the demand that matters; the rest of the stock is left over whole."""
+    stop = min(q, int(mu + 60 * math.sqrt(mu + (0 if k is None else mu * mu / k)) + 200))
+    terms = [math.exp(-mu + i * math.log(mu) - math.lgamma(i + 1)) if k is None else pmf(i, mu, k) for i in range(stop)]
+    return math.fsum((q - i) * t for i, t in enumerate(terms)), math.fsum(terms)
+
+
+@pytest.mark.parametrize("k", [None, 3.0])
+def test_leftover_of_large_stock(spark, k):
+    cases = [(q, float(m)) for q in (401, 1000, 50_000) for m in (350, 900, 5000)]
+    df = spark.createDataFrame([(q, m, k) for q, m in cases], "q bigint, m double, k double")
+    got = df.select(negbin.leftover_and_risk(F.col("q"), F.col("m"), F.col("k")).alias("x")).select("x.*").collect()
+    for (q, m), r in zip(cases, got, strict=True):
+        left, risk = exact_leftover(q, m, k)
+        assert r.leftover == pytest.approx(left, rel=1e-6, abs=1e-6) and r.risk == pytest.approx(risk, abs=1e-7)
+
+
 @pytest.mark.parametrize("k", [np.inf, 0.8, 6.0])
 def test_quantile_is_the_first_value_to_reach_it(k):
     mean, q = np.array([0.2, 3.0, 40.0, 900.0]), np.array([0.5, 0.95, 0.01, 0.9])
