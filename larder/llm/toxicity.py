@@ -19,7 +19,6 @@ a null label teaches nothing. Other columns are kept, the operator's own names r
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -32,7 +31,6 @@ from pyspark.sql import functions as F
 from larder.workspace import cut_lineage
 
 PER_CLASS = 2000
-SLOTS = 1 << 20
 FEATURES = 4096
 FAIRNESS = 5.0
 STARTS = (3, 4, 5, 6, 7)
@@ -54,19 +52,18 @@ def tokens(text: str | None) -> list[str]:
     return _LETTERS.findall(text.lower()) if text else []
 
 
-def word_slots(word: str) -> list[int]:
-    """Slots of the word itself and of its beginnings."""
-    names = [f"={word}", *(word[:k] for k in STARTS if k <= len(word))]
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % SLOTS for n in names]
+def word_features(word: str) -> list[str]:
+    """The word itself and its beginnings."""
+    return [f"={word}", *(word[:k] for k in STARTS if k <= len(word))]
 
 
 def rates(words: Sequence[str]) -> Counter:
-    """Per slot how often it occurs in a hundred words (of the text and ``SMOOTH`` more)."""
+    """Per feature how often it occurs in a hundred words (of the text and ``SMOOTH`` more)."""
     out: Counter = Counter()
     unit = 100.0 / (len(words) + SMOOTH)
     for word, n in Counter(words).items():
-        for slot in word_slots(word):
-            out[slot] += n * unit
+        for feature in word_features(word):
+            out[feature] += n * unit
     return out
 
 
@@ -82,25 +79,29 @@ def swaps(text: str | None, identities=IDENTITIES) -> Counter:
     for sentence in _SENTENCE.split(text.lower()):
         for word in _LETTERS.findall(sentence):
             if word in after:
-                for slot in word_slots(word):
-                    change[slot] -= unit
-                for slot in word_slots(after[word]):
-                    change[slot] += unit
+                for feature in word_features(word):
+                    change[feature] -= unit
+                for feature in word_features(after[word]):
+                    change[feature] += unit
     return Counter({k: v for k, v in change.items() if v})
 
 
 @dataclass
 class Classifier:
-    slots: np.ndarray
-    weights: np.ndarray
+    weights: dict[str, float]
     base: float
-    _words: dict[str, float] = field(default_factory=dict, repr=False)
-
-    def word_weight(self, word: str) -> float:
-        """Sum of the weights of a word's features."""
-        found = np.searchsorted(self.slots, word_slots(word))
-        found = np.minimum(found, len(self.slots) - 1)
-        return float(self.weights[found][self.slots[found] == word_slots(word)].sum())
+    _words: dict[str, tuple[float, int]] = field(default_factory=dict, repr=False)
+
+    def _token(self, raw: str) -> tuple[float, int]:
+        """Summed weights and number of the words in what stands between two blanks."""
+        get, total, inside = self.weights.get, 0.0, _LETTERS.findall(raw)
+        for word in inside:
+            total += get(f"={word}", 0.0)
+            for k in STARTS:
+                if k > len(word):
+                    break
+                total += get(word[:k], 0.0)
+        return total, len(inside)
 
     def logit(self, text: str | None) -> float:
         known, total, count = self._words, 0.0, 0
@@ -109,51 +110,50 @@ class Classifier:
             if pair is None:
                 if len(known) > 500_000:
                     known.clear()
-                inside = _LETTERS.findall(raw)
-                pair = known[raw] = (sum(map(self.word_weight, inside)) if len(self.slots) else 0.0, len(inside))
+                pair = known[raw] = self._token(raw)
             total += pair[0]
             count += pair[1]
         return self.base + 100.0 * total / (count + SMOOTH)
 
 
-def _rows(sets: list[tuple[Sequence[int], Sequence[float]]], slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _rows(sets: list[tuple[Sequence[int], Sequence[float]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, value) of sparse rows."""
     row = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
-    flat = np.concatenate([np.asarray(s[0], np.int64) for s in sets]) if len(row) else np.empty(0, np.int64)
+    column = np.concatenate([np.asarray(s[0], np.int64) for s in sets]) if len(row) else np.empty(0, np.int64)
     value = np.concatenate([np.asarray(s[1], np.float64) for s in sets]) if len(row) else np.empty(0)
-    return row, np.searchsorted(slots, flat), value
+    return row, column, value
 
 
 def fit(
     samples: list[tuple[int, Sequence[int], Sequence[float], Sequence[int], Sequence[float]]],
-    slots: np.ndarray,
+    features: Sequence[str],
     prior: float,
     fairness: float = FAIRNESS,
     rounds: int = 160,
     decay: float = 1e-4,
 ) -> Classifier:
-    """Full-batch Adam. A sample is (label, slots, rates, slots that a swap changes, by how much);
+    """Full-batch Adam. A sample is (label, numbers of features, rates, features that a swap changes, by how much);
     ``prior`` is the share of toxic labels among all, to which the sampled classes are weighted."""
     label = np.array([s[0] for s in samples], np.float64)
-    row, col, val = _rows([(s[1], s[2]) for s in samples], slots)
-    srow, scol, sval = _rows([(s[3], s[4]) for s in samples], slots)
+    row, col, val = _rows([(s[1], s[2]) for s in samples])
+    srow, scol, sval = _rows([(s[3], s[4]) for s in samples])
     swapped = max(1, len(np.unique(srow)))
     share = label.mean()
     mass = np.where(label == 1, prior / share, (1 - prior) / (1 - share)) / len(label)
-    w, base = np.zeros(len(slots)), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(slots) + 1), np.zeros(len(slots) + 1)
+    w, base = np.zeros(len(features)), float(np.log(prior / (1 - prior)))
+    m, v = np.zeros(len(features) + 1), np.zeros(len(features) + 1)
     for step in range(1, rounds + 1):
         logit = base + np.bincount(row, weights=val * w[col], minlength=len(label))
         pull = mass * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - label)
         change = np.bincount(srow, weights=sval * w[scol], minlength=len(label))
-        grad = np.bincount(col, weights=val * pull[row], minlength=len(slots)) + decay * w
-        grad += 2 * fairness / swapped * np.bincount(scol, weights=sval * change[srow], minlength=len(slots))
+        grad = np.bincount(col, weights=val * pull[row], minlength=len(features)) + decay * w
+        grad += 2 * fairness / swapped * np.bincount(scol, weights=sval * change[srow], minlength=len(features))
         g = np.r_[grad, pull.sum()]
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
         move = 0.2 * (1 - step / (rounds + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, base = w - move[:-1], base - move[-1]
-    return Classifier(slots, w, base)
+    return Classifier(dict(zip(features, w.tolist(), strict=True)), base)
 
 
 def learn(
@@ -173,35 +173,33 @@ def learn(
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for y, t in zip(part["y"], part["t"], strict=True):
-                yield pd.DataFrame({"slot": list({s for w in set(tokens(t)) for s in word_slots(w)}), "y": y}, columns=["slot", "y"])
+                yield pd.DataFrame({"f": list({f for w in set(tokens(t)) for f in word_features(w)}), "y": y}, columns=["f", "y"])
 
     sizes = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return None
-    totals = sample.select("y", "t").mapInPandas(seen, "slot int, y int").groupBy("slot").agg(
+    totals = sample.select("y", "t").mapInPandas(seen, "f string, y int").groupBy("f").agg(
         F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0")
     )
     p1, p0 = F.col("n1") / sizes[1], F.col("n0") / sizes[0]
     pooled = (F.col("n1") + F.col("n0") + 0.5) / (sizes[0] + sizes[1] + 1)
     telling = F.abs(p1 - p0) / F.sqrt(pooled * (1 - pooled))
-    slots = np.sort(np.array([r[0] for r in totals.orderBy(telling.desc(), "slot").limit(FEATURES).collect()], np.int64))
-    if not len(slots):
-        return None
-    wanted = set(slots.tolist())
+    chosen = [r[0] for r in totals.orderBy(telling.desc(), "f").limit(FEATURES).collect()]
+    wanted = {f: i for i, f in enumerate(chosen)}
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             out = []
             for y, t in zip(part["y"], part["t"], strict=True):
-                now = {k: v for k, v in rates(tokens(t)).items() if k in wanted}
-                new = {k: v for k, v in swaps(t, identities).items() if k in wanted}
+                now = {wanted[k]: v for k, v in rates(tokens(t)).items() if k in wanted}
+                new = {wanted[k]: v for k, v in swaps(t, identities).items() if k in wanted}
                 out.append((y, [*now], [*now.values()], [*new], [*new.values()]))
             yield pd.DataFrame(out, columns=["y", "f", "v", "sf", "sv"])
 
     shape = "y int, f array<int>, v array<double>, sf array<int>, sv array<double>"
-    samples = [tuple(r) for r in sample.select("y", "t").mapInPandas(features, shape).collect()]
+    samples = [tuple(r) for r in sample.select("y", "t").mapInPandas(sparse, shape).collect()]
     samples.sort(key=lambda s: (s[0], sorted(zip(s[1], s[2], strict=True))))  # whatever the order of partitions
-    return fit(samples, slots, counts[1] / (counts[0] + counts[1]), **how)
+    return fit(samples, chosen, counts[1] / (counts[0] + counts[1]), **how)
 
 
 def judge(docs: DataFrame, model: Classifier | None, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -209,7 +207,7 @@ def judge(docs: DataFrame, model: Classifier | None, text: str = "text", thresho
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Classifier(model.slots, model.weights, model.base) if model else None
+        own = Classifier(model.weights, model.base) if model else None
         for texts in parts:
             logits = np.array([own.logit(t) if own else -40.0 for t in texts], np.float64)
             yield pd.Series(1 / (1 + np.exp(-np.clip(logits, -40, 40))) if own else np.zeros(len(texts)))
