@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.ranges import band_of, expand_days
 from larder.sources.seeds import DTE_BANDS
-from larder.workspace import cut_lineage
+from larder.workspace import Workspace, cut_lineage
 
 SERIES = ["store_id", "sku_id"]
 UNDISCOUNTED = 0.99
@@ -18,7 +22,6 @@ MIN_POOLED_DISCOUNTED = 200
 MIN_CELL_DISCOUNTED = 30
 POOLED = "*"
 DESIGN = ["intercept", "log_price", "days_to_expiry", "log_on_hand", "is_weekend", "is_festival", "is_salary_week"]
-MAX_CELLS = 20_000
 
 
 def elasticity_panel(
@@ -83,128 +86,134 @@ def _design(panel: DataFrame) -> DataFrame:
 CELL = ["l1_category", "dte_band"]
 
 
-def fit_cells(panel: DataFrame, iterations: int = 40, tolerance: float = 1e-9) -> list[dict]:
+PAIRS = [(i, j) for i in range(len(DESIGN)) for j in range(i, len(DESIGN))]
+PRICE = DESIGN.index("log_price")
+_STATE = (
+    "l1_category string, dte_band string, n long, n_discounted long, clusters long, used array<boolean>, beta array<double>, status string"
+)
+_STATE_NAMES = [c.split()[0] for c in _STATE.split(", ")]
+
+
+def _matrix(sums) -> np.ndarray:
+    m = np.zeros((len(DESIGN), len(DESIGN)))
+    for (i, j), v in zip(PAIRS, sums, strict=True):
+        m[i, j] = m[j, i] = v
+    return m
+
+
+def _newton(tolerance: float):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One Newton step for each cell that is still being fitted, from its own sums."""
+        for part in parts:
+            betas, status = [], []
+            for r in part.itertuples(index=False):
+                beta, now = np.array(r.beta, float), r.status
+                if now == "fitting":
+                    used = np.flatnonzero(r.used)
+                    cross, score = _matrix(r.cross)[np.ix_(used, used)], np.array(r.score)[used]
+                    try:
+                        step = np.linalg.solve(cross, score)
+                    except np.linalg.LinAlgError:
+                        step, now = np.zeros(len(used)), "singular"
+                    if not np.isfinite(step).all():
+                        step, now = np.zeros(len(used)), "diverged"
+                    # A capped step keeps the first moves from overshooting; the optimum is unchanged.
+                    largest = np.abs(step).max()
+                    beta[used] += step * min(1.0, 2.0 / largest) if largest > 0 else 0.0
+                    now = "fitted" if now == "fitting" and largest < tolerance else now
+                betas.append(beta)
+                status.append(now)
+            yield part[_STATE_NAMES].assign(beta=betas, status=status)
+
+    return run
+
+
+def _errors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Clustered standard error of the price slope of each fitted cell."""
+    for part in parts:
+        found = []
+        for r in part.itertuples(index=False):
+            used = np.flatnonzero(r.used)
+            inverse = np.linalg.pinv(_matrix(r.cross)[np.ix_(used, used)])
+            correction = r.clusters / (r.clusters - 1) * (r.n - 1) / max(r.n - len(used), 1)
+            cov = correction * inverse @ _matrix(r.meat)[np.ix_(used, used)] @ inverse
+            at = int(np.flatnonzero(used == PRICE)[0])
+            found.append((r.l1_category, r.dte_band, float(np.sqrt(max(cov[at, at], 0.0)))))
+        yield pd.DataFrame(found, columns=["l1_category", "dte_band", "se"])
+
+
+def fit_cells(panel: DataFrame, iterations: int = 40, tolerance: float = 1e-9) -> DataFrame:
     """Poisson fits with an offset and clustered errors, all cells in each Spark aggregate.
 
-    Every iteration is one grouped sum of weighted cross products; only those small matrices,
-    one per category and band, reach the driver. Controls that do not vary inside a cell are
-    left out of its design.
+    Every iteration is one grouped sum of weighted cross products; the small systems, one per category
+    and band, are solved in tasks and their coefficients stay a written table. Controls that do not
+    vary inside a cell are left out of its design. Every cell has a row: ``status`` says ``fitted``, or
+    why there is no slope (``too_few_discounts``, ``one_cluster``, ``singular``, ``diverged``, ``not_converged``).
     """
-    spark = panel.sparkSession
+    space = Workspace(panel.sparkSession, f"elasticity {uuid.uuid4()}")
     data = cut_lineage(_design(panel))
+    clusters = data.select(*CELL, "cluster").distinct().groupBy(*CELL).agg(F.count("*").alias("clusters"))
     ranges = data.groupBy(*CELL).agg(
         F.count("*").alias("n"), F.count(F.when(F.col("discounted"), 1)).alias("n_discounted"),
-        F.countDistinct("cluster").alias("clusters"),
-        *[F.min(x).alias(f"lo_{x}") for x in DESIGN], *[F.max(x).alias(f"hi_{x}") for x in DESIGN],
+        F.array(*[F.lit(x in ("intercept", "log_price")) | (F.min(x) != F.max(x)) for x in DESIGN]).alias("used"),
+    )
+    need = F.when(F.col("dte_band") == POOLED, MIN_POOLED_DISCOUNTED).otherwise(MIN_CELL_DISCOUNTED)
+    start = F.when(F.col("n_discounted") < need, "too_few_discounts").when(F.col("clusters") < 2, "one_cluster").otherwise("fitting")
+    state = ranges.join(clusters, CELL).select(
+        *CELL, "n", "n_discounted", "clusters", "used", F.array_repeat(F.lit(0.0), len(DESIGN)).alias("beta"), start.alias("status")
     )
-    cells = {}
-    # One row per category and band: categories are a short managed list, and this is checked.
-    found = ranges.limit(MAX_CELLS + 1).collect()
-    if len(found) > MAX_CELLS:
-        raise ValueError("more category-band cells than one driver should hold; coarsen the category")
-    for r in found:
-        need = MIN_POOLED_DISCOUNTED if r.dte_band == POOLED else MIN_CELL_DISCOUNTED
-        if r.n_discounted < need:
-            continue
-        used = [i for i, x in enumerate(DESIGN) if x in ("intercept", "log_price") or r[f"lo_{x}"] != r[f"hi_{x}"]]
-        cells[(r.l1_category, r.dte_band)] = {
-            "used": used, "beta": np.zeros(len(DESIGN)), "n": r.n, "n_discounted": r.n_discounted, "clusters": r.clusters,
-            "done": False, "ok": True,
-        }
-    if not cells:
-        return []
     eta = F.col("offset")
     for i, x in enumerate(DESIGN):
         eta = eta + F.col("beta")[i] * F.col(x)
-    pairs = [(i, j) for i in range(len(DESIGN)) for j in range(i, len(DESIGN))]
-
-    def betas():
-        live = [(c, b, [float(v) for v in cell["beta"]]) for (c, b), cell in cells.items() if cell["ok"]]
-        return F.broadcast(spark.createDataFrame(live, "l1_category string, dte_band string, beta array<double>"))
-
-    def matrices(rows, names):
-        out = {}
-        for r in rows:
-            m = np.zeros((len(DESIGN), len(DESIGN)))
-            for i, j in pairs:
-                m[i, j] = m[j, i] = r[f"{names}_{i}_{j}"] or 0.0
-            out[(r.l1_category, r.dte_band)] = (m, r)
-        return out
-
-    def information():
-        fitted = data.join(betas(), CELL).withColumn("mu", F.exp(F.least(eta, F.lit(30.0))))
-        return fitted, [F.sum(F.col("mu") * F.col(DESIGN[i]) * F.col(DESIGN[j])).alias(f"w_{i}_{j}") for i, j in pairs]
-
-    for _ in range(iterations):
-        fitted, cross = information()
-        score = [F.sum((F.col("y") - F.col("mu")) * F.col(x)).alias(f"s_{i}") for i, x in enumerate(DESIGN)]
-        for key, (m, r) in matrices(fitted.groupBy(*CELL).agg(*cross, *score).collect(), "w").items():
-            cell = cells[key]
-            used = cell["used"]
-            try:
-                step = np.linalg.solve(m[np.ix_(used, used)], np.array([r[f"s_{i}"] for i in used]))
-            except np.linalg.LinAlgError:
-                cell["ok"] = False
-                continue
-            # A capped step keeps the first moves from overshooting; the optimum is unchanged.
-            largest = np.abs(step).max()
-            cell["beta"][used] += step * min(1.0, 2.0 / largest) if largest > 0 else 0.0
-            cell["done"] = largest < tolerance
-            cell["ok"] = bool(np.isfinite(cell["beta"]).all())
-        if all(cell["done"] or not cell["ok"] for cell in cells.values()):
-            break
 
-    fitted, cross = information()
-    residual = [F.sum((F.col("y") - F.col("mu")) * F.col(x)).alias(f"s_{i}") for i, x in enumerate(DESIGN)]
-    bread = matrices(fitted.groupBy(*CELL).agg(*cross).collect(), "w")
-    clustered = fitted.groupBy(*CELL, "cluster").agg(*residual)
-    outer = [F.sum(F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"m_{i}_{j}") for i, j in pairs]
-    meat = matrices(clustered.groupBy(*CELL).agg(*outer).collect(), "m")
-    fits = []
-    for key, cell in cells.items():
-        if not cell["ok"] or not cell["done"] or cell["clusters"] < 2:
-            continue
-        used = cell["used"]
-        inverse = np.linalg.pinv(bread[key][0][np.ix_(used, used)])
-        n, g, width = cell["n"], cell["clusters"], len(used)
-        correction = g / (g - 1) * (n - 1) / max(n - width, 1)
-        cov = correction * inverse @ meat[key][0][np.ix_(used, used)] @ inverse
-        at = used.index(DESIGN.index("log_price"))
-        fits.append(
-            {
-                "l1_category": key[0], "dte_band": key[1], "n": int(n), "n_discounted": int(cell["n_discounted"]),
-                "beta": float(cell["beta"][DESIGN.index("log_price")]), "se": float(np.sqrt(max(cov[at, at], 0.0))),
-            }
-        )
-    return fits
+    def fitted(cells: DataFrame) -> DataFrame:
+        return data.join(cells.select(*CELL, "beta"), CELL).withColumn("mu", F.exp(eta))
+
+    cross = F.array(*[F.sum(F.col("mu") * F.col(DESIGN[i]) * F.col(DESIGN[j])) for i, j in PAIRS]).alias("cross")
+    score = F.array(*[F.sum((F.col("y") - F.col("mu")) * F.col(x)) for x in DESIGN]).alias("score")
+    state = space.write(state, "round_0")
+    for n in range(1, iterations + 1):
+        sums = fitted(state.filter("status = 'fitting'")).groupBy(*CELL).agg(cross, score)
+        state = space.write(state.join(sums, CELL, "left").mapInPandas(_newton(tolerance), _STATE), f"round_{n}")
+        if state.filter("status = 'fitting'").isEmpty():
+            break
+    state = state.withColumn("status", F.when(F.col("status") == "fitting", "not_converged").otherwise(F.col("status")))
+    rows = fitted(state.filter("status = 'fitted'"))
+    bread = rows.groupBy(*CELL).agg(cross)
+    residuals = [F.sum((F.col("y") - F.col("mu")) * F.col(x)).alias(f"s_{i}") for i, x in enumerate(DESIGN)]
+    outer = F.array(*[F.sum(F.col(f"s_{i}") * F.col(f"s_{j}")) for i, j in PAIRS]).alias("meat")
+    meat = rows.groupBy(*CELL, "cluster").agg(*residuals).groupBy(*CELL).agg(outer)
+    parts = state.join(bread, CELL).join(meat, CELL)
+    errors = parts.mapInPandas(_errors, "l1_category string, dte_band string, se double")
+    slope = F.when(F.col("status") == "fitted", F.col("beta")[PRICE])
+    return state.join(errors, CELL, "left").select(*CELL, "n", "n_discounted", slope.alias("beta"), "se", "status", F.col("beta").alias("coefficients"))
 
 
 def estimate(panel: DataFrame) -> DataFrame:
-    """``mart_price_elasticity``: a cell's own slope, its category's, or none, never a guess."""
-    spark = panel.sparkSession
-    fits = spark.createDataFrame(
-        [tuple(f.values()) for f in fit_cells(panel)],
-        "l1_category string, dte_band string, n long, n_discounted long, beta double, se double",
-    )
+    """``mart_price_elasticity``: a cell's own slope, its category's, or none, never a guess. Cells without a
+    fit, and cells of categories without one, stay with their ``status``."""
+    fits = fit_cells(panel).drop("coefficients")
     pooled = fits.filter(F.col("dte_band") == POOLED).select(
         "l1_category", F.col("beta").alias("category_elasticity"), F.col("se").alias("category_standard_error"),
-        F.col("n").alias("category_observations"),
+        F.col("n").alias("category_observations"), F.col("status").alias("category_status"),
     )
     gap = F.pow(F.col("beta") - F.col("category_elasticity"), 2)
     spread = gap + F.pow(F.col("se"), 2)
     return (
         fits.filter(F.col("dte_band") != POOLED)
-        .join(pooled, "l1_category")
+        .join(pooled, "l1_category", "left")
         .withColumns(
             {
-                "is_identified": F.col("beta") + 1.96 * F.col("se") < 0,
-                "category_is_identified": F.col("category_elasticity") + 1.96 * F.col("category_standard_error") < 0,
-                "signal_weight": F.when(spread > 0, gap / spread).otherwise(0.0),
+                "is_identified": F.coalesce(F.col("beta") + 1.96 * F.col("se") < 0, F.lit(False)),
+                "category_is_identified": F.coalesce(F.col("category_elasticity") + 1.96 * F.col("category_standard_error") < 0, F.lit(False)),
+                # Without a pooled slope there is nothing to shrink to: a cell keeps its own.
+                "signal_weight": F.when(F.col("category_elasticity").isNull() & F.col("beta").isNotNull(), 1.0)
+                .when(spread > 0, gap / spread).otherwise(0.0),
             }
         )
         .withColumn(
             "elasticity_shrunk",
-            F.col("signal_weight") * F.col("beta") + (1 - F.col("signal_weight")) * F.col("category_elasticity"),
+            F.col("signal_weight") * F.col("beta") + (1 - F.col("signal_weight")) * F.coalesce("category_elasticity", F.lit(0.0)),
         )
         .withColumns(
             {
