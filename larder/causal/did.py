@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.columns import ratio
-from larder.functions.stats import t_cdf, t_table
+from larder.functions.stats import student_quantile, t_cdf
 
 METRICS = ["units_expired", "writeoff_value", "units_lost", "revenue", "margin"]
 TRENDS_ALPHA = 0.05
@@ -69,7 +69,7 @@ def estimate(panel: DataFrame, metrics: Sequence[str] = METRICS, by: Sequence[st
         *by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("base")) for m in metrics])).alias("x")
     ).select(*by, "x.*")
     se = F.col("sd") / F.sqrt(F.col("seeds").cast("double"))
-    half = t_table(0.975, F.col("seeds")) * se
+    half = student_quantile(0.975, F.col("seeds")) * se
     out = over.join(bases, [*by, "metric"]).select(
         *by, "metric", "effect", (ratio(F.col("effect"), F.col("base")) * 100).alias("relative"),
         (F.col("effect") - half).alias("ci_low"), (F.col("effect") + half).alias("ci_high"), "seeds",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,32 +48,57 @@ def welch(df, arm: str, treated, outcomes: list[str]):
     )
 
 
-def t_cdf(t: float, df: int) -> float:
-    """Student's distribution function by its finite series for whole degrees of freedom."""
-    theta = math.atan(t / math.sqrt(df))
-    cos2 = math.cos(theta) ** 2
-    if df % 2:
-        term, total = math.cos(theta), 0.0
-        for j in range(1, (df - 1) // 2 + 1):
-            total += term
-            term *= cos2 * (2 * j) / (2 * j + 1)
-        return 0.5 + (theta + math.sin(theta) * total) / math.pi
-    term, total = 1.0, 0.0
-    for j in range(df // 2):
-        total += term
-        term *= cos2 * (2 * j + 1) / (2 * j + 2)
-    return 0.5 + math.sin(theta) * total / 2
-
-
-def t_quantile(p: float, df: int) -> float:
-    low, high = 0.0, 1e4
-    for _ in range(100):
+def t_cdf(t: float, df: float) -> float:
+    """Student's distribution function, for any degrees of freedom, from the incomplete beta function."""
+    tail = _beta_share(df / (df + t * t), df / 2, 0.5) / 2
+    return 1 - tail if t > 0 else tail
+
+
+def _beta_share(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function by its continued fraction, in the half where that converges fast."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    d = 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    c, fraction, m = 1.0, d, 1
+    while True:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        change = 1.0
+        for term in (even, odd):
+            d = 1 + term * d
+            c = 1 + term / c
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            change = c * d
+            fraction *= change
+        if abs(change - 1) < 1e-15:
+            return front * fraction
+        m += 1
+
+
+def t_quantile(p: float, df: float) -> float:
+    low, high = -1e4, 1e4
+    while t_cdf(high, df) < p:
+        high *= 10
+    while t_cdf(low, df) > p:
+        low *= 10
+    for _ in range(200):
         mid = (low + high) / 2
         low, high = (mid, high) if t_cdf(mid, df) < p else (low, mid)
     return (low + high) / 2
 
 
-def t_table(p: float, n: Column, most: int = 200) -> Column:
-    """Student quantile for ``n - 1`` degrees of freedom as a lookup; normal beyond ``most``."""
-    values = F.array(*[F.lit(t_quantile(p, d)) for d in range(1, most + 1)])
-    return F.when(n < 2, F.lit(None)).when(n - 1 <= most, F.element_at(values, (n - 1).cast("int"))).otherwise(F.lit(Z_95))
+def student_quantile(p: float, n: Column) -> Column:
+    """Student quantile for ``n - 1`` degrees of freedom; null for fewer than two. For a few result rows."""
+
+    @F.pandas_udf("double")
+    def run(counts: pd.Series) -> pd.Series:
+        known = {d: t_quantile(p, d - 1) for d in counts.dropna().unique() if d > 1}
+        return counts.map(known).astype("float64")
+
+    return run(n.cast("long"))

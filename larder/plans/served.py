@@ -7,14 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_PAGE = 5000
 CENTURY = "2999-12-31"
 
 
-def _clamp(limit: int) -> int:
+def _positive(limit: int) -> int:
     if limit < 1:
         raise ValueError("limit must be positive")
-    return min(limit, MAX_PAGE)
+    return limit
 
 
 def browse(df: DataFrame, order_by: str, descending: bool = False, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -22,7 +21,7 @@ def browse(df: DataFrame, order_by: str, descending: bool = False, limit: int =
     if order_by not in df.columns:
         raise ValueError(f"no such column: {order_by!r}")
     by = F.desc_nulls_last(order_by) if descending else F.asc_nulls_last(order_by)
-    return df.orderBy(by).offset(offset).limit(_clamp(limit))
+    return df.orderBy(by).offset(offset).limit(_positive(limit))
 
 
 def expiry_queue(risk: DataFrame, store: str | None = None, min_value: float = 0.0, limit: int = 50) -> DataFrame:
@@ -30,7 +29,7 @@ def expiry_queue(risk: DataFrame, store: str | None = None, min_value: float = 0
     rows = risk.filter((F.col("risk_state") == "at_risk") & (F.col("value_at_risk_inr") >= min_value))
     if store is not None:
         rows = rows.filter(F.col("store_id") == store)
-    return rows.orderBy(F.desc("value_at_risk_inr"), "batch_id").limit(_clamp(limit))
+    return rows.orderBy(F.desc("value_at_risk_inr"), "batch_id").limit(_positive(limit))
 
 
 def elasticity_cells(elasticity: DataFrame, category: str | None = None, identified_only: bool = False) -> DataFrame:
@@ -89,7 +88,7 @@ def action_queue(tables: dict[str, DataFrame], store: str | None = None, action_
     if store is not None:
         rows = rows.filter(F.col("store_id") == store)
     order = F.array_position(F.array(*[F.lit(k) for k in ENGINES]), F.col("action_type"))
-    return rows.orderBy(order, F.desc("value"), "store_id", "sku_id").limit(_clamp(limit))
+    return rows.orderBy(order, F.desc("value"), "store_id", "sku_id").limit(_positive(limit))
 
 
 def experiment_rows(readout: DataFrame) -> DataFrame:

@@ -162,12 +162,14 @@ def profile_promo_margin(feed) -> DataFrame:
     )
 
 
-def profile_velocity(feed, tiles: int = 10, cell_days: float = 365.0 * 14) -> DataFrame:
-    """Stockout rate and volume share by sales decile; deciles come from global positions."""
+def profile_velocity(feed, tiles: int = 10) -> DataFrame:
+    """Stockout rate (per store and day of the feed) and volume share by sales decile; deciles come from
+    global positions."""
+    days, stores = profile_daily(feed).agg(F.count("*")).scalar(), feed("pos_orders").agg(F.countDistinct("store_id")).scalar()
     units = _items(feed).groupBy("sku_id").agg(F.sum("qty").alias("units"))
     total = units.agg(F.sum("units")).scalar()
     n = units.agg(F.count("*")).scalar()
-    ranked = global_running(units, [F.asc("units"), F.asc("sku_id")], {"position": F.lit(1)}).withColumns({"n": n, "total": total})
+    ranked = global_running(units, [F.asc("units"), F.asc("sku_id")], {"position": F.lit(1)}).withColumns({"n": n, "total": total, "cell_days": days * stores})
     size, extra = F.floor(F.col("n") / tiles), F.col("n") % tiles
     wide = extra * (size + 1)
     decile = F.when(F.col("position") <= wide, F.ceil(F.col("position") / (size + 1))).otherwise(
@@ -175,7 +177,7 @@ def profile_velocity(feed, tiles: int = 10, cell_days: float = 365.0 * 14) -> Da
     )
     outs = feed("wms_stockout_interval").groupBy("sku_id").agg(F.count("*").alias("outs"))
     return ranked.withColumn("decile", decile).join(outs, "sku_id", "left").groupBy("decile").agg(
-        (F.avg(F.coalesce("outs", F.lit(0))) / cell_days).alias("stockout_rate"), F.sum(F.col("units") / F.col("total")).alias("volume_share")
+        (F.avg(F.coalesce("outs", F.lit(0))) / F.max("cell_days")).alias("stockout_rate"), F.sum(F.col("units") / F.col("total")).alias("volume_share")
     )
 
 

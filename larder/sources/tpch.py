@@ -393,7 +393,6 @@ class TpchFeeds:
         return (
             self._read("events")
             .withColumn("event_ts_utc", at)
-            .filter(F.dayofmonth("event_ts_utc") != 17)
             .select(
                 _store_id(F.floor(user / 2) % 5).alias("store_id"),
                 F.when(event % 4 == 0, F.concat(F.lit("SKU_"), number.cast("string")))

@@ -147,7 +147,7 @@ select 'STR-' || ((user_id // 2) % 5) as store_id,
        case when event_type = 'error' then 'notify_me' else 'pdp_view' end as event_type,
        event_type <> 'error' and value >= 5 as was_in_stock, ts + interval 366 day as event_ts_utc,
        cast(ts + interval 366 day as date) as event_date, cast(ts + interval 366 day as date) as dt
-from events where day(ts + interval 366 day) <> 17""",
+from events""",
     "customer_snapshot": """
 select 'CUS-' || c_custkey as customer_id, 'STR-' || n_regionkey as home_store_id, lower(c_mktsegment) as acquisition_channel,
        ['android','ios','web'][c_custkey % 3 + 1] as device, (c_custkey + quarter(q)) % 2 = 0 as is_member,

@@ -152,7 +152,7 @@ def quality_queries() -> dict[str, Query]:
         ),
         "n52_velocity": q(
             lambda wh: figures.profile_velocity(wh.feed), "decile:i stockout_rate:6 volume_share:6",
-            """select decile, avg(coalesce(n, 0)) / 5110 as stockout_rate, sum(u) / (select sum(qty) from raw_items where qty > 0) as volume_share
+            """select decile, avg(coalesce(n, 0)) / (select count(distinct day) * (select count(distinct store_id) from pos_orders) from sold_items) as stockout_rate, sum(u) / (select sum(qty) from raw_items where qty > 0) as volume_share
                from (select sku_id, sum(qty) as u, ntile(10) over (order by sum(qty), sku_id) as decile from raw_items where qty > 0 group by 1)
                left join (select sku_id, count(*) as n from wms_stockout_interval group by 1) using (sku_id) group by 1""",
         ),

@@ -140,7 +140,8 @@ def showcase_queries() -> dict[str, Query]:
                from (select store_id, sku_id, date_day, sum(case when event_type = 'pdp_view' then event_count end) as v,
                             sum(case when event_type = 'notify_me' then event_count end) as nm,
                             sum(case when event_type = 'pdp_view' and not was_in_stock then event_count end) as dry from clicks group by all)
-               join cells using (store_id, sku_id, date_day) group by l1_category""",
+               join (select * exclude (l1_category) from cells) using (store_id, sku_id, date_day)
+               join (select sku_id, l1_category from products) using (sku_id) group by l1_category""",
         ),
         "q10_top_n_per_store": q(
             sc.top_sellers,
