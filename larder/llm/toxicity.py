@@ -173,7 +173,8 @@ def learn(
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for y, t in zip(part["y"], part["t"], strict=True):
-                yield pd.DataFrame({"f": list({f for w in set(tokens(t)) for f in word_features(w)}), "y": y}, columns=["f", "y"])
+                if found := {f for w in set(tokens(t)) for f in word_features(w)}:
+                    yield pd.DataFrame({"f": list(found), "y": y})
 
     sizes = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
     if len(sizes) < 2:
