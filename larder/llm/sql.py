@@ -15,4 +15,32 @@ where q.vec_id % 20 = 0
 qualify rank <= 10
 """
 
-SQL = {"op5_hamming": HAMMING}
+_WORDS = """list_filter(string_split_regex(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"""
+
+CONTAMINATION = f"""
+with docs as materialized (
+    select doc_id, row_number() over () as rid, coalesce({_WORDS.format("text")}, []) as words from documents
+),
+items as materialized (
+    select cast(item_id as varchar) as item, {_WORDS.format("text")} as words from benchmark
+),
+item_windows as materialized (
+    select distinct item, n, list_aggregate(list_slice(words, a, a + n - 1), 'string_agg', ' ') as body
+    from (select item, words, least(len(words), 10) as n, unnest(range(1, len(words) - least(len(words), 10) + 2)) as a from items where len(words) > 0)
+),
+hits as materialized (
+    select d.rid, d.a, d.n, i.item
+    from (select rid, n, a, list_aggregate(list_slice(words, a, a + n - 1), 'string_agg', ' ') as body
+          from (select rid, words, n, unnest(range(1, len(words) - n + 2)) as a
+                from docs, (select distinct n from item_windows) where len(words) >= n)) d
+    join item_windows i on i.n = d.n and i.body = d.body
+),
+counted as (select rid, count(distinct place) as n_hit from (select rid, unnest(range(a, a + n)) as place from hits) group by rid),
+named as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct rid, item from hits) group by rid)
+select doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+    sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join counted using (rid) left join named using (rid)
+"""
+
+SQL = {"op3_decontaminate": CONTAMINATION, "op5_hamming": HAMMING}
