@@ -72,7 +72,6 @@ def read_feeds(spark: SparkSession, root: str):
     return feed
 
 
-def append_feed(df: DataFrame, root: str, name: str, files_per_day: int = 1) -> None:
-    """Append rows to their ``dt=`` folders; a heavy day is spread over ``files_per_day`` tasks."""
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != "dt"][:3]), F.lit(files_per_day))
-    df.repartition("dt", salt).write.partitionBy("dt").mode("append").parquet(f"{root}/{name}")
+def append_feed(df: DataFrame, root: str, name: str) -> None:
+    """Append rows to their ``dt=`` folders; a day larger than the advisory partition size goes to several tasks."""
+    df.hint("rebalance", "dt").write.partitionBy("dt").mode("append").parquet(f"{root}/{name}")

@@ -13,11 +13,11 @@ def replace_table(df: DataFrame, name: str) -> None:
     df.write.mode("overwrite").saveAsTable(name)
 
 
-def replace_days(df: DataFrame, path: str, day: str = "date_day", files_per_day: int = 1) -> None:
-    """Overwrite only the days present in ``df``; every other day's files stay as they are."""
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != day][:2]), F.lit(files_per_day))
+def replace_days(df: DataFrame, path: str, day: str = "date_day") -> None:
+    """Overwrite only the days present in ``df``; every other day's files stay as they are. Rows come together
+    by day, and adaptive execution splits a day that is larger than the advisory partition size."""
     (
-        df.repartition(day, salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        df.hint("rebalance", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(day).parquet(path)
     )
 

@@ -45,8 +45,10 @@ def hourly_clicks(clicks: DataFrame) -> DataFrame:
 def browse_sessions(clicks: DataFrame, gap: str = "1 hour", min_span_hours: int = 2) -> DataFrame:
     """Views with no pause of an hour, kept when they span hours enough.
 
-    A session ends after an hour of silence, so its boundaries differ from runs of whole hours.
+    A session ends after an hour of silence, so its boundaries differ from runs of whole hours. Events of a
+    task are merged into sessions before the shuffle, so a much-viewed product sends few rows.
     """
+    clicks.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     sessions = (
         clicks.filter(F.col("event_type") == "pdp_view")
         .withColumns({"event_time": utc_instant(F.col("event_ts_utc")), "sku_id": conformed_sku_id(F.col("sku_id"))})

@@ -28,11 +28,26 @@ def test_feed_round_trip_with_ragged_files(spark, tmp_path):
 
 def test_one_day_is_read_from_one_folder(spark, tmp_path):
     rows = [order(str(i), datetime(2025, 3, 1 + i), date(2025, 3, 1 + i)) for i in range(5)]
-    feeds.append_feed(spark.createDataFrame(rows, feeds.feed_schema("pos_orders")), str(tmp_path), "pos_orders", files_per_day=2)
+    feeds.append_feed(spark.createDataFrame(rows, feeds.feed_schema("pos_orders")), str(tmp_path), "pos_orders")
     one = feeds.read_feed(spark, str(tmp_path), "pos_orders").filter(F.col("dt") == date(2025, 3, 2))
     assert "PartitionFilters: [isnotnull(dt" in one._jdf.queryExecution().toString() and one.count() == 1
 
 
+def test_a_heavy_day_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(60_000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"), F.when(F.col("id") % 10 == 0, F.lit(D)).otherwise(F.lit(D + timedelta(1))).alias("date_day"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes",)}
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        tables.replace_days(rows, str(tmp_path / "t"))
+        feeds.append_feed(rows.withColumnRenamed("date_day", "dt"), str(tmp_path), "f")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for folder, day in ((tmp_path / "t", "date_day"), (tmp_path / "f", "dt")):
+        assert len(list((folder / f"{day}={D + timedelta(1)}").glob("*.parquet"))) > 3
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 60_000
+
+
 def test_seeds_from_csv_equal_the_declared_rows(spark, tmp_path):
     path = str(tmp_path / "promotions")
     seeds.seed(spark, "promotions").coalesce(1).write.csv(path, header=True)
