@@ -14,6 +14,7 @@ from suite.models import over_library
 from suite.spec import Query
 
 D = "'PROMO-DEAL11'"
+BEFORE_AND_AFTER = [f"{c}_pre" for c in ("orders", "margin", "revenue", "units", "skus", "active_days", "promo_units")] + ["margin_post", "orders_post"]
 CAUSAL = {
     "customer_deal": f"""
 select e.customer_id, e.deal_arm, coalesce(orders, 0) as orders, coalesce(revenue, 0) as revenue, coalesce(margin, 0) as margin,
@@ -43,13 +44,10 @@ left join (select customer_id, max((coalesce(promo_id = {D}, false) and date_day
 left join (select i.customer_id, count(distinct i.date_day) as n from order_item i
            join cells x on x.store_id = i.store_id and x.sku_id = i.sku_id and x.date_day = i.date_day
            where x.is_censored and i.date_day >= date '2025-07-01' group by 1) s using (customer_id)""",
-    "responders": """
+    "responders": f"""
 select e.customer_id, (e.deal_arm = 'exposed')::int as treated, c.is_member::int as is_member, c.acquisition_channel, c.device,
-       date '2025-07-01' - c.signup_date as tenure_days, coalesce(p.orders_pre, 0) as orders_pre, coalesce(p.margin_pre, 0) as margin_pre,
-       coalesce(p.revenue_pre, 0) as revenue_pre, coalesce(p.units_pre, 0) as units_pre, coalesce(p.skus_pre, 0) as skus_pre,
-       coalesce(p.active_days_pre, 0) as active_days_pre, coalesce(p.promo_units_pre, 0) as promo_units_pre,
-       coalesce(date '2025-07-01' - p.last_day, 999) as recency_pre, coalesce(q.margin_post, 0) as margin_post,
-       coalesce(q.orders_post, 0) as orders_post, (c.churn_date is not null)::int as churned,
+       date '2025-07-01' - c.signup_date as tenure_days, {', '.join(f"coalesce({c}, 0) as {c}" for c in BEFORE_AND_AFTER)},
+       coalesce(date '2025-07-01' - p.last_day, 999) as recency_pre, (c.churn_date is not null)::int as churned,
        if(coalesce(units_pre, 0) > 0, promo_units_pre / units_pre, 0) as promo_share_pre,
        if(coalesce(orders_pre, 0) > 0, revenue_pre / orders_pre, 0) as basket_pre
 from crm_deal_exposure e join customers c using (customer_id)
