@@ -32,7 +32,7 @@ from larder.llm.blocks import meet, work_through
 from larder.workspace import cut_lineage
 
 BITS = 64
-BLOCK = 16384
+BLOCK = 65536
 CHUNK = 4096
 _NO_ID = -(1 << 63)
 
@@ -71,10 +71,11 @@ def _nearest(rows: tuple[np.ndarray, ...], most: int) -> tuple[np.ndarray, ...]:
 
 
 def probe(
-    codes: np.ndarray, first: np.ndarray, queries: np.ndarray, number: int, width: int, slab: int, high: int, radii: range, most: int
+    codes: np.ndarray, first: np.ndarray, queries: np.ndarray, bounds: np.ndarray, number: int, width: int, slab: int, high: int, radii: range, most: int
 ) -> tuple[np.ndarray, ...]:
     """Codes of one slab of one segment whose segment value is ``radii`` bits away from a query's, verified: the
-    nearest ``most`` of each query as (query number, distance, first id, code number)."""
+    nearest ``most`` of each query that are no further than its bound, as (query number, distance, first id,
+    code number)."""
     low = width - high
     cut = lambda x: (x.view(np.uint64) >> np.uint64(width * number)) & np.uint64((1 << width) - 1)
     order = np.argsort(cut(codes), kind="stable")
@@ -102,7 +103,9 @@ def probe(
                     spot = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[found[lo:hi]], size)
                     query = np.repeat(some[who[lo:hi]], size)
                     distance = np.bitwise_count(queries.view(np.uint64)[query] ^ sorted_codes.view(np.uint64)[spot]).astype(np.int64)
-                    best = _nearest(tuple(np.concatenate(x) for x in zip(best, (query, distance, first[order[spot]], order[spot]), strict=True)), most)
+                    near = distance <= bounds[query]
+                    fresh = (query[near], distance[near], first[order[spot[near]]], order[spot[near]])
+                    best = _nearest(tuple(np.concatenate(x) for x in zip(best, fresh, strict=True)), most)
     return best
 
 
@@ -116,7 +119,7 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10, ident: str = "id",
         few.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("id"))).alias("ids"))
         .select("code", "ids", F.size("ids").alias("n"), F.coalesce(F.col("ids")[0]["id"], F.lit(_NO_ID)).alias("first"))
     )
-    open_ = cut_lineage(asked.select("code").distinct())
+    open_ = cut_lineage(asked.select("code").distinct().withColumn("bound", F.lit(BITS)))
     total = index.count()
     m = segments or segments_for(total)
     width = BITS // m
@@ -134,14 +137,14 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10, ident: str = "id",
     while True:
         radii = range(lowest, radius + 1)
         reach = F.array(*[F.lit(int(x)).cast("int") for r in range(min(high, radius) + 1) for x in flips(high, r)])
-        sent = placed(open_).select("code", "seg", F.explode(reach).alias("x"), "slab").select(
-            "code", F.lit(0).cast("long").alias("first"), F.lit(0).alias("n"), "seg", F.col("slab").bitwiseXOR(F.col("x")).alias("slab")
+        sent = placed(open_).select("code", "bound", "seg", F.explode(reach).alias("x"), "slab").select(
+            "code", F.lit(0).cast("long").alias("first"), F.col("bound").alias("n"), "seg", F.col("slab").bitwiseXOR(F.col("x")).alias("slab")
         )
 
         def work(key: tuple, own: pd.DataFrame, visits: pd.DataFrame, radii=radii) -> pd.DataFrame:
             codes, first, count = (own[c].to_numpy(np.int64) for c in ("code", "first", "n"))
             q = visits["code"].to_numpy(np.int64)
-            who, distance, _, which = probe(codes, first, q, key[0], width, key[1], high, radii, k + 1)
+            who, distance, _, which = probe(codes, first, q, visits["n"].to_numpy(np.int64), key[0], width, key[1], high, radii, k + 1)
             return pd.DataFrame({"q": q[who], "code": codes[which], "distance": distance, "first": first[which], "n": count[which]})
 
         met = meet(entries, sent, ["seg", "slab"], "code", BLOCK, CHUNK)
@@ -151,8 +154,10 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10, ident: str = "id",
         upto = Window.partitionBy("q").orderBy("distance").rangeBetween(Window.unboundedPreceding, 0)
         others = F.sum(F.col("n") - (F.col("distance") == 0).cast("int")).over(upto)
         covered = m * (radius + 1) - 1
-        sure = best.withColumn("_others", others).filter((F.col("_others") >= k) & (F.col("distance") <= covered)).select(F.col("q").alias("code")).distinct()
-        open_ = cut_lineage(open_.join(sure, "code", "left_anti"))
+        # The k-th verified distance: nothing beyond it is of use, and once it is covered the query is done.
+        kth = best.withColumn("_others", others).filter(F.col("_others") >= k).groupBy(F.col("q").alias("code")).agg(F.min("distance").cast("int").alias("bound"))
+        left = open_.select("code").join(kth, "code", "left").withColumn("bound", F.coalesce("bound", F.lit(BITS)))
+        open_ = cut_lineage(left.filter(F.col("bound") > covered))
         lowest, radius = radius + 1, radius + 1
         if lowest > width or open_.isEmpty():
             break
