@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +34,11 @@ def model_accuracy(wh) -> DataFrame:
     return forecast.swap_forecast(wh("mart_forecast_accuracy"), model_forecast(wh))
 
 
+def served_forecast(wh) -> DataFrame:
+    """The model's numbers; series without features at the origin keep the moving average and its name."""
+    return forecast.swap_forecast(wh("mart_demand_baseline"), model_forecast(wh))
+
+
 def position(wh) -> DataFrame:
     return expiry.batch_position(
         wh("fct_inventory_movement"), wh("fct_inventory_batch"), wh("dim_product"), wh("mart_demand_forecast"), wh.params
@@ -90,8 +93,7 @@ def uplift_scores(wh, learner: str, outcome: str = "margin_post") -> DataFrame:
     def build() -> DataFrame:
         train, score = uplift.split(wh("uplift_panel"))
         if learner == "causal_tree":
-            # Smaller leaves than the default, so that small panels split as well.
-            fitted = CausalTree(uplift.NUMERIC, min_per_arm=30).fit(train, outcome)
+            fitted = CausalTree(uplift.NUMERIC).fit(train, outcome)
             return fitted.predict(score.select(*uplift.NUMERIC, *[c for c in uplift.KEPT if c not in uplift.NUMERIC]))
         return LEARNERS[learner](train, score, outcome)
 
@@ -126,46 +128,11 @@ def presented_readout(wh) -> DataFrame:
     return marts.mart_deal_readout(deal_readout(wh))
 
 
-TRIAL_START = date(2025, 7, 1)
-
-
-def trial(wh) -> DataFrame:
-    """A store experiment over the warehouse: categories repeat it, every other store is treated."""
-    treated = F.substring("store_id", 5, 12).cast("int") % 2 == 0
-    return did.with_margin(did.experiment_panel(wh("agg_store_sku_day"), TRIAL_START, F.col("l1_category"), treated))
-
-
-def experiment(wh) -> DataFrame:
-    return did.experiment_readout(trial(wh))
-
-
-def presented_experiment(wh) -> DataFrame:
-    return marts.mart_experiment_readout(experiment(wh))
-
-
-def component_trial(wh) -> DataFrame:
-    """The trial with one component's part of the result taken out at a time."""
-    full = trial(wh)
-    without = {
-        "markdown": full.withColumn("revenue", F.col("revenue") + F.col("markdown_subsidy")),
-        "freshness": full.withColumns({"units_expired": F.lit(0), "writeoff_value": F.lit(0.0)}),
-        "availability": full.withColumn("units_lost", F.lit(0.0)),
-    }
-    frames = {did.FULL: full, **without}
-    same = {k: f.withColumns({"units_expired": F.col("units_expired").cast("long"), "margin": F.col("revenue") - F.col("cogs")}) for k, f in frames.items()}
-    return did.stack(same, "component")
-
-
-def swept_trial(wh, costs: tuple[float, ...] = (0.0, 42.0, 70.0)) -> DataFrame:
-    """The trial's margin at several delivery costs."""
-    priced = trial(wh).withColumns({"param": F.lit("delivery_cost"), "value": F.explode(F.array(*[F.lit(c) for c in costs]))})
-    return priced.withColumn("margin", F.col("margin") - F.col("value") * F.col("orders"))
-
-
 def job_builders(wh) -> dict:
     return {
         "mart_forecast_accuracy": lambda: forecast.backtest(wh("agg_store_sku_day"), wh("dim_product"), wh.params),
-        "mart_demand_forecast": lambda: forecast.baseline_forecast(wh("agg_store_sku_day"), wh.params),
+        "mart_demand_baseline": lambda: forecast.baseline_forecast(wh("agg_store_sku_day"), wh.params),
+        "mart_demand_forecast": lambda: wh("mart_demand_baseline") if wh.params.demand_model == "baseline" else served_forecast(wh),
         "mart_expiry_risk": lambda: expiry.expiry_risk(
             position(wh), forecast.fit_dispersion(wh("mart_forecast_accuracy")), wh.params
         ),
@@ -183,6 +150,6 @@ def job_builders(wh) -> dict:
         "event_panel": lambda: deal.event_panel(wh("fct_price_history"), wh("agg_store_sku_day")),
         "uplift_panel": lambda: deal.uplift_panel(wh("fct_order_item"), wh("dim_customer"), wh("stg_crm__deal_exposure")),
         "mart_deal_readout": lambda: presented_readout(wh),
-        "mart_experiment_readout": lambda: presented_experiment(wh),
+        "mart_experiment_readout": lambda: marts.mart_experiment_readout(did.experiment_readout(wh("experiment_panel"))),
         "dq_test_results": lambda: dq_test_results(wh),
     }

@@ -6,7 +6,7 @@ a lazy plan.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +15,6 @@ from larder.operators import aggregates, dimensions, facts, marts, staging
 from larder.params import Params
 from larder.plans.jobs import job_builders
 from larder.sources import seeds
-from larder.sources.tpch import LEDGER_SLICE_WIDTH, TpchFeeds
 from larder.workspace import Workspace
 
 FEED_OF_STAGING = {
@@ -40,7 +39,7 @@ KEPT = {
     "stg_pos__orders", "stg_pos__order_lines", "stg_pos__order_items", "dim_product", "dim_date", "dim_promotion",
     "fct_order_item", "fct_order", "fct_inventory_movement", "fct_inventory_batch", "fct_availability_hour",
     "fct_clickstream", "fct_price_history", "agg_store_sku_day", "agg_intraday_arrival_curve", "mart_customer_360",
-    "mart_forecast_accuracy", "mart_demand_forecast", "mart_expiry_risk", "elasticity_panel", "mart_price_elasticity",
+    "mart_forecast_accuracy", "mart_demand_forecast", "mart_demand_baseline", "mart_expiry_risk", "elasticity_panel", "mart_price_elasticity",
     "rec_markdown", "rec_deal_slot", "rec_transfer_order", "rec_purchase_order", "event_panel", "uplift_panel", "dq_test_results",
 }
 
@@ -52,8 +51,11 @@ class Warehouse:
         feed: Callable[[str], DataFrame],
         workspace: Workspace,
         params: Params = Params(),
+        own: Mapping[str, Callable[[Warehouse], DataFrame]] | None = None,
     ):
+        """``own`` adds tables that no feed holds, such as ``experiment_panel``, or replaces built ones."""
         self.spark, self.feed, self.workspace, self.params = spark, feed, workspace, params
+        self._own = dict(own or {})
         self._tables: dict[str, DataFrame] = {}
 
     def __call__(self, name: str) -> DataFrame:
@@ -77,6 +79,8 @@ class Warehouse:
 
     def _build(self, name: str) -> DataFrame:
         t = self
+        if name in self._own:
+            return self._own[name](self)
         if name in FEED_OF_STAGING:
             return getattr(staging, name)(self.feed(FEED_OF_STAGING[name]))
         if name in seeds.SEED_ROWS:
@@ -143,15 +147,3 @@ class Warehouse:
         daily["customer_snapshot"] = (self("stg_crm__customers"), "snapshot_date")
         return marts.dq_source_coverage(daily, self("dim_date"), self("stg_catalog__products"))
 
-
-_OPEN: dict[tuple[str, str], Warehouse] = {}
-
-
-def open_tpch(spark: SparkSession, folder: str) -> Warehouse:
-    """The warehouse over one folder of given tables; built once per Spark application."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _OPEN:
-        workspace = Workspace(spark, folder)
-        feeds = TpchFeeds(spark, folder, keep=workspace.write)
-        _OPEN[key] = Warehouse(spark, feeds, workspace, Params(ledger_slice_width=LEDGER_SLICE_WIDTH))
-    return _OPEN[key]

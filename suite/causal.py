@@ -10,6 +10,7 @@ from larder.plans import jobs
 from suite.ctes_feeds import FEEDS
 from suite.ctes_jobs import JOBS
 from suite.ctes_models import MODELS
+from suite import trials
 from suite.models import over_library
 from suite.spec import Query
 
@@ -196,28 +197,28 @@ def causal_queries() -> dict[str, Query]:
         "m33_deal_readout_display": q(
             lambda wh: jobs.presented_readout(wh), "page:s page_order:i metric:s value:2 unit:s is_significant:b display_value:s"
         ),
-        "n45_seed_did": q(lambda wh: did.seed_did(jobs.trial(wh)), "seed:s metric:s did:3", DID_ALL),
+        "n45_seed_did": q(lambda wh: did.seed_did(trials.trial(wh)), "seed:s metric:s did:3", DID_ALL),
         "n45_did_estimate": q(
-            lambda wh: did.estimate(jobs.trial(wh)), "metric:s effect:3 relative:3 ci_low:3 ci_high:3 seeds:i",
+            lambda wh: did.estimate(trials.trial(wh)), "metric:s effect:3 relative:3 ci_low:3 ci_high:3 seeds:i",
             f"""select metric, effect, 100 * effect / base as relative, effect - h as ci_low, effect + h as ci_high, seeds
                 from (select metric, avg(did) as effect, {T_975_5} * stddev_samp(did) / sqrt(count(did)) as h, count(did) as seeds
                       from ({DID_ALL}) group by metric) join ({BASE_ALL}) using (metric)""",
         ),
-        "n46_pre_trend_gap": q(lambda wh: did.pre_trend_gap(jobs.trial(wh)), "seed:s metric:s gap:4", GAP_ALL),
+        "n46_pre_trend_gap": q(lambda wh: did.pre_trend_gap(trials.trial(wh)), "seed:s metric:s gap:4", GAP_ALL),
         "n46_parallel_trends": q(
-            lambda wh: did.trends_are_parallel(did.pre_trend_gap(jobs.trial(wh))), "metric:s mean_gap:4 seeds:i p_value:5 parallel:b"
+            lambda wh: did.trends_are_parallel(did.pre_trend_gap(trials.trial(wh))), "metric:s mean_gap:4 seeds:i p_value:5 parallel:b"
         ),
         "n47_experiment_readout": q(
-            lambda wh: jobs.experiment(wh),
+            lambda wh: trials.experiment(wh),
             "metric:s unit:s policy_a:4 policy_b:4 delta:4 ci_low:4 ci_high:4 significant:b seeds:i not_applicable_reason:s",
         ),
         "m34_experiment_display": q(
-            lambda wh: jobs.presented_experiment(wh),
+            lambda wh: trials.presented_experiment(wh),
             "metric:s display_order:i is_measured:b display_policy_a:2 display_policy_b:2 display_delta:2 display_unit:s",
         ),
-        "n48_attribution": q(lambda wh: did.attribution(jobs.component_trial(wh)), "metric:s component:s contribution:4 total:4"),
+        "n48_attribution": q(lambda wh: did.attribution(trials.component_trial(wh)), "metric:s component:s contribution:4 total:4"),
         "n49_sensitivity": q(
-            lambda wh: did.sensitivity(jobs.swept_trial(wh), ["margin", "revenue"]),
+            lambda wh: did.sensitivity(trials.swept_trial(wh), ["margin", "revenue"]),
             "param:s metric:s settings:i lowest:3 highest:3 worst_p:4 survives:b",
         ),
         "n50_delivery_cost_sweep": q(
@@ -236,7 +237,7 @@ def causal_queries() -> dict[str, Query]:
         ),
         "n53_arm_totals": q(
             lambda wh: did.arm_totals(
-                jobs.trial(wh).withColumn("arm", F.when(F.col("treated"), "optimized").otherwise("baseline"))
+                trials.trial(wh).withColumn("arm", F.when(F.col("treated"), "optimized").otherwise("baseline"))
             ),
             "arm:s units_demanded:2 units_sold:i units_expired:i writeoff_value:2 revenue:2 cogs:2",
             """select if(treated, 'optimized', 'baseline') as arm, sum(units_sold + units_lost) as units_demanded, sum(units_sold) as units_sold,

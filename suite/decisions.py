@@ -65,6 +65,18 @@ def decision_queries() -> dict[str, Query]:
             lambda wh: jobs.model_accuracy(wh),
             "store_id:s sku_id:s date_day:d origin_date:d horizon_days:i actual_units:i forecast_units:4 baseline_units:4 model_name:s",
         ),
+        "n06_served_forecast": q(
+            lambda wh: jobs.served_forecast(wh).groupBy("origin_date", "horizon_days").agg(
+                F.count("*").alias("n"), F.count(F.when(F.col("forecast_units") < 0, 1)).alias("negative"),
+                F.count(F.when(F.col("model_name") == forecast.BASELINE_NAME, 1)).alias("from_baseline"),
+                F.sum(F.when(F.col("model_name") == forecast.BASELINE_NAME, F.col("forecast_units")).otherwise(0.0)).alias("baseline_units"),
+            ),
+            "origin_date:d horizon_days:i n:i negative:i from_baseline:i baseline_units:3",
+            """select f.origin_date, f.horizon_days, count(*) as n, 0 as negative, count(*) filter (where x.sku_id is null) as from_baseline,
+                      coalesce(sum(f.forecast_units) filter (where x.sku_id is null), 0) as baseline_units
+               from forecast f left join (select distinct store_id, sku_id, date_day, origin_date, horizon_days from features) x
+                    using (store_id, sku_id, date_day, origin_date, horizon_days) group by 1, 2""",
+        ),
         "n06_baseline_forecast": q(
             lambda wh: wh("mart_demand_forecast"),
             "store_id:s sku_id:s date_day:d origin_date:d horizon_days:i forecast_units:6 model_name:s", "select * from forecast",

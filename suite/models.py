@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larder.plans.warehouse import open_tpch
 from suite.ctes_feeds import FEEDS
 from suite.ctes_models import MODELS
+from suite.tpch import open_tpch
 from suite.spec import Query, columns, shape_spark, shape_sql, with_ctes
 
 LIBRARY = {**FEEDS, **MODELS}

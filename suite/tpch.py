@@ -3,7 +3,7 @@
 The order book of the given tables is folded onto one trading year, stores are the regions of
 the customers, SKUs are brand and type. The derived feeds carry the dirt the staging layer
 must repair: late and duplicated rows, two return encodings, two SKU id formats, UTC clicks,
-movements that lost their batch, drifting pack units, a missing click partition.
+movements that lost their batch, drifting pack units. Every given row is kept.
 """
 
 from __future__ import annotations
@@ -13,6 +13,11 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.params import Params
+from larder.plans.warehouse import Warehouse
+from larder.workspace import Workspace
+from suite.trials import trial
+
 # The derivation is only comparable when both sides use the same ones.
 FIRST_DAY = date(2025, 1, 1)
 LAST_DAY = date(2025, 12, 31)
@@ -477,3 +482,21 @@ class TpchFeeds:
             F.when(key % 7 == 0, F.lit(True)).alias("private_label_only"),
             F.lit(FIRST_DAY).alias("dt"),
         )
+
+
+_OPEN: dict[tuple[str, str], Warehouse] = {}
+
+
+def open_tpch(spark: SparkSession, folder: str) -> Warehouse:
+    """The warehouse over one folder of given tables; built once per Spark application.
+
+    Its served forecast is the moving average, which SQL can repeat; ``jobs.served_forecast`` is compared
+    by itself.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _OPEN:
+        workspace = Workspace(spark, folder)
+        feeds = TpchFeeds(spark, folder, keep=workspace.write)
+        params = Params(ledger_slice_width=LEDGER_SLICE_WIDTH, demand_model="baseline")
+        _OPEN[key] = Warehouse(spark, feeds, workspace, params, {"experiment_panel": trial})
+    return _OPEN[key]

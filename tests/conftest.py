@@ -23,6 +23,6 @@ def spark():
 
 @pytest.fixture(scope="session")
 def warehouse(spark):
-    from larder.plans.warehouse import open_tpch
+    from suite.tpch import open_tpch
 
     return open_tpch(spark, SMALL)
