@@ -70,8 +70,19 @@ from (select customer_id, units_pre, row_number() over w as i, sum(treated) over
 select l1_category as seed, store_id, date_day - date '2025-07-01' as day_rel, date_day >= date '2025-07-01' as post,
        cast(store_id[5:] as int) % 2 = 0 as treated, sum(units_sold) as units_sold, sum(writeoff_units) as units_expired,
        sum(writeoff_value) as writeoff_value, sum(greatest(units_demanded_imputed - units_sold, 0)) as units_lost, sum(net_revenue) as revenue,
-       sum(cogs) as cogs, sum(net_revenue) - sum(cogs) as margin, sum(markdown_subsidy_platform) as markdown_subsidy
+       sum(cogs) as cogs, sum(net_revenue) - sum(cogs) as margin, sum(markdown_subsidy_platform) as markdown_subsidy,
+       sum(order_count) as orders
 from cells group by seed, store_id, date_day""",
+    "trial_rates": """
+select *, writeoff_value / nullif(revenue, 0) as wastage_rate_value, (revenue - cogs - writeoff_value) / nullif(revenue, 0) as gm_awm_pct,
+       1 - units_lost / nullif(units_sold + units_lost, 0) as availability_pct, markdown_subsidy as markdown_subsidy_inr from trial""",
+    "trial_parts": """
+select 'full' as component, * from trial
+union all by name select 'markdown' as component, * replace (revenue + markdown_subsidy as revenue, margin + markdown_subsidy as margin) from trial
+union all by name select 'freshness' as component, * replace (0 as units_expired, 0 as writeoff_value) from trial
+union all by name select 'availability' as component, * replace (0 as units_lost) from trial""",
+    "trial_costs": """
+select 'delivery_cost' as param, cost as value, t.* replace (margin - cost * orders as margin) from trial t, (select unnest([0.0, 42.0, 70.0]) as cost)""",
 }
 LIBRARY = {**FEEDS, **MODELS, **JOBS, **CAUSAL}
 # Fixed value: Student's 0.975 quantile for five degrees of freedom.
@@ -93,6 +104,34 @@ def did_sql(metric: str) -> str:
        - avg({metric}) filter (post and not treated) + avg({metric}) filter (not post and not treated) as did from trial group by seed"""
 
 
+def effects_sql(source: str, metrics: list[str], by: str = "") -> str:
+    """Mean effect over the six categories, its Student interval, the base it is relative to and its p-value (five
+    degrees of freedom have a closed form)."""
+    keys = f"{by}, " if by else ""
+    cell = "avg({m}) filter ({a} post and {b} treated)"
+    one = "select {k}'{m}' as metric, seed, " + " ".join(
+        sign + cell.replace("{a}", a).replace("{b}", b) for sign, a, b in (("", "", ""), ("- ", "not", ""), ("- ", "", "not"), ("+ ", "not", "not"))
+    ) + " as did from {s} group by {k}seed"
+    base = "select {k}'{m}' as metric, avg({m}) filter (post and not treated) as base from {s}" + (" group by {k}metric" if by else "")
+    dids = " union all ".join(one.format(k=keys, m=m, s=source) for m in metrics)
+    bases = " union all ".join(base.format(k=keys, m=m, s=source) for m in metrics)
+    return f"""select *, effect - {T_975_5} * se as ci_low, effect + {T_975_5} * se as ci_high, 100 * effect / nullif(base, 0) as relative,
+       1 - 2 / pi() * (angle + sin(angle) * (cos(angle) + 2 / 3.0 * pow(cos(angle), 3))) as p_value
+from (select *, atan(abs(effect) / nullif(se, 0) / sqrt(5)) as angle
+      from (select {keys}metric, avg(did) as effect, stddev_samp(did) / sqrt(count(did)) as se, count(did) as seeds from ({dids}) group by {keys}metric)
+      join ({bases}) using ({keys}metric))"""
+
+
+# Two-sided Student p-values have a closed form for few degrees of freedom (here categories less one).
+GAPS_TESTED = """
+select *, case seeds - 1 when 6 then 1 - sin(angle) * (1 + pow(cos(angle), 2) / 2 + 3 * pow(cos(angle), 4) / 8)
+                         when 5 then 1 - 2 / pi() * (angle + sin(angle) * (cos(angle) + 2 / 3.0 * pow(cos(angle), 3)))
+                         when 4 then 1 - sin(angle) * (1 + pow(cos(angle), 2) / 2)
+                         when 3 then 1 - 2 / pi() * (angle + sin(angle) * cos(angle))
+                         when 2 then 1 - sin(angle) end as p
+from (select metric, avg(gap) as mean_gap, count(gap) as seeds,
+             atan(abs(avg(gap)) / nullif(stddev_samp(gap) / sqrt(count(gap)), 0) / sqrt(count(gap) - 1)) as angle
+      from ({gaps}) group by metric)"""
 WELCH = "outcome:s exposed_mean:4 holdout_mean:4 diff:4 ci_low:4 ci_high:4 mde:4 is_significant:b n_exposed:i n_holdout:i"
 DID_ALL = " union all ".join(did_sql(m) for m in did.METRICS)
 BASE_ALL = " union all ".join(
@@ -206,20 +245,35 @@ def causal_queries() -> dict[str, Query]:
         ),
         "n46_pre_trend_gap": q(lambda wh: did.pre_trend_gap(trials.trial(wh)), "seed:s metric:s gap:4", GAP_ALL),
         "n46_parallel_trends": q(
-            lambda wh: did.trends_are_parallel(did.pre_trend_gap(trials.trial(wh))), "metric:s mean_gap:4 seeds:i p_value:5 parallel:b"
+            lambda wh: did.trends_are_parallel(did.pre_trend_gap(trials.trial(wh))), "metric:s mean_gap:4 seeds:i p_value:5 parallel:b",
+            f"select metric, mean_gap, seeds, p as p_value, p > {did.TRENDS_ALPHA} as parallel from ({GAPS_TESTED.format(gaps=GAP_ALL)})",
         ),
         "n47_experiment_readout": q(
             lambda wh: trials.experiment(wh),
             "metric:s unit:s policy_a:4 policy_b:4 delta:4 ci_low:4 ci_high:4 significant:b seeds:i not_applicable_reason:s",
+            f"""select metric, case metric when 'markdown_subsidy_inr' then 'money' else 'ratio' end as unit, policy_a, policy_b, effect as delta, ci_low, ci_high,
+                       ci_low > 0 or ci_high < 0 as significant, seeds, null as not_applicable_reason
+                from ({effects_sql("trial_rates", [m for m, _ in did.READOUT])}) e
+                join ({" union all ".join(f"select '{m}' as metric, avg({m}) filter (not treated) as policy_a, avg({m}) filter (treated) as policy_b from trial_rates where post" for m, _ in did.READOUT)}) using (metric)
+                union all values {", ".join(f"('{m}', 'n/a', null, null, null, null, null, null, null, '{why}')" for m, why in did.NOT_APPLICABLE.items())}""",
         ),
         "m34_experiment_display": q(
             lambda wh: trials.presented_experiment(wh),
             "metric:s display_order:i is_measured:b display_policy_a:2 display_policy_b:2 display_delta:2 display_unit:s",
         ),
-        "n48_attribution": q(lambda wh: did.attribution(trials.component_trial(wh)), "metric:s component:s contribution:4 total:4"),
+        "n48_attribution": q(
+            lambda wh: did.attribution(trials.component_trial(wh)), "metric:s component:s contribution:4 total:4",
+            f"""with e as (select component, metric, relative from ({effects_sql("trial_parts", did.METRICS, "component")})),
+                     parts as (select p.metric, p.component, f.relative - p.relative as contribution, f.relative as total
+                               from e p join e f on f.metric = p.metric and f.component = 'full' where p.component <> 'full')
+                select * from parts union all select metric, 'residual', any_value(total) - sum(contribution), any_value(total) from parts group by metric""",
+        ),
         "n49_sensitivity": q(
             lambda wh: did.sensitivity(trials.swept_trial(wh), ["margin", "revenue"]),
             "param:s metric:s settings:i lowest:3 highest:3 worst_p:4 survives:b",
+            f"""select param, metric, count(*) as settings, min(effect) as lowest, max(effect) as highest, max(p_value) as worst_p,
+                       count(*) >= 2 and count(distinct effect > 0) = 1 and bool_and(coalesce(p_value < 0.05, false)) as survives
+                from ({effects_sql("trial_costs", ["margin", "revenue"], "param, value")}) group by 1, 2""",
         ),
         "n50_delivery_cost_sweep": q(
             lambda wh: delivery.delivery_cost_sweep(wh("mart_customer_360")), "ddi_band:s cost:2 customers:i orders:i contribution_per_customer:4",
