@@ -7,8 +7,8 @@ the words of host and path. Its training labels come from ``seeds``: a URL whose
 is of the unwanted class; what else goes along with such hosts is learned from all URLs.
 
 Scale: word counts and class counts are grouped in Spark with partial sums, over all pages. The models are
-tables of at most ``vocabulary`` words (a documented parameter, the most frequent ones; any other word is
-counted as one unknown word), so what is broadcast has a fixed bound. Splitting and scoring are a
+tables of at most ``vocabulary`` words (a documented parameter, the most frequent ones, without those that
+tie at its border; any other word is counted as one unknown word), so what is broadcast has a fixed bound. Splitting and scoring are a
 narrow map; a host's split is remembered inside a task, and no shuffle brings the pages of a host together.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and no words: it
@@ -26,7 +26,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 VOCABULARY = 50_000
@@ -109,11 +109,24 @@ class Bayes:
         return self.prior + sum(self.ratios.get(w, self.unknown) for w in words)
 
 
+def most_frequent(counts: DataFrame, count: Column, most: int) -> list[Row]:
+    """Rows of the largest counts, ``most`` at most. The border is found on a histogram of a few thousand
+    steps (64 to each doubling), so the driver gets these rows and the steps, whatever the number of tasks;
+    rows in the step that would not fit whole are left out."""
+    step = F.floor(F.log2(count) * 64)
+    room, border = most, None
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        if r["count"] > room:
+            break
+        room, border = room - r["count"], r["step"]
+    return [] if border is None else counts.filter(step >= border).collect()
+
+
 def learn_words(texts: DataFrame, text: str, vocabulary: int = VOCABULARY, extra: Sequence[str] = SEEDS) -> Unigrams:
     """Unigram costs of the most frequent words of all texts; ``extra`` words are always known."""
     words = texts.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("w")).filter((F.length("w") >= 2) & (F.length("w") <= LONGEST))
     counts = words.groupBy("w").agg(F.count("*").alias("n"))
-    top = {r["w"]: r["n"] for r in counts.orderBy(F.desc("n"), "w").limit(vocabulary).collect()}
+    top = {r["w"]: r["n"] for r in most_frequent(counts, F.col("n"), vocabulary)}
     least = max(top.values(), default=1)
     for w in extra:
         top[w] = max(top.get(w, 0), least)
@@ -159,7 +172,7 @@ def learn_classes(urls: DataFrame, model: Unigrams, seeds: Sequence[str] = SEEDS
     bad_urls, good_urls = sums.get(True, (0, 0))
     if not bad_urls or not good_urls:
         return Bayes({}, 0.0, math.inf if bad_urls else -math.inf)
-    top = counts.filter("w <> ''").orderBy(F.desc(F.col("bad") + F.col("good")), "w").limit(vocabulary).collect()
+    top = most_frequent(counts.filter("w <> ''"), F.col("bad") + F.col("good"), vocabulary)
     bad_all, good_all = (float(x) + len(top) + 1 for x in sums.get(False, (0, 0)))
     rest = [float(x) - sum(r[c] for r in top) + 1 for c, x in zip(("bad", "good"), sums.get(False, (0, 0)), strict=True)]
     ratio = lambda b, g: math.log(b / bad_all) - math.log(g / good_all)
