@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from larder.causal import deal, did, uplift
 from larder.decisions import delivery
-from larder.plans import jobs
+from larder.operators import marts
+from larder.plans import jobs, served
 from suite.ctes_feeds import FEEDS
 from suite.ctes_jobs import JOBS
 from suite.ctes_models import MODELS
@@ -132,6 +133,16 @@ select *, case seeds - 1 when 6 then 1 - sin(angle) * (1 + pow(cos(angle), 2) /
 from (select metric, avg(gap) as mean_gap, count(gap) as seeds,
              atan(abs(avg(gap)) / nullif(stddev_samp(gap) / sqrt(count(gap)), 0) / sqrt(count(gap) - 1)) as angle
       from ({gaps}) group by metric)"""
+READOUT_SQL = f"""select metric, case metric when 'markdown_subsidy_inr' then 'money' else 'ratio' end as unit, policy_a, policy_b, effect as delta, ci_low, ci_high,
+                       ci_low > 0 or ci_high < 0 as significant, seeds, null as not_applicable_reason
+                from ({effects_sql("trial_rates", [m for m, _ in did.READOUT])}) e
+                join ({" union all ".join(f"select '{m}' as metric, avg({m}) filter (not treated) as policy_a, avg({m}) filter (treated) as policy_b from trial_rates where post" for m, _ in did.READOUT)}) using (metric)
+                union all values {", ".join(f"('{m}', 'n/a', null, null, null, null, null, null, null, '{why}')" for m, why in did.NOT_APPLICABLE.items())}"""
+PRESENTED_SQL = f"""
+select *, coalesce(nullif(list_position({marts.EXPERIMENT_METRICS}, metric), 0), 9) as display_order, not_applicable_reason is null as is_measured,
+       {", ".join(f"round({c} * scale, 2) as display_{c}" for c in ("policy_a", "policy_b", "delta"))},
+       case unit when 'ratio' then 'pp' when 'money' then 'Rs' else 'n/a' end as display_unit
+from (select *, if(unit = 'ratio', 100.0, 1.0) as scale from ({READOUT_SQL}))"""
 WELCH = "outcome:s exposed_mean:4 holdout_mean:4 diff:4 ci_low:4 ci_high:4 mde:4 is_significant:b n_exposed:i n_holdout:i"
 DID_ALL = " union all ".join(did_sql(m) for m in did.METRICS)
 BASE_ALL = " union all ".join(
@@ -251,15 +262,23 @@ def causal_queries() -> dict[str, Query]:
         "n47_experiment_readout": q(
             lambda wh: trials.experiment(wh),
             "metric:s unit:s policy_a:4 policy_b:4 delta:4 ci_low:4 ci_high:4 significant:b seeds:i not_applicable_reason:s",
-            f"""select metric, case metric when 'markdown_subsidy_inr' then 'money' else 'ratio' end as unit, policy_a, policy_b, effect as delta, ci_low, ci_high,
-                       ci_low > 0 or ci_high < 0 as significant, seeds, null as not_applicable_reason
-                from ({effects_sql("trial_rates", [m for m, _ in did.READOUT])}) e
-                join ({" union all ".join(f"select '{m}' as metric, avg({m}) filter (not treated) as policy_a, avg({m}) filter (treated) as policy_b from trial_rates where post" for m, _ in did.READOUT)}) using (metric)
-                union all values {", ".join(f"('{m}', 'n/a', null, null, null, null, null, null, null, '{why}')" for m, why in did.NOT_APPLICABLE.items())}""",
+            READOUT_SQL,
         ),
         "m34_experiment_display": q(
             lambda wh: trials.presented_experiment(wh),
             "metric:s display_order:i is_measured:b display_policy_a:2 display_policy_b:2 display_delta:2 display_unit:s",
+            PRESENTED_SQL,
+        ),
+        "v04_experiment_rows": q(
+            lambda wh: served.experiment_rows(wh("mart_experiment_readout")), "metric:s display_order:i display_delta:2 display_unit:s", PRESENTED_SQL
+        ),
+        "v06_deal_page": q(
+            lambda wh: served.deal_page(wh("mart_deal_readout"), "what_runs_tomorrow"), "page:s metric:s value:2 unit:s",
+            """select 'what_runs_tomorrow' as page, x.metric, x.value, x.unit
+               from (select count(*) as n, coalesce(sum(slot_value), 0) as total
+                     from (select store_id, unnest(picks) as sku_id from deal_sets where labels >= 1
+                           qualify row_number() over (partition by store_id order by total desc) = 1) join deal_values using (store_id, sku_id)),
+                    lateral (values ('slots_recommended', n, 'count'), ('slot_value_total', total, 'inr')) x(metric, value, unit)""",
         ),
         "n48_attribution": q(
             lambda wh: did.attribution(trials.component_trial(wh)), "metric:s component:s contribution:4 total:4",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from larder.decisions import forecast
 from larder.decisions.slots import BASKET_MARGIN
+from larder.functions.ranges import band_of
 from larder.plans import jobs
 from larder.quality import gate
 from larder.sources import feeds, seeds, slices, tables
@@ -55,8 +56,10 @@ def streamed(wh, name: str, transform) -> DataFrame:
 
 
 def streamed_upsert(wh) -> DataFrame:
+    """The items lie in folders by day, so the semi-join reads the touched days only (dynamic partition pruning)."""
     path = _fresh(wh, "upsert")
-    items = wh("fct_order_item")
+    tables.replace_days(wh("fct_order_item"), f"{path}/items")
+    items = wh.spark.read.schema(wh("fct_order_item").schema).parquet(f"{path}/items")
 
     def rebuild(days: DataFrame) -> DataFrame:
         rows = items.join(days, "date_day", "left_semi")
@@ -91,6 +94,26 @@ def sliced(wh) -> DataFrame:
     return rows
 
 
+def single_file(wh) -> DataFrame:
+    path = _fresh(wh, "single")
+    wh.feed("crm_deal_exposure").coalesce(1).write.parquet(path)
+    return feeds.read_file(wh.spark, path, "crm_deal_exposure")
+
+
+def replaced(wh) -> DataFrame:
+    path = _fresh(wh, "replaced")
+    name = f"replaced_{path.rsplit('/', 1)[-1].replace('-', '_')}"
+    days = wh("mart_order_daily")
+    tables.replace_table(days.filter("placed_orders < 0"), name, path)
+    tables.replace_table(days, name, path)
+    return wh.spark.table(name)
+
+
+def stock_by_band(wh) -> DataFrame:
+    stock = wh("mart_expiry_risk").withColumn("dte_band", band_of(F.col("days_to_expiry"), seeds.DTE_BANDS))
+    return stock.groupBy("dte_band").agg(F.count("*").alias("batches"), F.sum("qty_remaining").alias("units")).join(wh("dim_dte_band"), "dte_band")
+
+
 PICKED = """(select store_id from (select *, row_number() over (partition by catchment_tier order by n desc, store_id) as r
              from stores join (select store_id, count(*) as n from order_fact group by 1) using (store_id)) order by r, n desc, store_id limit 2)"""
 SPAN = "between date '2025-06-01' and date '2025-08-31'"
@@ -104,6 +127,13 @@ def source_queries() -> dict[str, Query]:
         "s01_partitioned_feed": q(
             read_back, "order_id:s store_id:s order_ts:t is_late:b n_units:i dt:d", "select * from pos_orders"
         ),
+        "s02_single_file": q(single_file, "customer_id:s deal_arm:s assigned_date:d holdout_share:6", "select * from crm_deal_exposure"),
+        "s08_replace_table": q(replaced, "store_id:s date_day:d placed_orders:i orders_count:i net_revenue:2", "select * from order_daily"),
+        "m16_stock_by_band": q(
+            stock_by_band, "dte_band:s sort_order:i batches:i units:i",
+            """select dte_band, sort_order, count(*) as batches, sum(qty_remaining) as units
+               from risk join dte_bands on days_to_expiry >= min_days and days_to_expiry < max_days group by 1, 2""",
+        ),
         "s03_seeds": q(
             lambda wh: seeds.seed(wh.spark, "promotions").join(wh("stg_catalog__price_history"), "promo_id").groupBy("promo_id", "funding_source").agg(F.count("*").alias("n")),
             "promo_id:s funding_source:s n:i",
