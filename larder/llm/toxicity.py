@@ -165,8 +165,10 @@ def learn(
     counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     if len(counts) < 2:
         return None
-    place = F.xxhash64(F.col("k").cast("string"), F.lit(5))
-    parts = [known.filter(F.col("y") == y).orderBy(place, "k").limit(per_class) for y in (0, 1)]
+    place = F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit(5)), F.lit(1_000_000))
+    # A share of twice the bound first, so that sorting does not meet all labels in one place.
+    share = {y: 2 * per_class * 1_000_000 // n + 1 for y, n in counts.items()}
+    parts = [known.filter((F.col("y") == y) & (place < share[y])).orderBy(place, "k").limit(per_class) for y in (0, 1)]
     # At most 2 * per_class ids.
     sample = cut_lineage(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(parts[0].union(parts[1])), "k"))
 
