@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.ordered import running_sum
 from larder.functions.ranges import band_of
 from larder.sources.seeds import DTE_BANDS
-from larder.workspace import cut_lineage
+from larder.workspace import Workspace, cut_lineage
 
 DEPTHS = [round(0.05 * i, 2) for i in range(13)]
 BUDGET_PER_STORE_DAY = 1000.0
@@ -124,8 +126,11 @@ def allocate(frontier: DataFrame, budget: float) -> DataFrame:
 
     A step that does not fit is passed over and ends its batch; later, cheaper steps may still
     fit. Each round takes, in every store at once, the longest affordable run of steps in order
-    and drops what can no longer fit; spending only grows, so a dropped step stays dropped.
+    and drops what can no longer fit; spending only grows, so a dropped step stays dropped. Every
+    round but the last buys a step in some store or ends batches, so there are at most as many rounds as
+    the fullest store has steps; what a round buys is written to a table, so plans do not grow.
     """
+    space, rounds = Workspace(frontier.sparkSession, f"markdown {uuid.uuid4()}"), []
     opening = frontier.groupBy("store_id").agg(F.sum(F.element_at("steps", 1)["spend"]).alias("spent"))
     exploded = frontier.select("store_id", "batch_id", F.posexplode("steps").alias("step", "s")).select(
         "store_id", "batch_id", "step", "s.spend", "s.margin"
@@ -139,7 +144,6 @@ def allocate(frontier: DataFrame, budget: float) -> DataFrame:
     ).filter("step > 0").withColumn("ratio", F.col("gain") / F.greatest("cost", F.lit(1e-9)))
     open_steps = cut_lineage(steps.filter("gain > 0 and cost > 0"))
     spent = cut_lineage(opening)
-    taken = None
     while True:
         fitting = open_steps.join(spent, "store_id").withColumn("left", F.lit(budget) - F.col("spent"))
         # A batch stops at its first step that cannot fit.
@@ -152,15 +156,15 @@ def allocate(frontier: DataFrame, budget: float) -> DataFrame:
             ["worth", "batch_id", "step"], "cost", "upto",
         )
         bought = cut_lineage(bought)
-        now = bought.filter("upto <= left")
+        now = space.write(bought.filter("upto <= left").select("store_id", "batch_id", "step", "cost"), f"round_{len(rounds)}")
         if now.isEmpty():
             break
-        now = now.select("store_id", "batch_id", "step", "cost")
-        taken = now if taken is None else taken.unionByName(now)
+        rounds.append(space.path(f"round_{len(rounds)}"))
         open_steps = bought.filter("upto > left").select("store_id", "batch_id", "step", "cost", "gain", "ratio")
         spent = cut_lineage(spent.unionByName(now.select("store_id", F.col("cost").alias("spent"))).groupBy("store_id").agg(F.sum("spent").alias("spent")))
-    if taken is None:
+    if not rounds:
         return frontier.select("store_id", "batch_id", F.lit(0).alias("position"))
+    taken = frontier.sparkSession.read.schema(now.schema).parquet(*rounds)
     reached = taken.groupBy("store_id", "batch_id").agg(F.max("step").alias("position"))
     return frontier.select("store_id", "batch_id").join(reached, ["store_id", "batch_id"], "left").fillna(0, ["position"])
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.workspace import cut_lineage
+from larder.workspace import Workspace, cut_lineage
 
 SPEED_KMH = 18.0
 HANDLING_HOURS = 2.0
@@ -23,13 +25,16 @@ def haversine_km(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) ->
 
 
 def transfer_candidates(
-    risk: DataFrame, daily: DataFrame, stores: DataFrame, products: DataFrame, lookback: int = LOOKBACK_DAYS
+    risk: DataFrame, daily: DataFrame, stores: DataFrame, products: DataFrame, lookback: int = LOOKBACK_DAYS, min_units: int = 0
 ) -> DataFrame:
     """Surplus and deficit of the same SKU in two stores, with the way between them.
 
     The pairing is an equality join on the SKU and the distance is a column of it, so no
-    store-by-store table is ever formed.
+    store-by-store table is ever formed. With ``min_units``, sides and pairs that ``shelf_life_gate`` would
+    drop whatever the distance are dropped before and in the join: what is at risk, what is unmet, and what
+    sells until expiry must each round to the minimum.
     """
+    least = min_units - 0.5
     as_of = risk.agg(F.max("date_day")).scalar()
     surplus = (
         risk.filter((F.col("risk_state") == "at_risk") & (F.col("units_at_risk") > 0))
@@ -38,6 +43,7 @@ def transfer_candidates(
             F.sum("units_at_risk").alias("units_at_risk"), F.min("days_to_expiry").alias("days_to_expiry"),
             F.max("unit_landed_cost").alias("unit_landed_cost"),
         )
+        .filter(F.col("units_at_risk") >= least)
     )
     unmet = F.col("units_demanded_imputed") - F.col("units_sold")
     deficit = (
@@ -45,14 +51,14 @@ def transfer_candidates(
         .filter(F.col("is_censored") & (unmet > 0))
         .groupBy("store_id", "sku_id")
         .agg(F.sum(unmet).alias("unmet_units"), F.avg("trailing_7d_avg_units").alias("daily_rate"))
-        .filter("daily_rate > 0")
+        .filter((F.col("daily_rate") > 0) & (F.col("unmet_units") >= least))
     )
     place = stores.select("store_id", "lat", "lon")
     origin = surplus.join(place, "store_id").withColumnsRenamed({"store_id": "from_store", "lat": "lat_a", "lon": "lon_a"})
     target = deficit.join(place, "store_id").withColumnsRenamed({"store_id": "to_store", "lat": "lat_b", "lon": "lon_b"})
     return (
         origin.join(target, "sku_id")
-        .filter(F.col("from_store") != F.col("to_store"))
+        .filter((F.col("from_store") != F.col("to_store")) & (F.col("daily_rate") * F.col("days_to_expiry") >= least))
         .withColumn("km", F.round(haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")), 3))
         .join(products.select("sku_id", "sku_name", "l1_category", "base_price"), "sku_id")
         .withColumn("unit_margin", F.col("base_price") - F.col("unit_landed_cost"))
@@ -78,8 +84,11 @@ def transfer_plan(arcs: DataFrame, cost_per_km: float = COST_PER_KM, fixed_trip_
 
     Trips share one van per store pair. Each round takes every pair that is the best left for
     both its stores, which is what taking the single best pair repeatedly would come to, in far
-    fewer rounds; the rest see what stock and need remain.
+    fewer rounds; the rest see what stock and need remain. A round uses up a pair in every group of
+    connected stores, so there are at most as many rounds as the largest group has pairs. What a round
+    takes is written to a table, so plans do not grow with the rounds.
     """
+    space, rounds = Workspace(arcs.sparkSession, f"transfers {uuid.uuid4()}"), []
     carried = [
         "date_day", "from_store", "to_store", "sku_id", "sku_name", "l1_category", "km", "transit_hours", "days_to_expiry",
         "sellable_days", "arc_cap", "unit_landed_cost", "unit_margin", "unit_benefit",
@@ -89,7 +98,6 @@ def transfer_plan(arcs: DataFrame, cost_per_km: float = COST_PER_KM, fixed_trip_
     )
     trip = F.lit(fixed_trip_cost) + F.col("km") * cost_per_km
     pair = Window.partitionBy("from_store", "to_store")
-    moves = None
     while True:
         offered = left.withColumn("units", F.least("arc_cap", "supply", "need")).filter(F.col("units") >= MIN_UNITS)
         pairs = (
@@ -104,10 +112,10 @@ def transfer_plan(arcs: DataFrame, cost_per_km: float = COST_PER_KM, fixed_trip_
                 "best_in": F.max(order).over(Window.partitionBy("to_store")),
             }
         ).filter((F.col("best_out") == order) & (F.col("best_in") == order)).select("from_store", "to_store")
-        taken = cut_lineage(offered.join(best, ["from_store", "to_store"]))
+        taken = space.write(offered.join(best, ["from_store", "to_store"]), f"round_{len(rounds)}")
         if taken.isEmpty():
             break
-        moves = taken if moves is None else moves.unionByName(taken)
+        rounds.append(space.path(f"round_{len(rounds)}"))
         sent = taken.groupBy("from_store", "sku_id").agg(F.sum("units").alias("sent"))
         got = taken.groupBy("to_store", "sku_id").agg(F.sum("units").alias("got"))
         left = cut_lineage(
@@ -118,8 +126,7 @@ def transfer_plan(arcs: DataFrame, cost_per_km: float = COST_PER_KM, fixed_trip_
             .withColumn("need", F.col("need") - F.coalesce("got", F.lit(0)))
             .drop("sent", "got")
         )
-    if moves is None:
-        moves = left.filter(F.lit(False)).withColumn("units", F.lit(0).cast("bigint"))
+    moves = arcs.sparkSession.read.schema(taken.schema).parquet(*rounds) if rounds else taken
     priced = moves.withColumns(
         {
             "avoided_writeoff": F.col("units") * F.col("unit_landed_cost"),

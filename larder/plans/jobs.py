@@ -61,9 +61,9 @@ def deal_candidates(wh) -> DataFrame:
     )
 
 
-def transfer_candidates(wh) -> DataFrame:
+def transfer_candidates(wh, min_units: int = 0) -> DataFrame:
     return transfers.transfer_candidates(
-        wh("mart_expiry_risk"), wh("agg_store_sku_day"), wh("dim_store"), wh("dim_product")
+        wh("mart_expiry_risk"), wh("agg_store_sku_day"), wh("dim_store"), wh("dim_product"), min_units=min_units
     )
 
 
@@ -143,7 +143,7 @@ def job_builders(wh) -> dict:
         "mart_price_elasticity": lambda: elasticity.estimate(wh("elasticity_panel")),
         "rec_markdown": lambda: markdown.optimise(decisions(wh)),
         "rec_deal_slot": lambda: slots.slot_recommendations(slots.deal_allocate(slots.deal_score(deal_candidates(wh)))),
-        "rec_transfer_order": lambda: transfers.transfer_plan(transfers.shelf_life_gate(transfer_candidates(wh))),
+        "rec_transfer_order": lambda: transfers.transfer_plan(transfers.shelf_life_gate(transfer_candidates(wh, transfers.MIN_UNITS))),
         "rec_purchase_order": lambda: replenish.order_up_to(
             replenish_candidates(wh), forecast.fit_dispersion(wh("mart_forecast_accuracy"))
         ),

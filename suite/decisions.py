@@ -230,7 +230,7 @@ def decision_queries() -> dict[str, Query]:
             "select * from arcs",
         ),
         "n27_shelf_life_gate": q(
-            lambda wh: transfers.shelf_life_gate(jobs.transfer_candidates(wh)),
+            lambda wh: transfers.shelf_life_gate(jobs.transfer_candidates(wh, transfers.MIN_UNITS)),
             "from_store:s to_store:s sku_id:s transit_hours:6 arc_cap:i unit_benefit:2",
             """select *, cast(round(cap) as int) as arc_cap, unit_landed_cost + greatest(unit_margin, 0) as unit_benefit
                from arcs where round(cap) >= 6""",
