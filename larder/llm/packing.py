@@ -137,7 +137,7 @@ def pack_documents(
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base, number = TaskContext.get().partitionId() * STRIDE, 0
-        encode = encoder(tokenizer).encode_ordinary
+        encode = encoder(tokenizer).encode
         held: list[tuple] = []
 
         def placed(sequences: list[list[tuple]]) -> pd.DataFrame:

@@ -36,7 +36,7 @@ def bpe_tokens(text: Column, path: str) -> Column:
 
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(path).encode
         return pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
 
     return run(text)

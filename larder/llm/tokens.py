@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 
 def byte_letters() -> dict[str, int]:
@@ -20,8 +21,35 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: The white space of the vocabulary's own pattern (fixed values).
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = 50_000
+
+
+class Encoder:
+    """Ids of whole texts of any length. Runs of white space beyond ``long_run`` would overflow the stack of
+    the splitting pattern; they are encoded as the one piece that the pattern would make of them: all of a
+    run at the end of the text, else all but its last character, which may belong to the next word."""
+
+    def __init__(self, encoding, long_run: int = LONG_RUN):
+        self._encoding, self._long = encoding, long_run
+        self._run = re.compile(f"[{SPACES}]{{{long_run},}}")
+
+    def encode(self, text: str) -> list[int]:
+        plain = self._encoding.encode_ordinary
+        if len(text) < self._long:
+            return plain(text)
+        out, at = [], 0
+        for run in self._run.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += plain(text[at : run.start()])
+            out += self._encoding._encode_single_piece(text[run.start() : end])
+            at = end
+        return out + plain(text[at:])
+
+
 @functools.lru_cache(maxsize=2)
-def encoder(path: str):
+def encoder(path: str, long_run: int = LONG_RUN) -> Encoder:
     """One encoder per Python worker and vocabulary; special tokens are read as ordinary text."""
     import base64
 
@@ -37,7 +65,7 @@ def encoder(path: str):
     else:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("larder", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return Encoder(tiktoken.Encoding("larder", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), long_run)
 
 
 def vocabulary(name: str) -> str:

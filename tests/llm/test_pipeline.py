@@ -56,7 +56,7 @@ def test_stage_functions(spark, docs):
 
 
 def test_run_writes_and_packs_what_stays(spark):
-    encode = encoder(vocabulary("byte_bpe_50k.json")).encode_ordinary
+    encode = encoder(vocabulary("byte_bpe_50k.json")).encode
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     got = corpus_pipeline.run(spark, SMALL).toPandas()
     assert 0 < got["doc_id"].nunique() < len(texts)

@@ -182,10 +182,19 @@ def test_ids_equal_the_tokenizer():
     odd += ["".join(chr(random.choice([random.randrange(32, 0x250), random.randrange(0x250, 0xD7FF), random.randrange(0xE000, 0x1F9FF)])) for _ in range(300)) for _ in range(80)]
     reference = [e.ids for e in tokenizer().encode_batch([*texts, *odd], add_special_tokens=False)]
     for name in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"):
-        encode = encoder(vocabulary(name)).encode_ordinary
+        encode = encoder(vocabulary(name)).encode
         assert [encode(t) for t in [*texts, *odd]] == reference
 
 
+def test_long_runs_of_white_space():
+    texts = ["a" + " " * 50 + "b", " " * 40, "\n" * 30 + "x", "x" + " \u3000\t" * 20 + ", y" + " " * 60, "x \x1c\x1d" + " " * 33 + "'s", "a" * 90, " " * 21 + "\u200b" + " " * 25 + "1"]
+    reference = [e.ids for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
+    encode = encoder(vocabulary("byte_bpe_50k.json"), 20).encode
+    assert [encode(t) for t in texts] == reference
+    encode = encoder(vocabulary("byte_bpe_50k.json")).encode
+    assert encode(" " * 2_000_000)[0] == encode("  " * 500)[0] and len(encode("a" + "\n" * 2_000_000 + "b c" * 400_000)) > 800_000
+
+
 @pytest.mark.parametrize("pool", [8, 2048])
 def test_packed_documents_are_whole(corpus, pool):
     got = packing.pack_documents(corpus, vocabulary("byte_bpe_50k.json"), limits=(64, 5, 64), pool=pool).toPandas()
