@@ -10,19 +10,39 @@ from pyspark.sql import functions as F
 
 from larder.functions.columns import sum_where
 from larder.operators.staging import ITEM_COLUMNS
+from larder.workspace import cut_lineage
 
 LINE = ["order_id", "sku_id", "batch_id"]
 SERIES = ["store_id", "sku_id"]
 FAR = "2999-12-31"
 
 
-def _sales(feed) -> DataFrame:
+class SharedFeed:
+    """Feeds of one gate run: the sold lines, which several checks read, are built and written once."""
+
+    def __init__(self, feed):
+        self._feed, self._sold = feed, None
+
+    def __call__(self, name: str) -> DataFrame:
+        return self._feed(name)
+
+    def sold_lines(self) -> DataFrame:
+        if self._sold is None:
+            self._sold = cut_lineage(sold_lines(self._feed))
+        return self._sold
+
+
+def sold_lines(feed) -> DataFrame:
     """Sold lines once each, with the store and day of their order."""
     items = feed("pos_order_items").filter("qty > 0").select(*ITEM_COLUMNS).distinct()
     orders = feed("pos_orders").select("order_id", "store_id", F.col("order_ts").cast("date").alias("day")).distinct()
     return items.join(orders, "order_id")
 
 
+def _sales(feed) -> DataFrame:
+    return feed.sold_lines() if isinstance(feed, SharedFeed) else sold_lines(feed)
+
+
 def _shortfall(feed) -> DataFrame:
     return feed("wms_inventory_movement").filter("batch_id is not null").groupBy("batch_id").agg(F.sum("qty_delta").alias("net"))
 
@@ -163,7 +183,7 @@ SLACK_ROWS = 5
 
 def raw_gate(feed, documented: Mapping[str, int] | None = None) -> DataFrame:
     """One row per check: PASS, FAIL, or EXPLAINED when a documented defect accounts for it."""
-    documented = documented or {}
+    documented, feed = documented or {}, SharedFeed(feed)
     rows = []
     for name, (figure, tolerance) in GATE.items():
         value, known = F.col("figure"), documented.get(name, 0)

@@ -7,7 +7,9 @@ folder of its own.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,7 @@ _LOCAL_FALLBACK: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only on a local master."""
+    """The session's checkpoint folder; only on a local master a temporary one, which goes when Python ends."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
@@ -27,6 +29,7 @@ def shared_folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FALLBACK:
         _LOCAL_FALLBACK[app] = tempfile.mkdtemp(prefix="larder-")
+        atexit.register(shutil.rmtree, _LOCAL_FALLBACK[app], ignore_errors=True)
     return _LOCAL_FALLBACK[app]
 
 

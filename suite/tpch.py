@@ -34,7 +34,7 @@ SEQ_SKU_SPAN = 512
 LEDGER_SLICE_WIDTH = SEQ_SKU_SPAN << 20
 
 # Feeds that several models read are written once, as the raw layer of a warehouse is.
-LANDED = {"sold", "receipts", "pos_orders", "pos_order_items", "wms_inventory_movement"}
+LANDED = {"sold", "receipts", "pos_orders", "pos_order_items", "wms_inventory_movement", "price_history", "catalog_snapshot"}
 
 PROMO_BY_RULE = (
     "case when rule = 0 and dw < 5 then 'PROMO-MD-30' when rule = 1 and dw < 3 then 'PROMO-MD-50' "
