@@ -51,7 +51,7 @@ def padded(text: str | None) -> tuple[str, int]:
 
 def item_windows(text: str | None, window: int) -> set[tuple[str, int]]:
     """Padded patterns of one item with their word counts."""
-    found = padded(text)[0].split()
+    found = [w.decode("utf-8", "surrogatepass") for w in words(text) if w]  # str.split would also cut at blanks beyond ASCII
     size = min(window, len(found))
     return {(" " + " ".join(found[i : i + size]) + " ", size) for i in range(len(found) - size + 1)} if found else set()
 

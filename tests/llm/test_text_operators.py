@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from larder.llm import decontaminate as dec
 from larder.llm import packing, simhash
+from larder.llm.sql import CONTAMINATION
 from larder.llm.token_rollup import TokenRollup, bpe_tokens, word_tokens
 from larder.llm.tokens import encoder, vocabulary
 from tests.conftest import SMALL
@@ -77,6 +78,25 @@ def test_decontamination_of_nothing(spark, corpus, items):
     assert dec.decontaminate(corpus.limit(0), items).count() == 0
 
 
+def test_blanks_beyond_ascii_stay_inside_words(spark):
+    duckdb = pytest.importorskip("duckdb")
+    long = "le taux de 5\u00a0% a monté :\u00a0voir\u202fla page a\u2009b c\u0085d puis e f g h i"
+    suite = [(1, "Paris\u00a0est"), (2, "東京\u3000都"), (3, long), (4, "paris est")]
+    texts = ["vu: Paris\u00a0est là", "paris est", "in 東京\u3000都 now", "東京 都", f"x {long} y", long.replace("\u00a0", " "), "\u00a0", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(suite, "item_id long, text string")
+    got = dec.decontaminate(docs, items).orderBy("doc_id").collect()
+    for r in got:
+        assert (r.n_words, r.n_hit, r["items"]) == brute_hits(r.text, suite)
+    assert [r["items"] for r in got[:5]] == [["1"], ["4"], ["2"], [], ["3"]]
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", items)):
+        con.register(name, df.toPandas())
+    want = {r[0]: r[1:] for r in con.execute(CONTAMINATION).fetchall()}
+    digest = lambda x: hashlib.sha256(",".join(x).encode()).hexdigest()
+    assert {r.doc_id: (r.n_words, r.n_hit, len(r["items"]), digest(r["items"]), r.contaminated) for r in got} == want
+
+
 def brute_print(text):
     words = [w for w in "".join(" " if c in " \t\n\x0b\x0c\r" else chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split(" ") if w]
     import xxhash
