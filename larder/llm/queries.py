@@ -13,7 +13,7 @@ from larder.llm.chat import format_chats
 from larder.llm.decontaminate import decontaminate
 from larder.llm.hamming_search import search, sign_code
 from larder.llm.packing import pack_documents
-from larder.llm.resharding import reshard
+from larder.llm.resharding import reshard, rewrite
 from larder.llm.simhash import hex_digits, near_duplicates
 from larder.llm.sql import SQL
 from larder.llm.token_rollup import TokenRollup, bpe_tokens, word_tokens
@@ -80,15 +80,25 @@ def op5_hamming(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_reshard(spark: SparkSession, folder: str) -> DataFrame:
-    """From shards by source, of which one holds a third of the rows, to 16 shards of equal bytes."""
+    """From shards by source, of which one holds a third of the rows, to 16 shards of equal bytes. Whole rows of
+    affected shards are written anew, and the result is read from their files; rows are known by file and place."""
+    shape = [
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+    ]
+    row = ["source_file", "source_row"]
     docs = table(spark, folder, "documents").select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
-        F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(16)).cast("int").alias("old_shard"),
-    )
-    placed = reshard(docs, "old_shard", "size", ["doc_id", "text_crc32"])
-    return placed.select(
+        "*", F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(16)).cast("int").alias("old_shard"),
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.row_index").alias("source_row"),
+    )
+    space = Workspace(spark, f"op6 {uuid.uuid4()}")
+    placed = space.write(reshard(docs.select("doc_id", *shape, "old_shard", *row), "old_shard", "size", ["doc_id", "text_crc32", *row]), "placed")
+    touched = rewrite(docs, placed, row, "old_shard", space.path("shards"))
+    named = ["doc_id", "size", "text_crc32", "shard", "slot", "old_shard"]
+    found = placed.filter(~F.col("shard").isin(touched)).select(*named)
+    if touched:
+        written = spark.read.schema(docs.drop("shard", "slot").schema.add("slot", "long").add("shard", "integer")).parquet(space.path("shards"))
+        found = written.select("doc_id", *shape, "shard", "slot", "old_shard").unionByName(found)
+    return found.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "old_shard",
     )

@@ -8,7 +8,8 @@ leave are cut from the tail, so that every boundary is as exact as a small row.
 Scale: the driver sees one total per old shard and the flow between shards, whatever the number of
 rows. Positions inside a shard are running sums over one range partitioning on (shard, size, id), so a
 shard with a third of the rows is spread over many tasks; slots are numbered the same way. Only the
-named columns move; texts are rewritten by ``rewrite``, for the shards that gained or lost rows.
+named columns move; texts are rewritten by ``rewrite``, for the shards that gained or lost rows: they move once
+to meet their place and once to their shard.
 
 Defined results: a null text has no bytes (its size is one); a null id sorts first; repeated rows each
 get a slot of their own; an empty table gives an empty result.
@@ -17,6 +18,7 @@ get a slot of their own; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,16 +126,28 @@ def moved(placed: DataFrame, old: str, size: str) -> DataFrame:
     return placed.filter(F.col(old) != F.col("shard")).groupBy(old, "shard").agg(F.sum(size).alias("bytes"), F.count("*").alias("rows"))
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, on: str, old: str, folder: str) -> list[int]:
+def rewrite(docs: DataFrame, placed: DataFrame, on: str | Sequence[str], old: str, folder: str) -> list[int]:
     """Write the rows of every shard that gained or lost some to ``folder/shard=N``; other shards' files
-    stay as they are. Returns the shards written. ``on`` must identify a row."""
+    stay as they are, and those of shards left without rows go. Returns the shards affected. ``on`` must
+    identify a row, nulls being values like others; repeated keys raise an error before anything is written."""
+    spark, keys = docs.sparkSession, [on] if isinstance(on, str) else list(on)
     changes = placed.filter(F.col(old) != F.col("shard"))
     pairs = changes.select(old, "shard").distinct().collect()  # pairs of shards, bounded by their number
     touched = sorted({s for r in pairs for s in r})
-    if touched:
-        rows = docs.drop("shard", "slot").join(placed.filter(F.col("shard").isin(touched)).select(on, "shard", "slot"), on)
-        (
-            rows.hint("rebalance", "shard")
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
-        )
+    if not touched:
+        return []
+    into = placed.filter(F.col("shard").isin(touched)).select(*[F.col(k).alias(f"_on{n}") for n, k in enumerate(keys)], "shard", "slot")
+    names = [f"_on{n}" for n in range(len(keys))]
+    if not into.groupBy(*names).count().filter("count > 1").isEmpty():
+        raise ValueError(f"{', '.join(keys)} must identify a row")
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+    (
+        docs.drop("shard", "slot").join(into, same).drop(*names).hint("rebalance", "shard")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("shard").parquet(folder)
+    )
+    filled = {r[0] for r in into.select("shard").distinct().collect()}  # at most one row per shard
+    jvm = spark._jvm
+    for shard in set(touched) - filled:  # its rows are all in the files just written
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/shard={shard}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return touched

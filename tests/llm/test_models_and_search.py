@@ -184,6 +184,40 @@ def test_only_affected_shards_are_rewritten(spark, tmp_path):
     assert {tuple(r) for r in resharding.moved(placed.withColumn("size", F.lit(2)), "old", "size").collect()} == {(0, 1, 6, 3)}
 
 
+def test_rewriting_keeps_every_row_and_removes_emptied_shards(spark, tmp_path):
+    rows = [(n, None if n % 5 == 0 else n % 40, f"text {n % 9}" * (1 + n % 7), n % 16) for n in range(400)]
+    docs = spark.createDataFrame(rows, "row long, id long, text string, old int")
+    folder = str(tmp_path / "shards")
+    docs.withColumn("shard", F.col("old")).write.partitionBy("shard").parquet(folder)
+    sized = docs.select("row", "id", "old", F.octet_length("text").cast("long").alias("size"))
+    placed = resharding.reshard(sized, "old", "size", ["id", "row"], shards=8)
+    assert resharding.rewrite(docs, placed, ["row", "id"], "old", folder) == list(range(16))
+    assert sorted(p.name for p in (tmp_path / "shards").iterdir() if p.name.startswith("shard=")) == [f"shard={n}" for n in range(8)]
+    got = spark.read.parquet(folder).collect()
+    assert sorted((r.row, r.id, r.text, r.old) for r in got if r.id is not None) == sorted(r for r in rows if r[1] is not None)
+    assert sorted((r.row, r.text, r.old) for r in got if r.id is None) == sorted((n, t, o) for n, i, t, o in rows if i is None)
+    assert {r.row: (r.shard, r.slot) for r in got} == {r.row: (r.shard, r.slot) for r in placed.collect()}
+    before = sorted(str(p) for p in (tmp_path / "shards").rglob("*.parquet"))
+    with pytest.raises(ValueError, match="identify"):
+        resharding.rewrite(docs, placed.withColumn("shard", F.lit(0)), "id", "old", folder)
+    assert sorted(str(p) for p in (tmp_path / "shards").rglob("*.parquet")) == before
+
+
+def test_resharded_documents_are_read_from_their_shards(spark, tmp_path):
+    from larder.llm.queries import op6_reshard
+
+    rows = [(None if n % 4 == 0 else n % 25, None if n == 7 else f"text {n % 3}" * (n % 6), f"s{n % 3}") for n in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    found = op6_reshard(spark, str(tmp_path))
+    assert any("/shard=" in f for f in found.inputFiles())
+    got = found.collect()
+    want = [(i, len(t or "") + 1, zlib.crc32((t or "").encode()), zlib.crc32(s.encode()) % 16) for i, t, s in rows]
+    assert sorted(map(str, ((r.doc_id, r["size"], r.text_crc32, r.old_shard) for r in got))) == sorted(map(str, want))
+    for n in range(16):
+        slots = sorted(r.slot for r in got if r.shard == n)
+        assert slots == list(range(len(slots))) and slots
+
+
 def test_gradients():
     net = language.new_network(["a", "b"], 3, 1, np.float64)
     rng = np.random.default_rng(0)
