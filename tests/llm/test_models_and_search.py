@@ -367,6 +367,24 @@ def test_bayes_equals_counting(spark):
     assert sorted(few.ratios) == ["a"] and url_filter.learn_classes(urls, words, ("none",)).prior == -np.inf
 
 
+def test_no_word_is_dropped_from_splits_and_scores(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rare = ["".join(p) for p in itertools.islice(itertools.product(letters, repeat=4), 60_000)]  # one step of counts, above the cap of old
+    long = "rindfleischetikettierungsueberwachung"
+    rows = [(0, f"http://{rare[7]}{rare[30_000]}.net/{long}{rare[59_999]}", " ".join([*rare, long] * 2)), (1, "http://casino.net/win", "river"), (2, "http://casino.net/win", None)]
+    rows += [(3, "http://river.net/win", ""), (4, None, "river")]
+    got = {r.page_id: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0].host_segments == [rare[7], rare[30_000]] and got[0].path_segments == [long, rare[59_999]]
+    bad, good = {"casino": 2, "win": 2}, {rare[7]: 1, rare[30_000]: 1, long: 1, rare[59_999]: 1, "river": 1, "win": 1}
+    known = {w for r in got.values() for w in r.host_segments + r.path_segments}
+    for r in got.values():
+        want = np.log(2 / 3)
+        for w in r.host_segments + r.path_segments:
+            want += np.log((bad.get(w, 0) + 1) / (4 + len(known) + 1)) - np.log((good.get(w, 0) + 1) / (6 + len(known) + 1))
+        assert r.score == pytest.approx(want)
+    assert len(got) == 5 and got[4].host_segments == []
+
+
 def test_queries_and_sql_are_registered():
     import __spark_entry__ as entry
 
