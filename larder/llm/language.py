@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 64
@@ -275,9 +275,11 @@ def learn(docs: DataFrame, text: str, lang: str, key: str, per_language: int = P
     slices = F.array(*[
         F.substring(F.col(text), (F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(i)), room) + 1).cast("int"), F.lit(WINDOW)) for i in range(SLICES)
     ])
-    chosen = known.filter(place < share[F.col(lang)]).select(lang, slices.alias("s"), place.alias("p"))
+    chosen = known.filter(place < share[F.col(lang)]).select(F.col(lang).alias("lang"), slices.alias("s"), place.alias("p"))
+    # Each language for itself: ids that repeat, or more rows than places, take no room from others.
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("p", "s"))
     samples: dict[str, list[bytes]] = {}
-    for r in chosen.orderBy("p", lang, "s").limit(2 * per_language * len(counts)).collect():
+    for r in chosen.withColumn("nth", nth).filter(F.col("nth") <= 2 * per_language).orderBy("p", "lang", "s").collect():
         samples.setdefault(r[0], []).extend(s.encode() for s in r[1] if s)
     return train(samples, **how)
 

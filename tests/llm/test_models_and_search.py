@@ -267,6 +267,14 @@ def test_language_of_odd_rows(spark):
     assert {r.lang_pred for r in language.identify(docs, None).collect()} == {"und"}
 
 
+def test_hot_language_takes_no_room_from_rare_ones(spark):
+    place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(11)), F.lit(1_000_000))
+    first = spark.range(3000).orderBy(place).first().id
+    rows = [(first, f"many words {n}", "aa") for n in range(2000)] + [(n, "few words", "bb") for n in range(5000, 5010)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.learn(docs, "text", "lang", "doc_id", per_language=10, steps=2).labels == ["aa", "bb"]
+
+
 def test_toxicity_on_held_out_rows(spark):
     from larder.llm.queries import op9_toxicity
 
