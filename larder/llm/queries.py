@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import language, toxicity
+from larder.llm import language, quality, toxicity
 from larder.llm.chat import format_chats
 from larder.llm.decontaminate import decontaminate
+from larder.llm.gnat import hard_negatives
 from larder.llm.hamming_search import search, sign_code
+from larder.llm.importance import resample
 from larder.llm.packing import pack_documents
 from larder.llm.resharding import reshard, rewrite
 from larder.llm.simhash import hex_digits, near_duplicates
@@ -128,10 +130,27 @@ def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 100; where it is divisible by 7, the label is moved by one first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, folder, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+def op12_resample(spark: SparkSession, folder: str) -> DataFrame:
+    found = resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+def op13_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.judge(docs, quality.learn(docs, table(spark, folder, "labels"))).drop("text")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": op1_chat, "op2_token_rollup": op2_token_rollup, "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_hamming": op5_hamming, "op6_reshard": op6_reshard, "op7_language": op7_language,
         "op8_url_filter": op8_url_filter, "op9_toxicity": op9_toxicity, "op10_pack": op10_pack,
+        "op11_hard_negatives": op11_hard_negatives, "op12_resample": op12_resample, "op13_quality": op13_quality,
     }
 
 
