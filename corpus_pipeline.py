@@ -5,7 +5,7 @@ written as Parquet in the shared folder and read again by the next. All stages b
 columns of ``documents``. No SQL expresses the trained stages; tests compare each with brute force.
 
 Nulls, empty texts and repeated rows: a null text, or one without a letter, is rejected by the language
-stage, so later stages see none; rows that repeat are one near-duplicate group and one of them stays;
+stage, so later stages see none (only if no row has a language to learn from, all stay); rows that repeat are one near-duplicate group and one of them stays;
 an empty table gives no pieces.
 """
 
@@ -24,14 +24,19 @@ from larder.llm.simhash import keep_one
 from larder.llm.tokens import vocabulary
 from larder.workspace import Workspace
 
+#: The least pooled probability of a document's language, as a multiple of chance.
+SURER = 1.4
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is undetermined go."""
+    """Documents whose language is undetermined go: those without a letter, and those on which the network is hardly
+    surer than chance. Where no document has a language, there is nothing to learn from and all stay."""
     net = language.learn(docs, "text", "lang", "doc_id")
+    if net is None:
+        return docs
     judged = language.identify(docs.select(F.struct(*docs.columns).alias("d"), "text"), net)
-    return judged.filter(F.col("lang_pred") != language.UNKNOWN).select("d.*")
+    return judged.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURER / len(net.labels))).select("d.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
