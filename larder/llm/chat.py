@@ -252,9 +252,11 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     named = turns.select(
         F.coalesce(F.concat(F.lit("="), F.col(conv_id).cast("string")), F.lit("")).alias("key"),
         F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+        F.monotonically_increasing_id().alias("tie"),
     )
-    order = [F.col("key"), F.col("turn"), F.col("role"), F.col("text")]
-    ranged = cut_lineage(named.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()))
+    # The tie number parts equal rows, so one much repeated turn is spread like any other rows.
+    order = [F.col("key"), F.col("turn"), F.col("role"), F.col("text"), F.col("tie")]
+    ranged = cut_lineage(named.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("tie").withColumn("range", F.spark_partition_id()))
     shape = "range int, key string, rows long, cost array<long>, emitted array<long>, inserted array<long>"
     ends = ranged.select("range", "key", "role").mapInPandas(_ends, shape)
     # At most two rows a partition, and of those only conversations that go over a border.
