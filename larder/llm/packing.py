@@ -7,8 +7,11 @@ goes in next, until none fits.
 
 Documents are cut into pieces of at most ``limits[0]`` tokens; whole pieces fill a sequence alone, the
 rest of each document is packed. Packing runs inside each input partition over a pool of bounded
-size: there is no shuffle, a partition needs the memory of one pool, and a lost task repacks only
-its own rows, with the same result. Badly filled sequences of a pool go back into the next one.
+size: a partition needs the memory of one pool, and a lost task repacks only its own rows, with the same
+result. Badly filled sequences of a pool go back into the next one; those of a partition's last pool are
+packed in a second pass, together with those of other partitions, so small partitions cost no padding.
+Pieces are written as numbers between the passes; texts are read once and never shuffled.
+In documents every token bears loss, so there the third limit says the same as the first.
 
 Defined results: a null or empty text is one piece with the separator alone; repeated rows are packed
 one by one; no rows give no pieces. A piece over a limit on its own raises an error.
@@ -21,14 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.workspace import cut_lineage
+
 LIMITS = (1024, 256, 1024)
 POOL = 2048
 WELL_FILLED = 0.98
 #: Rows of one partition's sequence numbers; partitions do not meet.
 STRIDE = 1 << 32
+#: Where the numbers of sequences of the second pass begin.
+SECOND = 1 << 61
+POOLS_A_TASK = 16
 
 
 def fill(sizes: np.ndarray, limits: tuple[int, ...]) -> list[list[int]]:
@@ -113,6 +121,7 @@ def pieces_of(ids: np.ndarray, most: int) -> list[tuple[int, int, int]]:
     return [(a, len(x := ids[a : a + most]), zlib.crc32(x.tobytes())) for a in range(0, len(ids), most)]
 
 
+_COLUMNS = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "segment"]
 _SHAPE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment long"
 
 
@@ -149,16 +158,25 @@ def pack_documents(
                     rows.append((i, start, length, crc, total, base + number, offset, slot))
                     offset += length
                 number += 1
-            return pd.DataFrame(rows, columns=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "segment"])
+            return pd.DataFrame(rows, columns=_COLUMNS)
 
-        def flush(last: bool) -> pd.DataFrame:
+        def flush() -> pd.DataFrame:
             nonlocal held
             sizes = np.array([(p[2], 1, p[2]) for p in held], np.int64).reshape(-1, 3)
-            done, back = pack_pool(sizes, limits, last)
+            done, back = pack_pool(sizes, limits, False)
             out = placed([[held[i] for i in own] for own in done])
             held = [held[i] for i in back]
             return out
 
+        def leave() -> Iterator[pd.DataFrame]:
+            """What fills sequences well is placed; the rest is left for the second pass, without a sequence."""
+            sizes = np.array([(p[2], 1, p[2]) for p in held], np.int64).reshape(-1, 3)
+            groups = fill(sizes, limits)
+            full = [(sizes[own].sum(axis=0) / np.asarray(limits)).max() >= WELL_FILLED for own in groups]
+            yield placed([[held[i] for i in own] for own, f in zip(groups, full, strict=True) if f])
+            rest = [held[i] for own, f in zip(groups, full, strict=True) if not f for i in own]
+            yield pd.DataFrame([(*p, None, None, None) for p in rest], columns=_COLUMNS).astype(dict.fromkeys(_COLUMNS[5:], "Int64"))
+
         for part in parts:
             for a in range(0, len(part), 256):
                 whole = []
@@ -169,11 +187,22 @@ def pack_documents(
                 if whole:
                     yield placed([[p] for p in whole])
                 if len(held) >= pool:
-                    yield flush(False)
+                    yield flush()
         if held:
-            yield flush(True)
+            yield from leave()
 
     # The id travels as text so that nulls and every type survive the way through Python.
     sent = docs.select(F.col(doc_id).cast("string").alias(doc_id), F.col(text).cast("string").alias(text))
-    out = sent.mapInPandas(run, f"id string, {_SHAPE}")
+    first = cut_lineage(sent.mapInPandas(run, f"id string, {_SHAPE}"))  # numbers only, no text
+    left = first.filter("sequence_id is null")
+    # Each task of the second pass fills many pools, however small the partitions of the documents are.
+    tasks = max(1, left.count() // (POOLS_A_TASK * pool))
+    again = left.select("id", "start", "length", "ids_crc32", "doc_tokens", F.lit(1).cast("long").alias("one")).repartition(tasks)
+    packed = pack_sized(again, ["length", "one", "length"], limits, pool)
+    inside = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # at most limits[1] rows
+    second = packed.select(
+        "id", "start", "length", "ids_crc32", "doc_tokens", (F.col("sequence_id") + SECOND).alias("sequence_id"),
+        F.coalesce(F.sum("length").over(inside), F.lit(0)).alias("offset"), F.col("slot").alias("segment"),
+    )
+    out = first.filter("sequence_id is not null").unionByName(second)
     return out.select(F.col("id").cast(kind).alias(doc_id), *[c.split()[0] for c in _SHAPE.split(", ")])
