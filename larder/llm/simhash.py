@@ -213,6 +213,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius
     found = near_duplicates(docs.select(doc_id, text), doc_id, text, radius)
     row = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("i"), F.col("text_hash").alias("h"))
     best = found.groupBy("root").agg(F.min(row).alias("r")).select(F.col("r.i").alias("_i"), F.col("r.h").alias("_h")).distinct()
-    hashed = docs.withColumn("_hash", F.xxhash64(text))
-    joined = hashed.join(best, hashed[doc_id].eqNullSafe(best["_i"]) & (hashed["_hash"] == best["_h"]), "left_semi")
-    return joined.dropDuplicates([doc_id, "_hash"]).select(*docs.columns)
+    # The row travels as a struct, so that no column of the caller's meets a name used here.
+    hashed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"))
+    joined = hashed.join(best, hashed["_id"].eqNullSafe(best["_i"]) & (hashed["_hash"] == best["_h"]), "left_semi")
+    return joined.dropDuplicates(["_id", "_hash"]).select("_row.*")
