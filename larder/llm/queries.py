@@ -20,7 +20,7 @@ from larder.llm.simhash import hex_digits, near_duplicates
 from larder.llm.sql import SQL
 from larder.llm.token_rollup import TokenRollup, bpe_tokens, word_tokens
 from larder.llm.tokens import vocabulary
-from larder.llm.url_filter import judge_urls
+from larder.llm.url_filter import attach, judge_urls
 from larder.workspace import Workspace, cut_lineage
 
 
@@ -28,6 +28,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes not to clash with ``columns``."""
+    known = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name in known:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def op1_chat(spark: SparkSession, folder: str) -> DataFrame:
     return format_chats(table(spark, folder, "conversations"))
 
@@ -40,9 +51,11 @@ def op2_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "source", "lang", F.md5("text").alias("digest"), bpe_tokens(F.col("text"), vocabulary("byte_bpe_50k.tiktoken")).alias("bpe"),
         word_tokens(F.col("text")).alias("words"), word_tokens(F.col("text"), r"[\p{L}\p{N}]+").alias("new_words"),
     ))
-    firsts = counted.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"))
+    firsts = counted.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("uses"))
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
-    known = cut_lineage(counted.join(firsts, "digest", "left").withColumn("copy", copy).drop("digest", "first"))
+    # A text with over a thousandth of the rows is met by broadcast, so none makes one large task.
+    met = attach(counted.filter("digest is not null"), firsts, ["digest"], "uses").unionByName(counted.filter("digest is null").withColumn("first", F.lit(None).cast("long")))
+    known = cut_lineage(met.withColumn("copy", copy).drop("digest", "first"))
 
     def changes(kind: str, rows: DataFrame, counts: dict[str, tuple[str, str]]) -> DataFrame:
         each = F.array(*[F.struct(F.lit(t).alias("tokenizer"), F.col(a).alias("tokens"), F.col(b).alias("old_tokens")) for t, (a, b) in counts.items()])
@@ -87,22 +100,23 @@ def op6_reshard(spark: SparkSession, folder: str) -> DataFrame:
     shape = [
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
     ]
-    row = ["source_file", "source_row"]
-    docs = table(spark, folder, "documents").select(
-        "*", F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(16)).cast("int").alias("old_shard"),
-        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.row_index").alias("source_row"),
+    docs = table(spark, folder, "documents")
+    old, *row = unused(docs.columns, "old_shard", "source_file", "source_row")
+    docs = docs.select(
+        "*", F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(16)).cast("int").alias(old),
+        F.col("_metadata.file_path").alias(row[0]), F.col("_metadata.row_index").alias(row[1]),
     )
     space = Workspace(spark, f"op6 {uuid.uuid4()}")
-    placed = space.write(reshard(docs.select("doc_id", *shape, "old_shard", *row), "old_shard", "size", ["doc_id", "text_crc32", *row]), "placed")
-    touched = rewrite(docs, placed, row, "old_shard", space.path("shards"))
-    named = ["doc_id", "size", "text_crc32", "shard", "slot", "old_shard"]
+    placed = space.write(reshard(docs.select("doc_id", *shape, old, *row), old, "size", ["doc_id", "text_crc32", *row]), "placed")
+    touched = rewrite(docs, placed, row, old, space.path("shards"))
+    named = ["doc_id", "size", "text_crc32", "shard", "slot", old]
     found = placed.filter(~F.col("shard").isin(touched)).select(*named)
     if touched:
         written = spark.read.schema(docs.drop("shard", "slot").schema.add("slot", "long").add("shard", "integer")).parquet(space.path("shards"))
-        found = written.select("doc_id", *shape, "shard", "slot", "old_shard").unionByName(found)
+        found = written.select("doc_id", *shape, "shard", "slot", old).unionByName(found)
     return found.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"), "old_shard",
+        F.lit(None).cast("int").alias("grown_shard"), F.col(old).alias("old_shard"),
     )
 
 

@@ -99,5 +99,5 @@ class TokenRollup:
         mark = self.spark.createDataFrame([(None, None, None, None, None, batch)], _TOTALS)
         new = sums.filter("n_docs <> 0 or n_tokens <> 0").withColumn("batch", F.lit(None).cast("string"))
         batches = rows.filter("batch is not null").unionByName(mark)
-        new.unionByName(batches).coalesce(1).write.mode("overwrite").parquet(self._path(version + 1))
+        new.unionByName(batches).hint("rebalance").write.mode("overwrite").parquet(self._path(version + 1))
         return True
