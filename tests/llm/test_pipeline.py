@@ -1,10 +1,15 @@
 """The pipeline stage by stage against brute force, and over odd rows."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from larder.llm import language
 from larder.llm.language import UNKNOWN
 from larder.llm.packing import pack_documents
+from larder.llm.queries import op2_token_rollup, op6_reshard
 from larder.llm.tokens import encoder, vocabulary
 from tests.conftest import SMALL
 from tests.llm.test_text_operators import brute_groups, brute_hits, brute_print
@@ -65,6 +70,42 @@ def test_run_writes_and_packs_what_stays(spark):
     assert got.groupby("sequence_id")["length"].sum().max() <= 1024
 
 
+def test_language_stage_keeps_what_it_cannot_judge(spark, docs, monkeypatch):
+    stage = dict(corpus_pipeline.STAGES)["language"]
+    nameless = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert stage(spark, nameless, SMALL).count() == docs.count()
+    monkeypatch.setattr(corpus_pipeline, "SURER", 3.6)  # nine tenths of certainty, with four languages
+    net = language.learn(docs, "text", "lang", "doc_id")
+    scores = [r.score for r in language.identify(docs, net).filter("lang_pred <> 'und'").collect()]
+    assert stage(spark, docs, SMALL).count() == sum(s >= 3.6 / len(net.labels) for s in scores) < len(scores)
+
+
+def test_near_duplicates_with_clashing_columns(spark):
+    odd = spark.createDataFrame([(1, "a b c d", "x", 1, 2), (2, "a b c d", "y", 3, 4)], "doc_id long, text string, _hash string, _i int, _row int")
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, odd, SMALL)
+    assert kept.schema == odd.schema and [tuple(r) for r in kept.collect()] == [(1, "a b c d", "x", 1, 2)]
+
+
+def test_resharding_with_clashing_columns(spark, tmp_path):
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").limit(50)
+    rows.withColumn("old_shard", F.lit("a")).withColumn("source_file", F.lit(1)).withColumn("source_row", F.lit(2)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op6_reshard(spark, str(tmp_path)).toPandas()
+    assert len(got) == 50 and (got.groupby("shard")["slot"].max() + 1 == got.groupby("shard").size()).all()
+
+
+def test_token_totals_equal_counting(spark, tmp_path):
+    texts = ["a b c", "a b c", "a  b-c", None, "", "a b c", "x"]
+    rows = [(i, t, "en" if i % 2 else None, "s", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in op2_token_rollup(spark, str(tmp_path)).collect()}
+    stay = [(lang, t) for i, t, lang, *_ in rows if t is None or texts.index(t) == i]
+    words = lambda t: len(re.findall(r"[^\W_]+", t or ""))
+    for lang in (None, "en"):
+        own = [t for k, t in stay if k == lang]
+        assert got[(lang, "words")] == (len(own), sum(map(words, own)))
+        assert got[(lang, "byte_bpe_50k")][0] == len(own)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:

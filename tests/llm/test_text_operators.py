@@ -233,6 +233,16 @@ def test_packed_documents_are_whole(corpus, pool):
     assert packing.pack_documents(corpus.limit(0), vocabulary("byte_bpe_50k.json")).count() == 0
 
 
+def test_small_partitions_cost_no_padding(spark):
+    docs = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text").repartition(100)
+    got = packing.pack_documents(docs, vocabulary("byte_bpe_50k.json")).toPandas()
+    whole = got.groupby("sequence_id")["length"].sum()
+    assert whole.max() <= 1024 and 1 - whole.mean() / 1024 < 0.01
+    slots = got.sort_values(["sequence_id", "offset"])
+    before = slots.groupby("sequence_id")["length"].cumsum() - slots["length"]
+    assert (slots["offset"] == before).all() and (slots.groupby("sequence_id").cumcount() == slots["segment"]).all()
+
+
 CHANGES = "source string, lang string, tokenizer string, kind string, tokens long, old_tokens long, n_docs string"
 
 
