@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.decisions import boosting
 from larder.functions.columns import positive_ratio
 from larder.functions.ranges import expand_days
 from larder.params import Params
@@ -14,6 +15,7 @@ LAGS = (7, 14, 28)
 SEASON_DAYS = 7
 BASELINE_NAME = "moving_average_7d"
 MODEL_NAME = "glm_tweedie"
+BOOSTED_NAME = "boosted_tweedie"
 NEVER_SOLD = 999
 
 NUMERIC = [
@@ -201,6 +203,27 @@ def predict_demand(fitted, means: DataFrame, features: DataFrame) -> DataFrame:
     )
 
 
+def train_boosted(training: DataFrame, **shape) -> boosting.Booster | None:
+    """Boosted trees on the same features; stores are categories of their own."""
+    return boosting.fit(training, "target_demand", [*NUMERIC, *FLAGS], CATEGORICAL, **shape)
+
+
+def predict_boosted(fitted: boosting.Booster | None, features: DataFrame) -> DataFrame:
+    """As ``predict_demand``; without a model no row."""
+    if fitted is None:
+        scored = features.limit(0).withColumn("forecast_units", F.lit(0.0))
+    else:
+        scored = features.withColumn("forecast_units", fitted.predict(features))
+    return scored.select(*SERIES, "date_day", "origin_date", "horizon_days", "forecast_units", F.lit(BOOSTED_NAME).alias("model_name"))
+
+
+def forecast_value(accuracy: DataFrame, regression: DataFrame) -> DataFrame:
+    """The accuracy report of the served model by class, with the regression's error beside it."""
+    report = accuracy_report(accuracy)
+    other = accuracy_report(regression).select("abc_xyz_class", F.col("wape").alias("regression_wape"))
+    return report.join(other, "abc_xyz_class")
+
+
 def swap_forecast(accuracy: DataFrame, forecast: DataFrame) -> DataFrame:
     """The model's numbers where it has one; the baseline and its name stay elsewhere."""
     keys = [*SERIES, "date_day", "origin_date", "horizon_days"]

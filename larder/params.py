@@ -20,6 +20,6 @@ class Params:
     eval_origin_step_days: int = 5
     max_horizon_days: int = 7
     train_history_days: int = 28
-    # What ``mart_demand_forecast`` serves: "tweedie" (the fitted model, the baseline where it has no
-    # features) or "baseline".
-    demand_model: str = "tweedie"
+    # What ``mart_demand_forecast`` serves: "boosted" (trees) or "tweedie" (a regression), with the baseline
+    # where they have no features, or "baseline".
+    demand_model: str = "boosted"

@@ -18,20 +18,27 @@ def features(wh, origins: DataFrame) -> DataFrame:
     )
 
 
-def model_forecast(wh) -> DataFrame:
-    """Fit on the training origins, predict the evaluated ones."""
+def model_forecast(wh, model: str | None = None) -> DataFrame:
+    """Fit on the training origins, predict the evaluated ones; ``model`` is "boosted" or "tweedie" (the regression)."""
+    model = model or ("tweedie" if wh.params.demand_model == "tweedie" else "boosted")
 
     def build() -> DataFrame:
         daily = wh("agg_store_sku_day")
         training = wh.derive("train_features", lambda: features(wh, forecast.train_origins(daily, wh.params)))
-        fitted, means = forecast.train_demand(training)
-        return forecast.predict_demand(fitted, means, features(wh, forecast.eval_origins(daily, wh.params)))
+        asked = wh.derive("eval_features", lambda: features(wh, forecast.eval_origins(daily, wh.params)))
+        if model == "tweedie":
+            return forecast.predict_demand(*forecast.train_demand(training), asked)
+        return forecast.predict_boosted(forecast.train_boosted(training), asked)
 
-    return wh.derive("model_forecast", build)
+    return wh.derive(f"model_forecast_{model}", build)
 
 
-def model_accuracy(wh) -> DataFrame:
-    return forecast.swap_forecast(wh("mart_forecast_accuracy"), model_forecast(wh))
+def model_accuracy(wh, model: str | None = None) -> DataFrame:
+    return forecast.swap_forecast(wh("mart_forecast_accuracy"), model_forecast(wh, model))
+
+
+def forecast_value(wh) -> DataFrame:
+    return forecast.forecast_value(model_accuracy(wh, "boosted"), model_accuracy(wh, "tweedie"))
 
 
 def served_forecast(wh) -> DataFrame:
@@ -67,6 +74,14 @@ def transfer_candidates(wh, min_units: int = 0) -> DataFrame:
     )
 
 
+def transfer_arcs(wh) -> DataFrame:
+    return wh.derive("transfer_arcs", lambda: transfers.shelf_life_gate(transfer_candidates(wh, transfers.MIN_UNITS)))
+
+
+def transfer_bound(wh) -> DataFrame:
+    return transfers.plan_bound(transfer_arcs(wh), wh("rec_transfer_order"))
+
+
 def replenish_candidates(wh) -> DataFrame:
     return replenish.replenish_candidates(
         wh("mart_demand_forecast"), wh("mart_expiry_risk"), wh("stg_wms__purchase_orders"), wh("dim_product")
@@ -143,7 +158,7 @@ def job_builders(wh) -> dict:
         "mart_price_elasticity": lambda: elasticity.estimate(wh("elasticity_panel")),
         "rec_markdown": lambda: markdown.optimise(decisions(wh)),
         "rec_deal_slot": lambda: slots.slot_recommendations(slots.deal_allocate(slots.deal_score(deal_candidates(wh)))),
-        "rec_transfer_order": lambda: transfers.transfer_plan(transfers.shelf_life_gate(transfer_candidates(wh, transfers.MIN_UNITS))),
+        "rec_transfer_order": lambda: transfers.transfer_plan(transfer_arcs(wh)),
         "rec_purchase_order": lambda: replenish.order_up_to(
             replenish_candidates(wh), forecast.fit_dispersion(wh("mart_forecast_accuracy"))
         ),

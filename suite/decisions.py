@@ -28,6 +28,39 @@ def stock_of_categories(wh):
     return sums.withColumn("k", forecast.fit_dispersion(wh("mart_forecast_accuracy")).select("k").scalar())
 
 
+def value_of_models(wh):
+    """Accuracy and value added per class of the boosted model; whether it beats both rivals over all held-out cells."""
+    value = jobs.forecast_value(wh)
+    error = lambda c: F.sum(F.col(c) * F.col("actual_units"))
+    model, rival = jobs.model_accuracy(wh, "boosted"), jobs.model_accuracy(wh, "tweedie")
+    missed = lambda df, c: df.agg(F.sum(F.abs(F.col("actual_units") - F.col(c))).alias("e")).scalar()
+    summed = value.agg(error("wape").alias("e")).scalar()
+    return value.select(
+        "abc_xyz_class", "cells", "actual_units", "naive_wape",
+        ((F.abs(F.col("naive_wape") - F.col("wape") - F.col("fva")) < 1e-9) & (F.abs(summed - missed(model, "forecast_units")) < 1e-3)).alias("ties"),
+        (missed(model, "forecast_units") < missed(model, "naive_units")).alias("model_beats_naive"),
+        (missed(model, "forecast_units") < missed(rival, "forecast_units")).alias("model_beats_regression"),
+    )
+
+
+def transfer_check(wh):
+    """The plan against what each store has and needs, and its value against the bound."""
+    arcs, plan = jobs.transfer_arcs(wh), wh("rec_transfer_order")
+    stock = arcs.groupBy("from_store", "sku_id").agg(F.max(F.floor("units_at_risk")).alias("most"))
+    need = arcs.groupBy("to_store", "sku_id").agg(F.max(F.floor("unmet_units")).alias("most"))
+    holds = lambda side, keys: plan.groupBy(*keys).agg(F.sum("units").alias("u")).join(side, keys, "left").agg(F.coalesce(F.bool_and(F.col("u") <= F.col("most")), F.lit(True)).alias("ok"))
+    size = arcs.agg(F.count("*").alias("arcs"), F.countDistinct("from_store", "to_store").alias("pairs"))
+    pays = plan.groupBy("from_store", "to_store").agg(F.sum("net_benefit").alias("net")).agg(F.coalesce(F.bool_and(F.col("net") > 0), F.lit(True)).alias("ok"))
+    always = lambda c: F.coalesce(F.bool_and(c), F.lit(True))
+    rows = plan.agg(always(F.col("units") <= F.col("arc_cap")).alias("arcs_held"), always(F.col("units") >= transfers.MIN_UNITS).alias("least_held"))
+    one = lambda df: df.select("ok").scalar()
+    return jobs.transfer_bound(wh).join(size).join(rows).select(
+        "arcs", "pairs", "opening_bound", one(holds(stock, ["from_store", "sku_id"])).alias("stock_held"), one(holds(need, ["to_store", "sku_id"])).alias("need_held"),
+        "arcs_held", "least_held", one(pays).alias("trips_pay"), (F.col("value") <= F.col("bound") + 0.01).alias("below_bound"),
+        (F.col("bound") <= F.col("opening_bound") + 1e-6).alias("bound_falls"),
+    )
+
+
 def decision_queries() -> dict[str, Query]:
     def q(build, cols, sql=None):
         return over_library(LIBRARY, build, cols, sql)
@@ -65,6 +98,14 @@ def decision_queries() -> dict[str, Query]:
             lambda wh: jobs.model_accuracy(wh),
             "store_id:s sku_id:s date_day:d origin_date:d horizon_days:i actual_units:i forecast_units:4 baseline_units:4 model_name:s",
         ),
+        "n06_forecast_value": q(
+            value_of_models,
+            "abc_xyz_class:s cells:i actual_units:2 naive_wape:6 ties:b model_beats_naive:b model_beats_regression:b",
+            """select abc_xyz_class, count(*) as cells, sum(actual_units) as actual_units,
+                      sum(abs(actual_units - naive_units)) / sum(actual_units) as naive_wape, true as ties, true as model_beats_naive,
+                      true as model_beats_regression
+               from accuracy group by 1""",
+        ),
         "n06_served_forecast": q(
             lambda wh: jobs.served_forecast(wh).groupBy("origin_date", "horizon_days").agg(
                 F.count("*").alias("n"), F.count(F.when(F.col("forecast_units") < 0, 1)).alias("negative"),
@@ -239,6 +280,15 @@ def decision_queries() -> dict[str, Query]:
             lambda wh: wh("rec_transfer_order"),
             "from_store:s to_store:s sku_id:s units:i avoided_writeoff:2 recovered_margin:2 trip_cost:2 trip_cost_share:4 net_benefit:4 method:s",
         ),
+        "n28_transfer_bound": q(
+            transfer_check,
+            "arcs:i pairs:i opening_bound:2 stock_held:b need_held:b arcs_held:b least_held:b trips_pay:b below_bound:b bound_falls:b",
+            """select sum(n) as arcs, count(*) as pairs, sum(greatest(gain - (300 + 15 * km), 0)) as opening_bound, true as stock_held,
+                      true as need_held, true as arcs_held, true as least_held, true as trips_pay, true as below_bound, true as bound_falls
+               from (select from_store, to_store, any_value(km) as km, count(*) as n,
+                            sum(cast(round(cap) as int) * (unit_landed_cost + greatest(unit_margin, 0))) as gain
+                     from arcs where round(cap) >= 6 group by all)""",
+        ),
         "n30_replenish_candidates": q(
             lambda wh: jobs.replenish_candidates(wh),
             "store_id:s sku_id:s date_day:d l1_category:s shelf_life_days:i base_price:2 landed_cost:2 daily_forecast:6 on_hand_units:i "

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from larder.decisions import delivery, elasticity, markdown, replenish, slots, transfers
+from larder.decisions import boosting, delivery, elasticity, markdown, replenish, slots, transfers
 from larder.functions import negbin
 
 rng = np.random.default_rng(11)
@@ -182,6 +182,117 @@ def test_transfers_are_feasible_and_every_trip_pays(spark):
     assert plan.groupby(["from_store", "to_store"]).agg({"trip_cost_share": "sum", "trip_cost": "first"}).apply(lambda r: math.isclose(*r), axis=1).all()
 
 
+def test_a_plan_stays_below_its_bound(spark):
+    some = arcs(spark).cache()
+    plan = transfers.transfer_plan(some).cache()
+    r = transfers.plan_bound(some, plan).first()
+    assert r.value == pytest.approx(plan.toPandas().net_benefit.sum()) and r.value <= r.bound <= r.opening_bound
+    assert r.value >= 0.75 * r.bound  # the gap is that of the prices (whole loads, fixed trips) and the plan
+    none = transfers.plan_bound(some, transfers.transfer_plan(some, fixed_trip_cost=1e9), fixed_trip_cost=1e9).first()
+    assert (none.value, none.bound) == (0.0, 0.0)
+
+
+def best_plan(rows, trip):
+    """The best value over all whole loads of one SKU, by trying every one."""
+    best = 0.0
+
+    def go(at, stock, need, value, vans):
+        nonlocal best
+        best = max(best, value)
+        if at == len(rows):
+            return
+        a, b, cap, benefit = rows[at]
+        for units in [0, *range(transfers.MIN_UNITS, min(cap, stock[a], need[b]) + 1)]:
+            go(at + 1, {**stock, a: stock[a] - units}, {**need, b: need[b] - units}, value + units * benefit - (trip if units else 0), vans)
+
+    go(0, {"A": 14, "B": 9}, {"C": 12, "D": 10}, 0.0, 0)
+    return best
+
+
+def test_plan_and_bound_enclose_the_best(spark):
+    for seed in range(3):
+        r = np.random.default_rng(seed)
+        rows = [(a, b, int(r.integers(6, 13)), float(r.integers(20, 60))) for a in "AB" for b in "CD"]
+        have, want = {"A": 14.0, "B": 9.0}, {"C": 12.0, "D": 10.0}
+        table = spark.createDataFrame(
+            [(a, b, "x", 2.0, cap, benefit, benefit, 0.0, have[a], want[b]) for a, b, cap, benefit in rows],
+            "from_store string, to_store string, sku_id string, km double, arc_cap int, unit_benefit double, unit_landed_cost double, unit_margin double, "
+            "units_at_risk double, unmet_units double",
+        ).withColumns({c: F.lit(None).cast("string") for c in ("date_day", "sku_name", "l1_category", "transit_hours", "days_to_expiry", "sellable_days")})
+        plan = transfers.transfer_plan(table, fixed_trip_cost=100.0)
+        found = transfers.plan_bound(table, plan, fixed_trip_cost=100.0).first()
+        best = best_plan(rows, 130.0)
+        assert found.value <= best + 1e-9 <= found.bound + 2e-9 and found.value >= 0.6 * best
+
+
+def test_a_long_chain_ends_within_the_passes(spark):
+    """Each pair is better than the one before it, so taking mutual best pairs one after the other would take a round a store."""
+    n = 1000
+    table = spark.range(n).select(
+        F.lit(None).cast("date").alias("date_day"), F.concat(F.lit("s"), "id").alias("from_store"), F.concat(F.lit("s"), F.col("id") + 1).alias("to_store"),
+        F.lit("x").alias("sku_id"), F.lit("n").alias("sku_name"), F.lit("c").alias("l1_category"), F.lit(1.0).alias("km"), F.lit(1.0).alias("transit_hours"),
+        F.lit(3).alias("days_to_expiry"), F.lit(2.0).alias("sellable_days"), F.lit(10).alias("arc_cap"), (40.0 + F.col("id") / 100).alias("unit_landed_cost"),
+        F.lit(0.0).alias("unit_margin"), (40.0 + F.col("id") / 100).alias("unit_benefit"), F.lit(10.0).alias("units_at_risk"), F.lit(10.0).alias("unmet_units"),
+    )
+    plan = transfers.transfer_plan(table)
+    r = transfers.plan_bound(table, plan, rounds=2).first()
+    assert plan.count() == n and r.value == pytest.approx(r.bound)
+
+
+def test_the_grid_finds_all_within_reach_and_few_beyond(spark):
+    r = np.random.default_rng(5)
+    for lat, lon in ((0.0, 0.0), (57.0, 179.9), (-89.0, 10.0), (88.9, -179.0)):
+        spots = [(f"s{i}", "x", float(np.clip(lat + r.normal() * 2, -90, 90)), float((lon + r.normal() * 40 / max(0.05, math.cos(math.radians(lat)))) % 360 - 180)) for i in range(60)]
+        reach = [float(r.choice([0.0, 3.0, 40.0, 300.0, 2500.0, 15000.0])) for _ in spots]
+        a = spark.createDataFrame([(*s, d) for s, d in zip(spots, reach, strict=True)], "from_store string, sku_id string, lat_a double, lon_a double, reach double")
+        b = spark.createDataFrame(spots, "to_store string, sku_id string, lat_b double, lon_b double")
+        km = transfers.haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
+        got = transfers.within_reach(a, b).filter(km < F.col("reach")).select("from_store", "to_store").collect()
+        want = a.join(b, "sku_id").filter(km < F.col("reach")).select("from_store", "to_store").collect()
+        assert sorted(got) == sorted(want)
+    line = spark.range(5000).select(F.concat(F.lit("s"), "id").alias("store"), F.lit("x").alias("sku_id"), F.lit(19.0).alias("lat"), (F.col("id") * 0.02 - 50).alias("lon"))
+    a = line.select(F.col("store").alias("from_store"), "sku_id", F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.lit(8.0).alias("reach"))
+    b = line.select(F.col("store").alias("to_store"), "sku_id", F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
+    assert transfers.within_reach(a, b).count() < 40 * 5000  # 25 million pairs without a grid
+
+
+def test_boosted_trees_learn_the_mean_of_each_group(spark):
+    r = np.random.default_rng(8)
+    n = 4000
+    pdf = pd.DataFrame({"a": r.normal(size=n), "b": r.integers(0, 3, n).astype(float), "s": [f"s{i}" for i in r.integers(0, 40, n)]})
+    pdf.loc[::50, "a"] = np.nan
+    odd = pdf["s"].str[1:].astype(int) % 7 < 2
+    mean = np.where(odd, 6.0, 1.0) * np.where(pdf["a"] > 0.3, 2.0, 1.0)
+    pdf["y"] = r.poisson(mean).astype(float)
+    table = spark.createDataFrame(pdf.replace(np.nan, None).astype({"a": object}).where(lambda d: d.notna(), None), "a double, b double, s string, y double")
+    model = boosting.fit(table, "y", ["a", "b"], ["s"], rounds=25, depth=3)
+    got = table.select("a", "b", "s", "y", model.predict(table).alias("p")).toPandas()
+    truth = np.where(got["s"].str[1:].astype(int) % 7 < 2, 6.0, 1.0) * np.where(got["a"].astype(float) > 0.3, 2.0, 1.0)
+    assert np.abs(got["p"] - truth).mean() < 0.35 and (got["p"] > 0).all()
+    assert got["p"].mean() == pytest.approx(got["y"].mean(), rel=0.02)
+    assert model.trees[0].levels[0][0].feature == 2  # the stores, split as a set and not by their names
+    unseen = spark.createDataFrame([(None, 1.0, "new")], "a double, b double, s string")
+    assert unseen.select(model.predict(unseen).alias("p")).first().p > 0
+    assert boosting.fit(table.limit(0), "y", ["a"], ["s"]) is None and boosting.fit(table.withColumn("y", F.lit(0.0)), "y", ["a"], ["s"]) is None
+
+
+def test_tweedie_gradients_are_derivatives():
+    power, raw, y = 1.1, np.array([-1.0, 0.2, 1.5]), np.array([0.0, 3.0, 1.0])
+    loss = lambda f: -y * np.exp((1 - power) * f) / (1 - power) + np.exp((2 - power) * f) / (2 - power)
+    g, h = boosting.gradients(y, raw, power)
+    assert g == pytest.approx((loss(raw + 1e-5) - loss(raw - 1e-5)) / 2e-5, rel=1e-5)
+    assert h == pytest.approx((loss(raw + 1e-4) - 2 * loss(raw) + loss(raw - 1e-4)) / 1e-8, rel=1e-3)
+
+
+def test_the_best_split_is_that_of_all_subsets():
+    r = np.random.default_rng(4)
+    own = np.c_[r.normal(size=6), r.random(6) + 0.5, np.full(6, 50.0)]
+    found = boosting.best_split(1, own, [0, 6], [False], 10)
+    gain = lambda m: own[m, 0].sum() ** 2 / (own[m, 1].sum() + 1) + own[~m, 0].sum() ** 2 / (own[~m, 1].sum() + 1)
+    every = [np.array(m) for m in itertools.product([False, True], repeat=6) if 0 < sum(m) < 6]
+    assert gain(found.left) == pytest.approx(max(map(gain, every)), rel=0.05)
+
+
 def test_no_trip_pays_means_no_transfer(spark):
     assert transfers.transfer_plan(arcs(spark), fixed_trip_cost=1e9).count() == 0
 
