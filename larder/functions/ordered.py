@@ -20,10 +20,18 @@ def first_arrival(df: DataFrame, business: Sequence[str], arrival: str) -> DataF
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row of each key in ``order``; an aggregate, so it combines before the shuffle."""
+    """The last row of each key in ``order``; nulls come first.
+
+    The greatest first value of each key is a hash aggregate of two columns, and only rows that have it are looked at
+    further: whole rows are neither sorted nor aggregated. What is left is a row or a few of each key.
+    """
+    first, *others = order
+    newest = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max(first).alias("_first"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    rows = df.join(newest, [*same, F.col(first).eqNullSafe(F.col("_first"))], "left_semi")
     rest = [c for c in df.columns if c not in keys and c not in order]
-    packed = F.max_by(F.struct(*rest, *order), F.struct(*order)).alias("_latest")
-    return df.groupBy(*keys).agg(packed).select(*keys, "_latest.*").select(*df.columns)
+    last = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in [*others, *rest]])
+    return rows.withColumn("_nth", F.row_number().over(last)).filter("_nth = 1").drop("_nth")
 
 
 def running_sum(

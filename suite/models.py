@@ -26,7 +26,12 @@ def over_warehouse(build, cols: str, sql: str | None) -> Query:
     return over_library(LIBRARY, build, cols, sql)
 
 
+#: (CTE, columns) of every table that one CTE states.
+TABLES: dict[str, tuple[str, str]] = {}
+
+
 def table(name: str, cte: str, cols: str) -> Query:
+    TABLES[name] = cte, cols
     return over_warehouse(lambda wh: wh(name), cols, f"select * from {cte}")
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from larder.quality import contracts, figures, gate, results, rules
+from larder.quality import figures, gate, results, rules
+from suite.contracts import contract_checks, contract_sql
 from suite.ctes_feeds import FEEDS
 from suite.ctes_jobs import JOBS
 from suite.ctes_models import MODELS
-from suite.models import over_library
+from suite.models import TABLES, model_queries, over_library
 from suite.spec import Query
 
+CHECKS = "check_name:s table_name:s column_name:s failed_rows:i"
 LINES = {
     "raw_items": "select distinct * exclude (dt) from pos_order_items",
     "raw_lines": """
@@ -79,6 +81,7 @@ def quality_queries() -> dict[str, Query]:
     def q(build, cols, sql=None):
         return over_library(LIBRARY, build, cols, sql)
 
+    model_queries()  # fills TABLES
     rule_sql = " union all ".join(f"select '{n}' as check_name, count(*) as failed_rows from ({s})" for n, s in RULE_SQL.items())
     gate_sql = " union all ".join(f"select '{n}' as check_name, ({s}) as figure" for n, s in GATE_SQL.items())
     return {
@@ -86,10 +89,8 @@ def quality_queries() -> dict[str, Query]:
         "x_singular_tests_rest": q(
             lambda wh: rules.singular_tests(wh, [n for n in rules.RULES if n not in RULE_SQL]), "check_name:s failed_rows:i"
         ),
-        "y_generic_tests": q(
-            lambda wh: contracts.generic_tests(wh, ["fct_order_item", "fct_order", "fct_inventory_batch", "agg_store_sku_day"]),
-            "check_name:s table_name:s column_name:s failed_rows:i",
-        ),
+        "y_generic_tests": q(lambda wh: contract_checks(wh, TABLES), CHECKS, contract_sql(TABLES)),
+        "y_generic_tests_damaged": q(lambda wh: contract_checks(wh, TABLES, damage=True), CHECKS, contract_sql(TABLES, damage=True)),
         "g_raw_gate": q(
             lambda wh: gate.raw_gate(wh.feed), "check_name:s kind:s figure:i status:s",
             f"""select check_name, if(check_name in {DEVIATIONS}, 'deviation', 'invariant') as kind, figure, if(figure = 0, 'PASS', 'FAIL') as status

@@ -59,3 +59,24 @@ def test_pairs_of_a_huge_basket_are_complete(spark):
     assert got == {("s001", "s002"): 31}
     everything = basket_pairs(df, 1, large_basket=10, salts=8)
     assert everything.count() == 100 * 99 // 2 + 30 * 2
+
+
+def test_latest_per_key_takes_ties_nulls_and_repeats(spark):
+    rows = [("a", 1, None, "x"), ("a", 2, 5, "y"), ("a", 2, 7, "z"), ("b", None, 1, "n"), (None, 3, 1, "k"), (None, 3, 1, "k"), ("c", 4, 2, "p"), ("c", 4, 2, "q")]
+    df = spark.createDataFrame(rows, "key string, day int, no int, what string")
+    got = {r.key: (r.day, r.no, r.what) for r in ordered.latest_per_key(df, ["key"], ["day", "no"]).collect()}
+    assert got == {"a": (2, 7, "z"), "b": (None, 1, "n"), None: (3, 1, "k"), "c": (4, 2, "q")}
+
+
+def test_plans_copy_no_lines_and_sort_no_inputs(warehouse):
+    from larder.causal.deal import uplift_panel
+    from larder.operators.dimensions import dim_customer
+    from larder.operators.facts import fct_order
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    orders = fct_order(warehouse("stg_pos__orders"), warehouse("fct_order_item"))
+    panel = uplift_panel(warehouse("fct_order_item"), warehouse("dim_customer"), warehouse("stg_crm__deal_exposure"))
+    assert "Expand" not in plan(orders) and "Expand" not in plan(panel)
+    assert "SortAggregate" not in plan(dim_customer(warehouse("stg_crm__customers")))

@@ -163,3 +163,19 @@ def test_metric_bounds_hold_on_the_derived_warehouse(warehouse):
 
     for name in ("gross_margin_pct", "fill_rate", "in_stock_pct_hours", "retention_90d", "private_label_gmv_share"):
         assert out_of_bounds(warehouse, name).count() == 0
+
+
+def test_damaged_copies_break_every_rule(warehouse):
+    from larder.quality.contracts import CONTRACTS
+    from suite.contracts import contract_checks, shapes
+    from suite.models import TABLES, model_queries
+
+    model_queries()
+    known = shapes(TABLES)
+    assert len(known) >= len(CONTRACTS) - 1
+    some = {t: TABLES[t] for t in ("fct_order", "fct_inventory_batch", "dim_store")}
+    found = contract_checks(warehouse, some, damage=True).filter("table_name in ('fct_order', 'fct_inventory_batch', 'dim_store')").toPandas()
+    hit = set(found[found["failed_rows"] > 0]["check_name"])
+    assert hit == {"not_null", "unique", "relationships", "between", "at_least"}
+    whole = contract_checks(warehouse, some).filter("table_name = 'fct_order'").toPandas()
+    assert (whole["failed_rows"] == 0).all()
