@@ -31,12 +31,16 @@ select store_id, sku_id, effective_from_date as a, effective_to_date - 1 as b fr
 select c.store_id, c.sku_id, k.a as block_start, k.b as block_end, c.date_day,
        case when c.date_day < k.a then c.date_day - k.a when c.date_day > k.b then c.date_day - k.b else 0 end as rel_day,
        c.date_day >= k.a and c.date_day <= k.b as in_block, c.units_sold, n.baseline_units, c.units_sold - n.baseline_units as lift
-from deal_blocks k join cells c on c.store_id = k.store_id and c.sku_id = k.sku_id and c.date_day between k.a - 7 and k.b + 7
-join (select store_id, sku_id, avg(units_sold) as baseline_units from cells c
-      where not is_censored and (store_id, sku_id) in (select (store_id, sku_id) from deal_blocks)
-        and not exists (select 1 from deal_blocks o where o.store_id = c.store_id and o.sku_id = c.sku_id and c.date_day between o.a - 7 and o.b + 7)
-      group by all having count(*) >= 7) n on n.store_id = c.store_id and n.sku_id = c.sku_id
-where not c.is_censored and (k.store_id, k.sku_id) in (select (store_id, sku_id) from deal_blocks group by store_id, sku_id having count(*) = 1)""",
+from (select store_id, sku_id, min(a) as a, min(b) as b from deal_blocks group by 1, 2 having count(*) = 1) k
+join cells c on c.store_id = k.store_id and c.sku_id = k.sku_id
+join (select f.store_id, f.sku_id, avg(f.units_sold) as baseline_units
+      from (select distinct store_id, sku_id from deal_blocks) d
+      join cells f on f.store_id = d.store_id and f.sku_id = d.sku_id
+      left join (select distinct store_id, sku_id, cast(unnest(generate_series(a - 7, b + 7, interval 1 day)) as date) as date_day from deal_blocks) o
+        on o.store_id = f.store_id and o.sku_id = f.sku_id and o.date_day = f.date_day
+      where not f.is_censored and o.store_id is null
+      group by 1, 2 having count(*) >= 7) n on n.store_id = c.store_id and n.sku_id = c.sku_id
+where not c.is_censored and c.date_day between k.a - 7 and k.b + 7""",
     "retained": f"""
 select e.customer_id, e.deal_arm, coalesce(r.redeemed, 0) as redeemed, (c.churn_date is not null)::int as churned,
        coalesce(r.recent, 0) as active_recent, coalesce(s.n, 0) as stockout_days
