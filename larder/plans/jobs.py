@@ -9,6 +9,7 @@ from larder.causal import deal, did, uplift
 from larder.causal.tree import CausalTree
 from larder.operators import marts
 from larder.quality.results import dq_test_results
+from larder.sources import tables
 from larder.decisions import elasticity, expiry, forecast, markdown, replenish, slots, transfers
 
 
@@ -139,6 +140,28 @@ def deal_readout(wh) -> DataFrame:
     return wh.derive("deal_readout", build)
 
 
+#: What each engine is told, beside what is fitted.
+CONSTANTS = {
+    "newsvendor": {"review_period_days": replenish.REVIEW_DAYS, "lead_time_quantile": replenish.LEAD_QUANTILE, "shelf_life_cap_quantile": replenish.CAP_QUANTILE},
+    "markdown": {"depth_grid": markdown.DEPTHS, "budget_per_store_day": markdown.BUDGET_PER_STORE_DAY, "disposal_cost_per_unit": 0.0},
+    "deal_slot": {
+        "deal_price": slots.DEAL_PRICE, "slots_per_store_day": slots.SLOTS, "private_label_floor": slots.PRIVATE_LABEL_FLOOR, "uplift_multiplier": slots.UPLIFT,
+        "incremental_basket_margin": slots.BASKET_MARGIN, "reactivation_rate": slots.REACTIVATION, "min_on_hand_units": slots.MIN_ON_HAND, "min_days_to_expiry": slots.MIN_DAYS_LEFT,
+    },
+    "transfers": {
+        "speed_kmh": transfers.SPEED_KMH, "handling_hours": transfers.HANDLING_HOURS, "cost_per_km": transfers.COST_PER_KM,
+        "fixed_trip_cost": transfers.FIXED_TRIP_COST, "min_transfer_units": transfers.MIN_UNITS,
+    },
+}
+
+
+def policy_bundle(wh) -> DataFrame:
+    return tables.policy_bundle(
+        wh("mart_price_elasticity"), wh("dim_dte_band"), wh("stg_wms__purchase_orders"), wh("dim_product"),
+        forecast.fit_dispersion(wh("mart_forecast_accuracy")), wh("agg_store_sku_day"), CONSTANTS,
+    )
+
+
 def presented_readout(wh) -> DataFrame:
     return marts.mart_deal_readout(deal_readout(wh))
 

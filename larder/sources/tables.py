@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,18 +58,48 @@ def write_pruned(df: DataFrame, path: str, without: Sequence[str]) -> None:
     df.drop(*without).write.mode("overwrite").parquet(path)
 
 
-def policy_bundle(elasticity: DataFrame, purchases: DataFrame, dispersion: DataFrame, basket_margin: float) -> DataFrame:
-    """Fitted parameters as JSON, one row per section: aggregates, so at most cells and stores long."""
-    cells = elasticity.select(
-        F.lit("elasticity").alias("section"),
-        F.to_json(F.struct("l1_category", "dte_band", "elasticity_raw", "standard_error", "is_identified", "elasticity_basis")).alias("body"),
-    )
-    lead = purchases.filter("lead_time_days is not null").groupBy("store_id").agg(
-        F.percentile("lead_time_days", F.lit(0.9)).alias("lead_time_p90"), F.avg("lead_time_days").alias("lead_time_mean")
+def policy_bundle(
+    elasticity: DataFrame, bands: DataFrame, purchases: DataFrame, products: DataFrame, dispersion: DataFrame, daily: DataFrame,
+    constants: Mapping[str, Mapping[str, float | Sequence[float]]],
+) -> DataFrame:
+    """What a policy may know, in rows (section, name, item, value): fitted parameters, the constants of each engine, and which
+    build they come from. No recommendation of any day is in it.
+
+    Lead times by category and over all come from one pass with grouping sets; every section is an aggregate, at most as long
+    as there are cells, so nothing of the data's size is collected. ``bundle_json`` renders the rows.
+    """
+    spark = elasticity.sparkSession
+
+    def rows(df: DataFrame, section: str, name: Column, values: Mapping[str, Column]) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(k).alias("item"), v.cast("double").alias("value")) for k, v in values.items()])
+        return df.select(F.lit(section).alias("section"), name.alias("name"), F.explode(each).alias("x")).select("section", "name", "x.*")
+
+    cells = elasticity.join(bands.select("dte_band", "min_days", "max_days"), "dte_band")
+    usable = F.when(F.col("is_identified"), F.col("elasticity_raw"))
+    slopes = rows(cells, "elasticity", F.concat_ws(" | ", "l1_category", "dte_band"), {
+        "min_days": F.col("min_days"), "max_days": F.col("max_days"), "elasticity_raw": F.col("elasticity_raw"), "standard_error": F.col("standard_error"),
+        "is_identified": F.col("is_identified"), "elasticity_usable": usable,
+    })
+    timed = purchases.filter("lead_time_days is not null").join(products.select("sku_id", "l1_category"), "sku_id", "left").filter("l1_category is not null")
+    lead = timed.groupingSets([["l1_category"], []], "l1_category").agg(
+        F.grouping("l1_category").alias("pooled"), F.percentile("lead_time_days", F.lit(0.9)).alias("p90"), F.avg("lead_time_days").alias("mean"), F.count("*").alias("observations")
     )
-    leads = lead.select(F.lit("lead_time").alias("section"), F.to_json(F.struct("store_id", "lead_time_p90", "lead_time_mean")).alias("body"))
-    spread = dispersion.select(F.lit("dispersion").alias("section"), F.to_json(F.struct("k"), {"ignoreNullFields": "false"}).alias("body"))
-    fixed = elasticity.sparkSession.range(1).select(
-        F.lit("deal").alias("section"), F.lit(json.dumps({"basket_margin": basket_margin})).alias("body")
+    leads = rows(lead, "lead_time_days", F.when(F.col("pooled") == 1, "all").otherwise(F.col("l1_category")), {c: F.col(c) for c in ("p90", "mean", "observations")})
+    spread = rows(dispersion, "demand", F.lit("dispersion"), {"k": F.col("k")})
+    build = rows(daily.agg(F.count("*").alias("rows"), F.round(F.sum("net_revenue"), 2).alias("revenue")), "provenance", F.lit("agg_store_sku_day"), {"rows": F.col("rows"), "net_revenue": F.col("revenue")})
+    sizes = rows(elasticity.agg(F.count("*").alias("n"), F.count(F.when(F.col("is_identified"), 1)).alias("i")), "provenance", F.lit("elasticity"), {"cells": F.col("n"), "identified": F.col("i")})
+    fixed = [
+        (section, name, None if not isinstance(value, (list, tuple)) else str(i), float(v))
+        for section, items in constants.items() for name, value in items.items() for i, v in enumerate(value if isinstance(value, (list, tuple)) else [value])
+    ]
+    plain = spark.createDataFrame(fixed, "section string, name string, item string, value double")
+    return slopes.unionByName(leads).unionByName(spread).unionByName(build).unionByName(sizes).unionByName(plain)
+
+
+def bundle_json(bundle: DataFrame) -> DataFrame:
+    """One JSON object a section: names, and under each its items (or its one value). Sections are at most as long as there are cells."""
+    items = bundle.groupBy("section", "name").agg(
+        F.max("item").alias("some"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("item", F.lit("value")).alias("k"), "value")))).alias("m")
     )
-    return cells.unionByName(leads).unionByName(spread).unionByName(fixed)
+    body = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "m")))), {"ignoreNullFields": "false"})
+    return items.groupBy("section").agg(body.alias("body"))

@@ -39,7 +39,7 @@ RULE_SQL = {
     "order_daily_ties_to_the_sku_aggregate": "select 1 from (select sum(net_revenue) as a from order_daily), (select sum(net_revenue) as b from cells) where abs(a - b) > 0.01",
     "order_items_tie_to_the_raw_feed": "select 1 from (select count(*) as a from raw_lines), (select count(*) as b from order_item) where a <> b",
     "pack_size_is_physically_plausible": "select 1 from stg_products where pack_qty <= 0 or (uom in ('g', 'ml') and pack_qty < 1) or (uom in ('kg', 'l') and pack_qty > 100)",
-    "price_intervals_expand_back_to_the_ledger": "select store_id, sku_id, d, realized_price from price_days except select store_id, sku_id, date_day, realized_price from price_by_day",
+    "price_intervals_expand_back_to_the_ledger": "select store_id, sku_id, d, realized_price from price_days except select store_id, sku_id, date_day, realized_price from price_by_day union all (select store_id, sku_id, date_day, realized_price from price_by_day except select store_id, sku_id, d, realized_price from price_days)",
     "product_history_covers_every_sale": "select 1 from (select distinct sku_id, date_day from order_item) s left join product_versions v on v.sku_id = s.sku_id and s.date_day >= v.valid_from_date and s.date_day < coalesce(v.valid_to_date, date '2999-12-31') group by s.sku_id, s.date_day having count(version_no) <> 1",
     "product_versions_are_contiguous": "select sku_id from product_versions group by 1 having sum(is_current::int) <> 1",
     "product_versions_expand_back_to_the_daily_catalogue": "select sku_id, snapshot_date, landed_cost from stg_products except select sku_id, cast(unnest(generate_series(valid_from_date, coalesce(valid_to_date, last_seen_date + 1) - 1, interval 1 day)) as date), landed_cost from product_versions",
@@ -47,12 +47,20 @@ RULE_SQL = {
     "returns_reconcile_across_encodings": "select 1 from (select sum(qty * price) as a from raw_lines), (select sum(signed_qty * unit_realized_price) as b from stg_lines) where abs(a - b) > 0.01",
     "shelf_life_at_sale_is_possible": "select 1 from order_item join products using (sku_id) where dte_at_sale < 0 or dte_at_sale > shelf_life_days",
     "stacked_promotions_agree_on_price": "select 1 from stg_prices group by store_id, sku_id, effective_date having count(*) > 1 and count(distinct realized_price) > 1",
+    "stacked_promotions_attribute_to_the_price_setter": """select 1 from price_spans s join promos p using (promo_id) join (
+        select store_id, sku_id, interval_no, max(observed_depth_pct) as deepest
+        from (select store_id, sku_id, interval_no, unnest(string_split(stacked_promo_ids, ',')) as promo_id from price_spans where is_promo_stacked) join promos using (promo_id)
+        group by all) d on d.store_id = s.store_id and d.sku_id = s.sku_id and d.interval_no = s.interval_no where s.is_promo_stacked and d.deepest > p.observed_depth_pct""",
     "the_arrival_curve_is_a_probability_distribution": "select 1 from curve group by l1_category having count(*) <> 24 or abs(sum(arrival_share) - 1) > 1e-9",
     "the_availability_fact_accounts_for_every_stockout": "select 1 from stg_stockouts s join (select store_id, sku_id, min(date_day) as f, max(date_day) as l from shelf_hours group by all) h on h.store_id = s.store_id and h.sku_id = s.sku_id and s.stockout_date between h.f and h.l where not exists (select 1 from shelf_hours x where x.store_id = s.store_id and x.sku_id = s.sku_id and x.date_day = s.stockout_date and not x.is_in_stock)",
     "the_calendar_has_no_gaps": "select 1 from calendar having count(*) <> max(date_day) - min(date_day) + 1",
     "the_lookback_window_covers_every_late_arrival": "select order_date_ist from stg_orders group by 1 having max(arrival_lag_days) > 2",
     "the_promo_master_covers_every_promotion_run": "select distinct promo_id from stg_prices where promo_id not in (select promo_id from promos)",
     "the_stock_ledger_reconciles_to_the_pos": "select 1 from (select sum(units) as a from order_item where line_type = 'sale'), (select -sum(qty_delta) as b from stg_moves where event_type = 'sale'), (select sum(abs(qty_delta)) as c from wms_inventory_movement where batch_id is null and event_type = 'sale') where a - b <> c",
+    "time_weighted_availability_differs_from_a_midnight_snapshot": """select 1 from (
+        select sum(up)::double / nullif(sum(h), 0) as weighted, avg(m) as snapshot
+        from (select sum(hours_in_state) as h, sum(if(is_in_stock, hours_in_state, 0)) as up, max((from_hour_ist = 0 and is_in_stock)::int) as m
+              from shelf_hours group by store_id, sku_id, date_day)) where weighted is null or snapshot - weighted < 0.001""",
     "uncensoring_only_ever_adds_demand": "select 1 from cells where units_demanded_imputed < units_sold or (not is_censored and units_demanded_imputed <> units_sold)",
 }
 GATE_SQL = {

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.decisions import forecast
-from larder.decisions.slots import BASKET_MARGIN
 from larder.functions.ranges import band_of
 from larder.plans import jobs
 from larder.quality import gate
@@ -26,6 +25,18 @@ CUTOFF = date(2025, 11, 30)
 SLICE = (date(2025, 6, 1), date(2025, 8, 31))
 
 
+CONSTANT_ROWS = """
+('newsvendor', 'review_period_days', null, 1), ('newsvendor', 'lead_time_quantile', null, 0.9), ('newsvendor', 'shelf_life_cap_quantile', null, 0.95),
+('markdown', 'budget_per_store_day', null, 1000), ('markdown', 'disposal_cost_per_unit', null, 0), ('markdown', 'depth_grid', '0', 0), ('markdown', 'depth_grid', '1', 0.05),
+('markdown', 'depth_grid', '2', 0.1), ('markdown', 'depth_grid', '3', 0.15), ('markdown', 'depth_grid', '4', 0.2), ('markdown', 'depth_grid', '5', 0.25),
+('markdown', 'depth_grid', '6', 0.3), ('markdown', 'depth_grid', '7', 0.35), ('markdown', 'depth_grid', '8', 0.4), ('markdown', 'depth_grid', '9', 0.45),
+('markdown', 'depth_grid', '10', 0.5), ('markdown', 'depth_grid', '11', 0.55), ('markdown', 'depth_grid', '12', 0.6),
+('deal_slot', 'deal_price', null, 11), ('deal_slot', 'slots_per_store_day', null, 3), ('deal_slot', 'private_label_floor', null, 0.3), ('deal_slot', 'uplift_multiplier', null, 3.57),
+('deal_slot', 'incremental_basket_margin', null, 4.33), ('deal_slot', 'reactivation_rate', null, 0.0283), ('deal_slot', 'min_on_hand_units', null, 12), ('deal_slot', 'min_days_to_expiry', null, 1),
+('transfers', 'speed_kmh', null, 18), ('transfers', 'handling_hours', null, 2), ('transfers', 'cost_per_km', null, 15), ('transfers', 'fixed_trip_cost', null, 300),
+('transfers', 'min_transfer_units', null, 6)"""
+
+
 def _landed(wh, name: str) -> str:
     """The root under which a feed has been appended, by arrival day, once per application."""
     root = wh.workspace.path("landed")
@@ -82,11 +93,32 @@ def pruned(wh) -> DataFrame:
     return wh.spark.read.parquet(path)
 
 
+#: Every table with a slicing rule and a statement of its rows; the fitted ones (prices, plans, recommendations) have none.
+BY_DAY = {
+    "fct_order": "order_fact", "fct_order_item": "order_item", "agg_store_sku_day": "cells", "fct_inventory_movement": "movement", "fct_availability_hour": "shelf_hours",
+    "fct_clickstream": "clicks", "mart_order_daily": "order_daily", "mart_forecast_accuracy": "accuracy", "mart_demand_forecast": "forecast",
+}
+BY_STORE = {"mart_expiry_risk": "risk", "dim_store": "stores", "mart_customer_360": "customer_360"}
+WHOLE = {
+    "dim_product": "products", "dim_product_snapshot": "product_versions", "dim_date": "calendar", "dim_dte_band": "dte_bands", "dim_promotion": "promos",
+    "dim_supplier": "suppliers", "agg_intraday_arrival_curve": "curve", "dq_source_coverage": "coverage", "mart_cohort_retention": "cohort_retention",
+}
+SLICED = [*BY_DAY, *BY_STORE, *WHOLE, "fct_price_history", "fct_inventory_batch", "dim_customer"]
+
+
+def slice_sql() -> str:
+    parts = [f"select '{t}' as table_name, count(*) as n from {c} where store_id in {PICKED} and date_day {SPAN}" for t, c in BY_DAY.items()]
+    parts += [f"select '{t}', count(*) from {c} where store_id in {PICKED}" for t, c in BY_STORE.items()]
+    parts += [f"select '{t}', count(*) from {c}" for t, c in WHOLE.items()]
+    parts.append(f"select 'fct_price_history', count(*) from price_spans where store_id in {PICKED} and effective_from_date <= date '2025-08-31' and effective_to_date > date '2025-06-01'")
+    parts.append(f"select 'fct_inventory_batch', count(*) from batch where store_id in {PICKED} and received_date <= date '2025-08-31' and expiry_date > date '2025-06-01'")
+    parts.append(f"select 'dim_customer', count(*) from customers where home_store_id in {PICKED}")
+    return " union all ".join(parts)
+
+
 def sliced(wh) -> DataFrame:
     picked = slices.pick_stores(wh("dim_store"), wh("fct_order"), 2)
-    cut = slices.slice_tables(
-        wh, picked, *SLICE, ["fct_order", "fct_order_item", "agg_store_sku_day", "fct_price_history", "fct_inventory_batch", "dim_customer", "dim_store"]
-    )
+    cut = slices.slice_tables(wh, picked, *SLICE, SLICED)
     rows = None
     for name, df in cut.items():
         row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
@@ -163,13 +195,7 @@ def source_queries() -> dict[str, Query]:
         "s12_pruned_copy": q(pruned, "order_id:s gmv:2 fill_rate:6", "select * from order_fact"),
         "s13_consistent_slice": q(
             sliced, "table_name:s n:i",
-            f"""select 'fct_order' as table_name, count(*) as n from order_fact where store_id in {PICKED} and date_day {SPAN}
-                union all select 'fct_order_item', count(*) from order_item where store_id in {PICKED} and date_day {SPAN}
-                union all select 'agg_store_sku_day', count(*) from cells where store_id in {PICKED} and date_day {SPAN}
-                union all select 'fct_price_history', count(*) from price_spans where store_id in {PICKED} and effective_from_date <= date '2025-08-31' and effective_to_date > date '2025-06-01'
-                union all select 'fct_inventory_batch', count(*) from batch where store_id in {PICKED} and received_date <= date '2025-08-31' and expiry_date > date '2025-06-01'
-                union all select 'dim_customer', count(*) from customers where home_store_id in {PICKED}
-                union all select 'dim_store', 2""",
+            slice_sql(),
         ),
         "s14_store_pick": q(
             lambda wh: slices.pick_stores(wh("dim_store"), wh("fct_order"), 4), "store_id:s catchment_tier:s orders:i rank_in_tier:i",
@@ -178,10 +204,19 @@ def source_queries() -> dict[str, Query]:
                      from stores join (select store_id, count(*) as n from order_fact group by 1) using (store_id)) order by r, n desc, store_id limit 4""",
         ),
         "s16_policy_bundle": q(
-            lambda wh: tables.policy_bundle(
-                wh("mart_price_elasticity"), wh("stg_wms__purchase_orders"), forecast.fit_dispersion(wh("mart_forecast_accuracy")), BASKET_MARGIN
-            ),
-            "section:s body:s",
+            # Every row but the fitted slopes and how many are identified.
+            lambda wh: jobs.policy_bundle(wh).filter("item is null or item not in ('elasticity_raw', 'standard_error', 'is_identified', 'elasticity_usable', 'identified')"),
+            "section:s name:s item:s value:6",
+            f"""with cell as (select distinct l1_category, dte_band from elastic_panel),
+                    late as (select l1_category, quantile_cont(lead_time_days, 0.9) as p90, avg(lead_time_days) as mean, count(*) as n
+                             from stg_purchases join products using (sku_id) where lead_time_days is not null group by grouping sets ((l1_category), ()))
+               select 'elasticity' as section, l1_category || ' | ' || dte_band as name, unnest(['min_days', 'max_days']) as item, unnest([min_days, max_days])::double as value
+               from cell join dte_bands using (dte_band)
+               union all select 'lead_time_days', coalesce(l1_category, 'all'), unnest(['p90', 'mean', 'observations']), unnest([p90, mean, n::double]) from late
+               union all select 'demand', 'dispersion', 'k', k from dispersion
+               union all select 'provenance', 'agg_store_sku_day', unnest(['rows', 'net_revenue']), unnest([count(*)::double, round(sum(net_revenue), 2)]) from cells
+               union all select 'provenance', 'elasticity', 'cells', count(*) from cell
+               union all select * from (values {CONSTANT_ROWS})""",
         ),
         "r01_stream_dedupe": q(
             lambda wh: streamed(wh, "pos_orders", lambda s: live.deduplicated_orders(s).drop("event_time")),
