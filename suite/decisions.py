@@ -22,6 +22,37 @@ select {by}, count(*) as cells, sum(actual_units) as actual_units, sum(abs(actua
 from accuracy group by {by}"""
 
 
+#: The budget spent one step at a time: in every store the best margin per rupee first; a step that does not fit ends its batch.
+PLAN_SQL = """
+with recursive up as (select *, row_number() over (partition by batch_id order by spend, margin, depth) as n from grid),
+rising as (select * from up u where n = 1 or not exists (select 1 from up e where e.batch_id = u.batch_id and e.n < u.n and e.margin >= u.margin)),
+kept as materialized (
+  select store_id, batch_id, depth, price, spend, margin, row_number() over (partition by batch_id order by n) - 1 as step
+  from rising i where n = 1 or not exists (
+    select 1 from rising a join rising b on a.batch_id = b.batch_id where a.batch_id = i.batch_id and a.n < i.n and b.n > i.n
+      and (b.margin - a.margin) * greatest(i.spend - a.spend, 1e-9) >= (i.margin - a.margin) * greatest(b.spend - a.spend, 1e-9))),
+moves as materialized (
+  select *, row_number() over (partition by store_id order by gain / greatest(cost, 1e-9) desc, batch_id, step) as turn
+  from (select store_id, batch_id, step, spend - lag(spend) over w as cost, margin - lag(margin) over w as gain from kept
+        window w as (partition by batch_id order by step))
+  where step > 0 and gain > 0 and cost > 0),
+walk as (
+  select store_id, 0::bigint as turn, sum(spend) as spent, []::varchar[] as ended, null::varchar as batch_id, null::bigint as step
+  from kept where step = 0 group by store_id
+  union all
+  select store_id, turn, spent + if(fits, cost, 0), if(fits, ended, list_append(ended, id)), if(fits, id, null), if(fits, s, null)
+  from (select w.store_id, m.turn, w.spent, w.ended, m.batch_id as id, m.step as s, m.cost,
+               not list_contains(w.ended, m.batch_id) and m.cost <= 100 - w.spent as fits
+        from walk w join moves m on m.store_id = w.store_id and m.turn = w.turn + 1)),
+reached as (select batch_id, max(step) as step from walk where batch_id is not null group by 1),
+chosen as (select k.* from kept k left join reached r using (batch_id) where k.step = coalesce(r.step, 0)),
+free as (select batch_id, arg_max(depth, struct_pack(m := margin, d := -depth)) as best from grid group by 1)
+select p.batch_id, p.store_id, coalesce(c.depth, 0) as recommended_depth, coalesce(f.best, 0) as unconstrained_depth,
+       coalesce(c.depth < f.best - 1e-9, false) as is_budget_constrained, coalesce(c.spend, 0) as expected_markdown_spend,
+       case when c.price is null then 'no_recommendation' when c.price < p.posted_price - 1e-9 then 'markdown' else 'hold_price' end as decision
+from priced p left join chosen c on c.batch_id = p.batch_id left join free f on f.batch_id = p.batch_id"""
+
+
 def stock_of_categories(wh):
     """Units and demand per store and category: hundreds to thousands of units a row."""
     sums = wh("mart_expiry_risk").groupBy("store_id", "l1_category").agg(F.sum("qty_remaining").alias("units"), F.sum("residual_demand_mean").alias("mu"))
@@ -224,6 +255,7 @@ def decision_queries() -> dict[str, Query]:
                 ), budget=100.0
             ),
             "batch_id:s store_id:s recommended_depth:2 unconstrained_depth:2 is_budget_constrained:b expected_markdown_spend:4 decision:s",
+            PLAN_SQL,
         ),
         "n21_monotonicity": q(
             lambda wh: markdown.check_monotonicity(
