@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 def leftover_and_risk(on_hand: Column, mean: Column, k: Column) -> Column:
     """struct(leftover, risk): expected unsold units and P(some are unsold).
 
-    ``k`` null means Poisson. The distribution function is summed by a recursion on the logarithms of
-    the probabilities, inside one higher-order function: no Python, no shuffle. The sum ends where
+    ``k`` null means Poisson. The distribution function is summed by a recursion on the probabilities, or on
+    their logarithms where the first of them is close to underflow, inside one higher-order function: no Python, no shuffle. The sum ends where
     the remaining mass is below rounding; beyond, each further unit adds one to what is left. So it
     is as long as the demand, whatever the stock.
     """
@@ -21,18 +21,25 @@ def leftover_and_risk(on_hand: Column, mean: Column, k: Column) -> Column:
     stop = F.least(q, F.ceil(mu + 40 * spread + 50).cast("double"))
     start = F.when(k.isNull(), -mu).otherwise(k * F.log(k / (k + mu)))
 
+    def ratio(i: Column) -> Column:
+        return F.when(k.isNull(), mu / i).otherwise((k + i - 1) / i * (mu / (k + mu)))
+
     def grow(state: Column, i: Column) -> Column:
-        step = F.log(F.when(k.isNull(), mu / i).otherwise((k + i - 1) / i * (mu / (k + mu))))
-        log_pmf = state["log_pmf"] + step
+        log_pmf = state["pmf"] + F.log(ratio(i))
         cdf = state["cdf"] + F.exp(log_pmf)
-        return F.struct(log_pmf.alias("log_pmf"), cdf.alias("cdf"), (state["total"] + cdf).alias("total"))
+        return F.struct(log_pmf.alias("pmf"), cdf.alias("cdf"), (state["total"] + cdf).alias("total"))
+
+    def grow_plain(state: Column, i: Column) -> Column:
+        pmf = state["pmf"] * ratio(i)
+        return F.struct(pmf.alias("pmf"), (state["cdf"] + pmf).alias("cdf"), (state["total"] + state["cdf"] + pmf).alias("total"))
 
     terms = F.when(stop > 1, F.sequence(F.lit(1), stop.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    summed = F.aggregate(
-        terms,
-        F.struct(start.alias("log_pmf"), F.exp(start).alias("cdf"), F.exp(start).alias("total")),
-        grow,
-    )
+
+    def opening(pmf: Column) -> Column:
+        return F.struct(pmf.alias("pmf"), F.exp(start).alias("cdf"), F.exp(start).alias("total"))
+
+    # Where the first probability is far from underflow, products do; else logarithms of them.
+    summed = F.when(start > -600, F.aggregate(terms, opening(F.exp(start)), grow_plain)).otherwise(F.aggregate(terms, opening(start), grow))
     return F.struct(
         F.when(q <= 0, 0.0).otherwise(summed["total"] + (q - stop)).alias("leftover"),
         F.when(q <= 0, 0.0).otherwise(F.least(summed["cdf"], F.lit(1.0))).alias("risk"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Mapping
 from functools import reduce
 
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.columns import sum_where
 from larder.operators.staging import ITEM_COLUMNS
-from larder.workspace import cut_lineage
+from larder.workspace import Workspace
 
 LINE = ["order_id", "sku_id", "batch_id"]
 SERIES = ["store_id", "sku_id"]
@@ -28,7 +30,8 @@ class SharedFeed:
 
     def sold_lines(self) -> DataFrame:
         if self._sold is None:
-            self._sold = cut_lineage(sold_lines(self._feed))
+            lines = sold_lines(self._feed).select("order_id", *SERIES, "batch_id", "day", "qty")
+            self._sold = Workspace(lines.sparkSession, f"gate {uuid.uuid4()}").write(lines, "sold")
         return self._sold
 
 
