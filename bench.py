@@ -22,7 +22,7 @@ HEADLINE = [
     "q12_point_in_time_margin", "q14_naive_promotion_lift", "q15_inventory_reconciliation", "metric_gm_awm", "metric_fill_rate",
     "metric_retention_90d", "n02_backtest", "n04_feature_frame", "n10_expiry_risk", "n12_elasticity_panel", "n17_markdown_grid",
     "n24_deal_slots", "n27_shelf_life_gate", "n33_itt_effects", "n35_event_summary", "n36_retention_effects", "n38_uplift_panel",
-    "n42_qini", "n45_did_estimate", "g_raw_gate_figures", "n52_headline",
+    "n20_elastic_plan", "n28_transfer_bound", "n42_qini", "n45_did_estimate", "g_raw_gate_figures", "n52_headline",
 ]
 
 

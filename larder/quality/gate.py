@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-
 from collections.abc import Mapping
 from functools import reduce
 
