@@ -385,3 +385,37 @@ def test_queries_and_sql_are_registered():
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
     assert json.dumps(sorted(entry.oracle_sql()))
+
+
+def test_toxicity_scores_equal_weights_times_rates(spark):
+    rng = np.random.default_rng(6)
+    texts = ["You ROTTEN scum, scum!", "the river is green", "", None, "a-b c_d 12x", "Éé été nation " * 50, "women and men walk. The women read"]
+    known = sorted({f for t in texts for f in toxicity.rates(toxicity.tokens(t))})
+    model = toxicity.Classifier(dict(zip(known[::2], rng.normal(size=len(known[::2])).tolist(), strict=True)), -0.4)
+    got = toxicity.judge(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).toPandas().set_index("doc_id")
+    for i, t in enumerate(texts):
+        words = toxicity.tokens(t)
+        z = model.base
+        for word in words:  # one by one, without counting first
+            z += sum(model.weights.get(f, 0.0) for f in [f"={word}", *(word[:k] for k in toxicity.STARTS if k <= len(word))]) * 100 / (len(words) + toxicity.SMOOTH)
+        assert got.loc[i, "score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9) and got.loc[i, "predicted"] == (z >= 0)
+
+
+def test_toxicity_training_ends_where_no_step_helps():
+    rng = np.random.default_rng(7)
+    samples = [(int(y), [0, 1 + int(rng.integers(3))], [1.0, float(rng.random())], [1, 2] if i % 3 == 0 else [], [0.5, -0.5] if i % 3 == 0 else []) for i, y in enumerate(rng.random(60) < 0.4)]
+    prior, fairness, decay = 0.2, 5.0, 1e-2
+    model = toxicity.fit(samples, ["a", "b", "c", "d"], prior, fairness, rounds=4000, decay=decay)
+    share = np.mean([s[0] for s in samples])
+
+    def loss(at):
+        w, base = at[:4], at[4]
+        z = np.array([base + sum(w[f] * v for f, v in zip(s[1], s[2], strict=True)) for s in samples])
+        y = np.array([s[0] for s in samples])
+        mass = np.where(y == 1, prior / share, (1 - prior) / (1 - share)) / len(y)
+        change = [sum(w[f] * v for f, v in zip(s[3], s[4], strict=True)) for s in samples if s[3]]
+        return (mass * (np.logaddexp(0, z) - y * z)).sum() + decay / 2 * (w @ w) + fairness * np.mean(np.square(change))
+
+    at = np.array([*(model.weights[f] for f in "abcd"), model.base])
+    slope = [(loss(at + e) - loss(at - e)) / 2e-5 for e in np.eye(5) * 1e-5]
+    assert np.abs(slope).max() < 2e-3
