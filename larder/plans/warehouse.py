@@ -71,6 +71,17 @@ class Warehouse:
             self._tables[name] = self.workspace.write(df, name) if keep else df
         return self._tables[name]
 
+    def close(self) -> None:
+        """Forget all tables and delete those that were written; results that are still wanted must be stored before."""
+        self._tables.clear()
+        self.workspace.remove()
+
+    def __enter__(self) -> Warehouse:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self.close()
+
     def put(self, name: str, df: DataFrame) -> None:
         self._tables[name] = df
 

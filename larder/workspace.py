@@ -54,6 +54,11 @@ class Workspace:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def remove(self) -> None:
+        """Delete the tables of this namespace; frames that read them are of no use afterwards."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def write(self, df: DataFrame, table: str) -> DataFrame:
         """Write ``df`` and hand back a scan of it, with its statistics known to the planner."""
         path = self.path(table)

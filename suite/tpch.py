@@ -484,19 +484,28 @@ class TpchFeeds:
         )
 
 
-_OPEN: dict[tuple[str, str], Warehouse] = {}
+_OPEN: dict[tuple[str, str], tuple[list, Warehouse]] = {}
+
+
+def _state(spark: SparkSession, folder: str) -> list[tuple[str, int, int]]:
+    """Name, size and time of change of everything in the folder, by Spark's own file systems."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found)
 
 
 def open_tpch(spark: SparkSession, folder: str) -> Warehouse:
-    """The warehouse over one folder of given tables; built once per Spark application.
+    """The warehouse over one folder of given tables; built once per Spark application and state of the files.
 
     Its served forecast is the moving average, which SQL can repeat; ``jobs.served_forecast`` is compared
     by itself.
     """
-    key = (spark.sparkContext.applicationId, folder)
+    key, state = (spark.sparkContext.applicationId, folder), _state(spark, folder)
+    if key in _OPEN and _OPEN[key][0] != state:
+        _OPEN.pop(key)[1].close()
     if key not in _OPEN:
         workspace = Workspace(spark, folder)
         feeds = TpchFeeds(spark, folder, keep=workspace.write)
         params = Params(ledger_slice_width=LEDGER_SLICE_WIDTH, demand_model="baseline")
-        _OPEN[key] = Warehouse(spark, feeds, workspace, params, {"experiment_panel": trial})
-    return _OPEN[key]
+        _OPEN[key] = state, Warehouse(spark, feeds, workspace, params, {"experiment_panel": trial})
+    return _OPEN[key][1]

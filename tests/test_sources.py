@@ -1,13 +1,17 @@
 """Reading, writing, slicing and streaming on small folders."""
 
+import os
+import shutil
 from datetime import date, datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from larder.plans import served
 from larder.sources import feeds, seeds, slices, tables
 from larder.streaming import live
+from tests.conftest import SMALL
 
 D = date(2025, 3, 1)
 
@@ -144,3 +148,28 @@ def test_hourly_clicks_close_behind_the_watermark(spark, tmp_path):
     feeds.append_feed(spark.createDataFrame(rows, feeds.feed_schema("clickstream")), root, "clickstream")
     live.to_folder(live.hourly_clicks(live.stream_feed(spark, root, "clickstream")), str(tmp_path / "o"), str(tmp_path / "l")).awaitTermination()
     assert [(r.sku_id, r.event_count) for r in spark.read.parquet(str(tmp_path / "o")).collect()] == [("SKU-00007", 2)]
+
+
+def test_a_closed_warehouse_leaves_no_files(spark):
+    from larder.plans.warehouse import Warehouse
+    from larder.workspace import Workspace
+
+    space = Workspace(spark, "closing")
+    with Warehouse(spark, lambda name: spark.range(3), space) as wh:
+        kept = wh.derive("numbers", lambda: spark.range(5))
+        assert kept.count() == 5 and os.path.isdir(space.path("numbers"))
+    assert not os.path.exists(space.root) and not wh.has("numbers")
+
+
+def test_a_changed_folder_is_opened_anew(spark, tmp_path):
+    from suite.tpch import open_tpch
+
+    folder = f"{tmp_path}/given"
+    shutil.copytree(SMALL, folder)
+    first = open_tpch(spark, folder)
+    before = first("dim_supplier").count()
+    assert open_tpch(spark, folder) is first
+    table = pd.read_parquet(f"{folder}/supplier.parquet")
+    table.iloc[: len(table) // 2].to_parquet(f"{folder}/supplier.parquet")
+    second = open_tpch(spark, folder)
+    assert second is not first and second("dim_supplier").count() < before
