@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from larder.functions.columns import conformed_sku_id, row_hash, utc_instant, utc_wall_time
-from larder.operators.staging import ORDER_COLUMNS
+from larder.operators.staging import ITEM_COLUMNS, ORDER_COLUMNS
 from larder.sources.feeds import feed_schema
 
 LATENESS = "48 hours"
+MERGE_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
 
 def stream_feed(spark: SparkSession, root: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -45,10 +46,9 @@ def hourly_clicks(clicks: DataFrame) -> DataFrame:
 def browse_sessions(clicks: DataFrame, gap: str = "1 hour", min_span_hours: int = 2) -> DataFrame:
     """Views with no pause of an hour, kept when they span hours enough.
 
-    A session ends after an hour of silence, so its boundaries differ from runs of whole hours. Events of a
-    task are merged into sessions before the shuffle, so a much-viewed product sends few rows.
+    A session ends after an hour of silence, so its boundaries differ from runs of whole hours. Started by ``to_folder``,
+    events of a task are merged into sessions before the shuffle, so a much-viewed product sends few rows.
     """
-    clicks.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     sessions = (
         clicks.filter(F.col("event_type") == "pdp_view")
         .withColumns({"event_time": utc_instant(F.col("event_ts_utc")), "sku_id": conformed_sku_id(F.col("sku_id"))})
@@ -61,11 +61,53 @@ def browse_sessions(clicks: DataFrame, gap: str = "1 hour", min_span_hours: int
 
 
 def to_folder(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Process what has arrived, then stop; a restart resumes from the checkpoint."""
-    return (
-        df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode(mode).trigger(availableNow=True).start()
+    """Process what has arrived, then stop; a restart resumes from the checkpoint. A query takes the session's settings
+    when it starts, so the one it needs is set for that moment only."""
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(MERGE_SESSIONS, None)
+    conf.set(MERGE_SESSIONS, "true")
+    try:
+        return (
+            df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+            .outputMode(mode).trigger(availableNow=True).start()
+        )
+    finally:
+        conf.unset(MERGE_SESSIONS) if before is None else conf.set(MERGE_SESSIONS, before)
+
+
+def lines_with_orders(orders: DataFrame, items: DataFrame) -> DataFrame:
+    """Sold lines with the store and day of their order, whichever of the two arrives first.
+
+    Both sides drop retries within the allowed lateness. The join looks for lines from two days before to four days after
+    the order, so the state of both sides is bounded by their watermarks.
+    """
+    placed = deduplicated_orders(orders).select("order_id", "store_id", F.col("order_ts").cast("date").alias("date_day"), "event_time")
+    landed = (
+        items.withColumns({"line_hash": row_hash(ITEM_COLUMNS), "arrived": F.col("dt").cast("timestamp")})
+        .withWatermark("arrived", LATENESS).dropDuplicatesWithinWatermark(["line_hash"])
+        .select(F.col("order_id").alias("of_order"), "sku_id", "batch_id", "qty", "unit_realized_price", "arrived")
     )
+    near = (F.col("arrived") >= F.col("event_time") - F.expr("interval 2 days")) & (F.col("arrived") <= F.col("event_time") + F.expr("interval 4 days"))
+    return landed.join(placed, (F.col("of_order") == F.col("order_id")) & near).select("order_id", "store_id", "sku_id", "batch_id", "qty", "unit_realized_price", "date_day")
+
+
+def upsert_sold_days(lines: DataFrame, facts: str, checkpoint: str, write: Callable[[DataFrame], None]) -> StreamingQuery:
+    """Units and revenue per store, SKU and day, from the lines that have arrived so far.
+
+    A batch stores its lines under its own number, by day, and days it touched are rebuilt from all stored lines of
+    those days; ``write`` replaces them. A replayed batch overwrites its own lines, so the result stays the same.
+    """
+    shape = lines.schema.add("batch", "long")
+
+    def on_batch(batch: DataFrame, number: int) -> None:
+        batch.hint("rebalance", "date_day").write.mode("overwrite").partitionBy("date_day").parquet(f"{facts}/batch={number}")
+        known = batch.sparkSession.read.schema(shape).parquet(facts)
+        touched = known.filter(F.col("batch") == number).select("date_day").distinct()
+        rows = known.join(touched, "date_day", "left_semi").groupBy("store_id", "sku_id", "date_day").agg(
+            F.sum("qty").alias("units_sold"), F.sum(F.col("qty") * F.col("unit_realized_price")).alias("net_revenue")
+        )
+        write(rows)
+
+    return lines.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def upsert_days(

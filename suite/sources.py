@@ -81,6 +81,13 @@ def streamed_upsert(wh) -> DataFrame:
     return wh.spark.read.parquet(f"{path}/data")
 
 
+def streamed_sales(wh) -> DataFrame:
+    path = _fresh(wh, "sales")
+    lines = live.lines_with_orders(*[live.stream_feed(wh.spark, _landed(wh, f), f) for f in ("pos_orders", "pos_order_items")])
+    live.upsert_sold_days(lines, f"{path}/lines", f"{path}/log", lambda df: tables.replace_days(df, f"{path}/days")).awaitTermination()
+    return wh.spark.read.parquet(f"{path}/days")
+
+
 def clustered(wh) -> DataFrame:
     path = _fresh(wh, "clustered")
     tables.write_clustered(wh("fct_order_item"), path, ["store_id", "sku_id", "date_day"])
@@ -233,6 +240,11 @@ def source_queries() -> dict[str, Query]:
             streamed_upsert, "store_id:s sku_id:s date_day:d units_sold:i net_revenue:2",
             "select store_id, sku_id, date_day, sum(signed_qty) as units_sold, sum(net_revenue) as net_revenue from order_item group by all",
         ),
+        "r05_stream_sold_days": q(
+            streamed_sales, "store_id:s sku_id:s date_day:d units_sold:i net_revenue:2",
+            """select store_id, sku_id, date_day, sum(signed_qty) as units_sold, sum(net_revenue) as net_revenue from order_item
+               where source_feed = 'pos_order_items' group by all""",
+        ),
         "r04_stream_sessions": q(
             lambda wh: streamed(wh, "clickstream", live.browse_sessions), "store_id:s sku_id:s events:i",
             """with v as (select store_id, if(sku_id like 'SKU\\_%' escape '\\', 'SKU-' || lpad(sku_id[5:], 5, '0'), sku_id) as sku, event_ts_utc as ts

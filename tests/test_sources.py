@@ -142,6 +142,28 @@ def test_stream_upsert_rewrites_the_touched_days_only(spark, tmp_path):
     assert seen == [[D, date(2025, 3, 2)], [D]]
 
 
+def test_lines_that_arrive_after_their_order_are_counted(spark, tmp_path):
+    root, path = str(tmp_path / "raw"), str(tmp_path / "days")
+
+    def line(oid, qty, dt):
+        return (oid, "K", "B", qty, 5.0, 4.0, 1.0, 2.0, 3, None, False, dt)
+
+    def advance(orders, items):
+        for rows, name in ((orders, "pos_orders"), (items, "pos_order_items")):
+            if rows:
+                feeds.append_feed(spark.createDataFrame(rows, feeds.feed_schema(name)), root, name)
+        both = live.lines_with_orders(*[live.stream_feed(spark, root, n) for n in ("pos_orders", "pos_order_items")])
+        live.upsert_sold_days(both, str(tmp_path / "lines"), str(tmp_path / "log"), lambda df: tables.replace_days(df, path)).awaitTermination()
+        return {(r.date_day, r.sku_id): (r.units_sold, r.net_revenue) for r in spark.read.parquet(path).collect()}
+
+    day2, morning = date(2025, 3, 2), datetime(2025, 3, 1, 9)
+    assert advance([order("a", morning, D), order("b", morning, D)], [line("a", 2, D)]) == {(D, "K"): (2, 8.0)}
+    # The line of order b comes a day after it, that of order c a batch before it; a retried line and order count once.
+    assert advance([], [line("b", 3, day2), line("a", 2, day2), line("c", 7, day2)]) == {(D, "K"): (5, 20.0)}
+    assert advance([order("c", datetime(2025, 3, 2, 9), day2), order("a", morning, day2)], []) == {(D, "K"): (5, 20.0), (day2, "K"): (7, 28.0)}
+    assert spark.conf.get(live.MERGE_SESSIONS, None) is None
+
+
 def test_hourly_clicks_close_behind_the_watermark(spark, tmp_path):
     root = str(tmp_path / "raw")
     rows = [("S", "SKU_7", "pdp_view", True, datetime(2025, 3, 1, 10, m), D, D) for m in (1, 59)] + [("S", "SKU-00007", "pdp_view", True, datetime(2025, 3, 9), date(2025, 3, 9), date(2025, 3, 9))]
