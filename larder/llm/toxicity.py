@@ -7,9 +7,10 @@ times the loss. Neutral mentions of a group then no longer raise the score, thou
 more frequent in toxic texts.
 
 Scale: training takes at most ``per_class`` documents of each label (a documented bound, chosen by a
-hash of the id), of which only ids are broadcast; statistics of their features are grouped in Spark,
-and the ``FEATURES`` most telling ones reach the driver with at most ``2 * per_class`` rows. Scoring is
-a narrow map over whole texts: one table look-up a word.
+hash of the id), of which only ids are broadcast; statistics of their features are grouped in Spark. Every
+feature takes part whose frequencies in the two classes differ by ``SIGNIFICANT`` standard errors, however
+many these are; they reach the driver with at most ``2 * per_class`` rows. Scoring is a narrow map over
+whole texts: one table look-up a word.
 
 Defined results: a null or empty text scores as no evidence (the learned base rate); without labels of
 both kinds every score is 0. Repeated rows are scored alike; a document with both labels teaches both;
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from larder.workspace import cut_lineage
 
 PER_CLASS = 2000
-FEATURES = 4096
+SIGNIFICANT = 2.0
 FAIRNESS = 5.0
 STARTS = (3, 4, 5, 6, 7)
 SMOOTH = 20
@@ -187,7 +188,8 @@ def learn(
     p1, p0 = F.col("n1") / sizes[1], F.col("n0") / sizes[0]
     pooled = (F.col("n1") + F.col("n0") + 0.5) / (sizes[0] + sizes[1] + 1)
     telling = F.abs(p1 - p0) / F.sqrt(pooled * (1 - pooled))
-    chosen = [r[0] for r in totals.orderBy(telling.desc(), "f").limit(FEATURES).collect()]
+    error = (1 / sizes[0] + 1 / sizes[1]) ** 0.5
+    chosen = sorted(r[0] for r in totals.filter(telling >= SIGNIFICANT * error).select("f").collect())
     wanted = {f: i for i, f in enumerate(chosen)}
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
