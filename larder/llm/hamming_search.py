@@ -38,10 +38,11 @@ _NO_ID = -(1 << 63)
 
 
 def sign_code(vector: str) -> Column:
-    """The signs of a vector's first 64 numbers as bits; null for a null vector."""
-    return F.expr(
-        f"aggregate(transform(slice({vector}, 1, {BITS}), (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)"
-    )
+    """The signs of a vector's numbers as bits; null for a null vector. Bits past a shorter vector's end are zero;
+    a vector of more than 64 numbers has no such code and raises an error."""
+    signs = f"aggregate(transform({vector}, (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)"
+    longer = f"raise_error('a sign code holds {BITS} numbers, not ' || size({vector}))"
+    return F.expr(f"if(size({vector}) > {BITS}, {longer}, {signs})")
 
 
 def segments_for(codes: int) -> int:

@@ -138,6 +138,8 @@ def test_search_of_little(spark):
     assert search(base.limit(0), base.limit(0), 10).count() == 0
     df = spark.createDataFrame([([0.5, -1.0, None, 2.0],), (None,), ([],)], "v array<double>")
     assert [r[0] for r in df.select(sign_code("v")).collect()] == [9, None, 0]
+    with pytest.raises(Exception, match="holds 64 numbers"):
+        spark.createDataFrame([([1.0] * 65,)], "v array<double>").select(sign_code("v")).collect()
 
 
 def test_flow_moves_the_fewest_bytes():
