@@ -49,6 +49,60 @@ def test_leftover_of_large_stock(spark, k):
         assert r.leftover == pytest.approx(left, rel=1e-6, abs=1e-6) and r.risk == pytest.approx(risk, abs=1e-7)
 
 
+def huge_poisson(q, mu):
+    """Probabilities relative to the mode's, 45 deviations to each side: what lies further is below rounding."""
+    i = np.arange(max(0, int(mu - 45 * math.sqrt(mu) - 50)), int(mu + 45 * math.sqrt(mu) + 50), dtype=float)
+    logs = np.cumsum(np.log(mu / np.maximum(i, 1)))
+    weight = np.exp(logs - logs.max())
+    weight /= weight.sum()
+    return float((np.maximum(q - i, 0) * weight).sum()), float(weight[i < q].sum())
+
+
+def huge_negative_binomial(q, mu, k):
+    """For whole k: fewer than q failures before k successes means at least k successes in q + k - 1 trials."""
+
+    def below(n, k):
+        trials, miss = n + k - 1, -math.log1p(whole / mu)
+        ways = [math.fsum(math.log((trials - i) / (i + 1)) for i in range(j)) for j in range(k)]
+        return 1 - math.fsum(math.exp(w - j * math.log1p(mu / whole) + (trials - j) * miss) for j, w in enumerate(ways))
+
+    whole = k
+    return q * below(q, k) - mu * below(q - 1, k + 1), below(q, k)
+
+
+@pytest.mark.parametrize("k", [None, 1, 3, 40])
+def test_leftover_of_any_stock_and_demand(spark, k):
+    cases = [(q, m) for q in (300, 5_000, 9_990_000, 10_000_000, 10_003_000, 10**9) for m in (2_000.0, 1e7)]
+    df = spark.createDataFrame([(q, m, None if k is None else float(k)) for q, m in cases], "q bigint, m double, k double")
+    got = df.select(negbin.leftover_and_risk(F.col("q"), F.col("m"), F.col("k")).alias("x")).select("x.*").collect()
+    for (q, m), r in zip(cases, got, strict=True):
+        left, risk = huge_poisson(q, m) if k is None else huge_negative_binomial(q, m, k)
+        assert r.risk == pytest.approx(risk, abs=2e-7)
+        assert r.leftover == pytest.approx(left, rel=1e-6, abs=2e-6 * m)
+
+
+@pytest.mark.parametrize("k", [None, 0.1, 0.7, 5.0, 200.0, 1e7])
+def test_sum_and_integral_agree(spark, k):
+    """Both ways over the same stock, on either side of the demand and where the shapes change places."""
+    cases = [(q, m, k) for q in (1, 2, 7, 60, 199, 200, 201, 256) for m in (0.05, 1.0, 8.0, 60.0, 190.0)]
+    given = F.struct(
+        F.col("q").cast("double").alias("q"), F.col("m").alias("mu"), F.col("k").alias("k"), F.col("q").cast("double").alias("stop"),
+        F.when(F.col("k").isNull(), -F.col("m")).otherwise(-F.col("k") * F.log1p(F.col("m") / F.col("k"))).alias("first"),
+    )
+    df = spark.createDataFrame(cases, "q bigint, m double, k double")
+    got = df.select("q", "m", negbin._let(given, negbin._summed).alias("s"), negbin._let(given, negbin._integrated).alias("i")).collect()
+    for r in got:
+        assert r.i.risk == pytest.approx(r.s.risk, abs=1e-10), (r.q, r.m)
+        assert r.i.leftover == pytest.approx(r.s.leftover, rel=1e-9, abs=1e-8), (r.q, r.m)
+
+
+def test_leftover_of_nothing(spark):
+    df = spark.createDataFrame([(None, 3.0, None), (0, 3.0, 2.0), (-4, 3.0, None), (5, None, 2.0), (10**9, None, None)], "q bigint, m double, k double")
+    got = df.select(negbin.leftover_and_risk(F.col("q"), F.col("m"), F.col("k")).alias("x")).select("x.*").collect()
+    assert [(r.leftover, r.risk) for r in got[1:3]] == [(0.0, 0.0)] * 2
+    assert [r.leftover for r in got[3:]] == pytest.approx([5.0, 1e9])
+
+
 @pytest.mark.parametrize("k", [np.inf, 0.8, 6.0])
 def test_quantile_is_the_first_value_to_reach_it(k):
     mean, q = np.array([0.2, 3.0, 40.0, 900.0]), np.array([0.5, 0.95, 0.01, 0.9])
