@@ -6,7 +6,7 @@ a lazy plan.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +43,9 @@ KEPT = {
     "rec_markdown", "rec_deal_slot", "rec_transfer_order", "rec_purchase_order", "event_panel", "uplift_panel", "dq_test_results",
 }
 
+# What the rebuild of ``agg_store_sku_day`` reads: facts with a ``date_day`` that grow with every day.
+DAILY = ("fct_order_item", "fct_inventory_movement", "fct_availability_hour", "fct_clickstream")
+
 
 class Warehouse:
     def __init__(
@@ -52,8 +55,16 @@ class Warehouse:
         workspace: Workspace,
         params: Params = Params(),
         own: Mapping[str, Callable[[Warehouse], DataFrame]] | None = None,
+        by_day: Collection[str] = (),
     ):
-        """``own`` adds tables that no feed holds, such as ``experiment_panel``, or replaces built ones."""
+        """``own`` adds tables that no feed holds, such as ``experiment_panel``, or replaces built ones.
+
+        Kept tables named in ``by_day`` (``DAILY``, where a day holds enough rows for files of its own) are partitioned
+        by ``date_day``, so a rebuild of the last days opens no older file.
+        """
+        if unfit := set(by_day) - set(DAILY):
+            raise ValueError(f"no table by day: {sorted(unfit)}")
+        self._by_day = frozenset(by_day)
         self.spark, self.feed, self.workspace, self.params = spark, feed, workspace, params
         self._own = dict(own or {})
         self._tables: dict[str, DataFrame] = {}
@@ -61,7 +72,8 @@ class Warehouse:
     def __call__(self, name: str) -> DataFrame:
         if name not in self._tables:
             df = self._build(name)
-            self._tables[name] = self.workspace.write(df, name) if name in KEPT else df
+            day = "date_day" if name in self._by_day else None
+            self._tables[name] = self.workspace.write(df, name, day) if name in KEPT else df
         return self._tables[name]
 
     def derive(self, name: str, build: Callable[[], DataFrame], keep: bool = True) -> DataFrame:

@@ -59,8 +59,16 @@ class Workspace:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def write(self, df: DataFrame, table: str) -> DataFrame:
-        """Write ``df`` and hand back a scan of it, with its statistics known to the planner."""
+    def write(self, df: DataFrame, table: str, day: str | None = None) -> DataFrame:
+        """Write ``df`` and hand back a scan of it, with its statistics known to the planner.
+
+        With ``day`` each value of that column is a partition: rows come together by day, adaptive execution splits
+        a day that is larger than the advisory partition size, and filters on the day read only its folders.
+        """
         path = self.path(table)
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        if day is None:
+            df.write.mode("overwrite").parquet(path)
+        else:
+            rows = df.hint("rebalance", day).write.mode("overwrite").option("partitionOverwriteMode", "static")
+            rows.partitionBy(day).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.plans import served
+from larder.plans.warehouse import DAILY, Warehouse
 from larder.sources import feeds, seeds, slices, tables
 from larder.streaming import live
+from larder.workspace import Workspace
 from tests.conftest import SMALL
 
 D = date(2025, 3, 1)
@@ -80,6 +82,24 @@ def test_late_orders_move_earlier_days(warehouse, tmp_path):
     assert updated.select(*same).exceptAll(full.select(*same)).count() == 0 and updated.count() == full.count()
 
 
+def test_a_rebuild_reads_the_folders_of_its_days_only(spark, warehouse):
+    copies = {name: lambda wh, name=name: warehouse(name) for name in DAILY}
+    start, same = date(2025, 11, 20), ["store_id", "sku_id", "date_day", "units_sold", "closing_units", "trailing_7d_avg_units", "browse_events"]
+    with Warehouse(spark, warehouse.feed, Workspace(spark, "by day"), warehouse.params, copies, by_day=DAILY) as wh:
+        for name in ("dim_promotion", "dim_product", "agg_intraday_arrival_curve"):
+            wh.put(name, warehouse(name))
+        rebuilt = wh.store_sku_day(rebuild_from=start)
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        plan = rebuilt._jdf.queryExecution().explainString(mode)
+        filters = [line for line in plan.splitlines() if line.startswith("PartitionFilters") and "2025-11-13" in line]
+        assert len(filters) == len(DAILY), plan
+        assert all(wh(name).columns == warehouse(name).columns for name in DAILY)
+        whole = warehouse.store_sku_day(rebuild_from=start).select(*same)
+        assert rebuilt.select(*same).exceptAll(whole).count() == 0 and rebuilt.count() == whole.count() > 0
+    with pytest.raises(ValueError):
+        Warehouse(spark, warehouse.feed, Workspace(spark, "by day"), by_day=["dim_store"])
+
+
 def test_slice_rules(spark, warehouse):
     picked = slices.pick_stores(warehouse("dim_store"), warehouse("fct_order"), 4).collect()
     assert [r.rank_in_tier for r in picked] == [1, 1, 1, 2] and len({r.catchment_tier for r in picked[:3]}) == 3
