@@ -66,3 +66,19 @@ def test_daily_totals_write_no_single_lines_or_movements(spark, tmp_path):
         assert tuple(cells) == (items, moved)
         singles = facts.fct_inventory_batch(wh("stg_wms__inventory_batches"), wh("stg_wms__inventory_movements"))
         assert singles.exceptAll(wh("fct_inventory_batch").select(*singles.columns)).isEmpty()
+
+
+def test_joined_streams_keep_their_state_on_disk(spark, tmp_path):
+    from larder.sources import feeds, tables
+    from larder.streaming import live
+
+    root, path, log = (str(tmp_path / n) for n in ("raw", "days", "log"))
+    feeds.append_feed(spark.createDataFrame([("a", "S", "C", TS, TS, TS, False, "upi", 1, D)], feed_schema("pos_orders")), root, "pos_orders")
+    line = ("a", "K", "B", 2, 5.0, 4.0, 1.0, 2.0, 3, None, False, D)
+    feeds.append_feed(spark.createDataFrame([line, line], feed_schema("pos_order_items")), root, "pos_order_items")
+    both = live.lines_with_orders(*[live.stream_feed(spark, root, n) for n in ("pos_orders", "pos_order_items")])
+    live.upsert_sold_days(both, str(tmp_path / "lines"), log, lambda df: tables.replace_days(df, path)).awaitTermination()
+    assert [(r.units_sold, r.net_revenue) for r in spark.read.parquet(path).collect()] == [(2, 8.0)]
+    state = [f.suffix for f in (tmp_path / "log" / "state").rglob("*") if f.is_file() and f.suffix]
+    assert ".changelog" in state and ".delta" not in state  # deltas are those of a state held in memory
+    assert all(spark.conf.get(k, None) != v for k, v in live.STATE_ON_DISK.items() if k.endswith("providerClass"))
