@@ -69,3 +69,9 @@ def test_a_warehouse_and_its_feeds_ask_for_tasks_by_rows(spark, tmp_path, monkey
         # Four units of an order; of odd orders two return at most three in the feed, of even ones in the items.
         sold = wh.unwritten("fct_order_item").filter("line_type = 'sale'").agg(F.sum("signed_qty"), F.countDistinct("order_id")).first()
     assert tuple(sold) == (36, 9)
+
+
+def test_orders_need_no_items_to_be_there(spark, tmp_path):
+    orders = spark.createDataFrame([("a", "S", "C", TS, TS, TS, False, "upi", 1, D)] * 2, feed_schema("pos_orders"))
+    with warehouse.Warehouse(spark, {"pos_orders": orders}.__getitem__, Workspace(spark, str(tmp_path / "kept"))) as wh:
+        assert wh("stg_pos__orders").count() == 1
