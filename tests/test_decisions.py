@@ -111,6 +111,21 @@ def test_quantile_is_the_first_value_to_reach_it(k):
     assert ((x == 0) | (negbin.cdf(x - 1, mean, k) < q)).all()
 
 
+@pytest.mark.parametrize("k", [np.inf, 0.8, 6.0])
+def test_a_quantile_of_large_demand_takes_a_bounded_number_of_steps(k, monkeypatch):
+    steps, step = [], negbin._log_step
+    monkeypatch.setattr(negbin, "_log_step", lambda *given: steps.append(1) or step(*given))
+    mean, q = np.array([3.0, 8e3, 2e4, 2e4]), np.array([0.95, 1e-6, 0.5, 0.95])
+    x = negbin.quantile(mean, k, q)
+    below, tail = negbin.cdf(x, mean, k), negbin.cdf(np.array([-1.0, 9e9, 5e4, 6e3]), mean, k)
+    assert len(steps) <= 2 * (4096 + 1)
+    monkeypatch.setattr(negbin, "WALKED_UNITS", 10**9, raising=False)
+    assert (x == negbin.quantile(mean, k, q)).all()
+    assert below == pytest.approx(negbin.cdf(x, mean, k), abs=1e-9)
+    assert tail == pytest.approx(negbin.cdf(np.array([-1.0, 9e5, 5e4, 6e3]), mean, k), abs=1e-9)
+    assert np.isfinite(negbin.quantile(np.full(3, 1e9), k, np.array([1e-6, 0.5, 1 - 1e-9]))).all()
+
+
 def batches(n=40, stores=3):
     base = rng.uniform(20, 90, n).round(2)
     return pd.DataFrame({
