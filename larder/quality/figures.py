@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
@@ -70,9 +71,15 @@ PUBLISHED = [
 
 
 def figures(wh, wanted: list[Figure]) -> DataFrame:
+    reads = Counter(f.table for f in wanted)
+
+    def table(name: str) -> DataFrame:
+        # Single lines are the widest table: one figure reads its columns of them, and the others are not written for it.
+        return wh.unwritten(name) if name == ITEM and reads[name] == 1 else wh(name)
+
     rows = []
     for f in wanted:
-        df = wh(f.table) if f.where is None else wh(f.table).filter(f.where)
+        df = table(f.table) if f.where is None else table(f.table).filter(f.where)
         rows.append(df.agg(f.measure().cast("double").alias("value")).select(F.lit(f.name).alias("name"), "value", F.lit(f.unit).alias("unit")))
     return reduce(DataFrame.unionByName, rows)
 

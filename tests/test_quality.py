@@ -5,8 +5,12 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from larder.plans.warehouse import Warehouse
 from larder.quality import contracts, figures, gate, results, rules
 from larder.sources.feeds import feed_schema
+from larder.workspace import Workspace
+from suite.tpch import TpchFeeds
+from tests.conftest import SMALL
 
 D = date(2025, 3, 1)
 
@@ -136,6 +140,14 @@ def test_fefo_replay_counts_units_out_of_order(spark):
     assert sold(("o1", "old", 1), ("o2", "new", 2)) == 2
 
 
+def test_a_single_figure_of_the_lines_does_not_write_them(spark, tmp_path):
+    with Warehouse(spark, TpchFeeds(spark, SMALL), Workspace(spark, str(tmp_path))) as wh:
+        lines = [f for f in figures.ANCHORS if f.name == "order_items"]
+        got = figures.figures(wh, lines).first()
+        assert not wh.has("fct_order_item")
+        assert got.value == wh("fct_order_item").count() > 0
+
+
 def test_pinned_figures(spark):
     measured = spark.createDataFrame([("a", 10.0, "count"), ("m", 1.004, "money"), ("x", None, "count"), ("new", 1.0, "count")], "name string, value double, unit string")
     got = {r.name: r.status for r in figures.compare(measured, {"a": 11, "m": 1.0, "x": 3}).collect()}
