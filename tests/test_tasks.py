@@ -11,6 +11,7 @@ from larder.plans import warehouse
 from larder.sources.feeds import feed_schema
 from larder.workspace import Workspace
 from suite import tpch
+from tests.conftest import SMALL
 
 D, TS = date(2025, 3, 1), datetime(2025, 3, 1, 9, 0)
 MANY = 23  # more than the session's shuffle partitions
@@ -75,3 +76,11 @@ def test_orders_need_no_items_to_be_there(spark, tmp_path):
     orders = spark.createDataFrame([("a", "S", "C", TS, TS, TS, False, "upi", 1, D)] * 2, feed_schema("pos_orders"))
     with warehouse.Warehouse(spark, {"pos_orders": orders}.__getitem__, Workspace(spark, str(tmp_path / "kept"))) as wh:
         assert wh("stg_pos__orders").count() == 1
+
+
+def test_units_by_order_come_in_tasks_by_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tpch, "task_count", lambda df: MANY if df.count() else 1)
+    feeds = tpch.TpchFeeds(spark, SMALL, keep=Workspace(spark, str(tmp_path)).write)
+    feeds("sold")
+    assert MANY in _shuffles(feeds._pos_orders())
+    assert feeds("pos_orders").filter("n_units > 0").select("order_id").distinct().count() == feeds("headers").count()
