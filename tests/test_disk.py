@@ -1,14 +1,23 @@
 """What a query leaves on disk, and in how many files, follows what it needs."""
 
+import time
 from datetime import date, datetime, timedelta
+from pathlib import Path
 
-from larder.sources import feeds, tables
+from pyspark.sql import functions as F
+
+from larder.operators import marts
+from larder.plans.warehouse import Warehouse
+from larder.quality import rules
+from larder.sources import feeds, slices, tables
 from larder.sources.feeds import feed_schema
 from larder.streaming import live
+from larder.workspace import FREE_SHUFFLES, Workspace, cut_lineage, in_turn
+from suite.tpch import TpchFeeds
+from tests.conftest import SMALL
 
 D, TS = date(2025, 3, 1), datetime(2025, 3, 1, 9, 0)
 
-
 def test_sold_days_come_in_a_file_a_day_and_no_line_is_kept_as_state(spark, tmp_path):
     root, path, facts, log = (str(tmp_path / n) for n in ("raw", "days", "lines", "log"))
     orders = [(f"o{n}", "S", "C", TS + timedelta(n % 3), TS, TS, False, "upi", 1, D + timedelta(n % 3)) for n in range(60)]
@@ -26,7 +35,6 @@ def test_sold_days_come_in_a_file_a_day_and_no_line_is_kept_as_state(spark, tmp_
     assert all(len([*day.glob("*.parquet")]) == 1 for day in (tmp_path / "days").glob("date_day=*"))
     assert not [*(tmp_path / "log" / "state").rglob("*keyWithIndex*")]  # what a join of streams keeps
 
-
 def test_a_batch_that_runs_again_adds_its_lines_once(spark, tmp_path):
     facts = str(tmp_path)
     rows = [(0, "line", "a", None, "K", 2, 4.0, TS, D), (1, "order", "a", "S", None, None, None, TS, D), (1, "line", "a", None, "L", 1, 4.0, TS, D),
@@ -39,3 +47,31 @@ def test_a_batch_that_runs_again_adds_its_lines_once(spark, tmp_path):
         return sorted(r.sku_id for r in live.sold_lines(known.filter(f"batch <= {number}"), number).collect())
 
     assert [added(n) for n in (0, 1, 2, 1)] == [[], ["K", "L"], ["M"], ["K", "L"]]
+
+def test_values_that_follow_from_the_row_are_computed_on_reading(spark, tmp_path):
+    workspace = Workspace(spark, str(tmp_path))
+    with Warehouse(spark, TpchFeeds(spark, SMALL), workspace) as wh:
+        for name, follows in (("stg_pos__orders", {"row_hash"}), ("stg_pos__order_items", {"row_hash"}), ("fct_order_item", {"order_item_key", "net_revenue", "cogs"})):
+            plan, kept = wh.unwritten(name), wh(name)
+            assert plan.columns == kept.columns
+            assert not follows & set(spark.read.parquet(workspace.path(name)).columns)
+            assert kept.exceptAll(plan).isEmpty() and plan.exceptAll(kept).isEmpty()
+
+def test_a_written_table_and_a_cut_leave_no_shuffle_files(spark, tmp_path):
+    def shuffled():
+        time.sleep(1)  # files are removed in the background
+        roots = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f.name for root in roots for f in Path(root).rglob("shuffle_*.data")}
+
+    before = shuffled()
+    rows = spark.range(20_000).groupBy((F.col("id") % 999).alias("k")).count()
+    written = Workspace(spark, str(tmp_path)).write(rows, "counts")
+    cut = cut_lineage(spark.range(20_000).repartition(5, "id"))
+    assert not shuffled() - before
+    assert (written.count(), cut.count()) == (999, 20_000)
+    assert spark.conf.get(FREE_SHUFFLES) == "false"
+
+def test_results_in_turn_are_all_there(spark):
+    parts = [spark.range(n, n + 2) for n in range(0, 14, 2)]
+    assert sorted(r.id for r in in_turn(parts, 3).collect()) == [*range(14)]
+    assert "Union" not in in_turn(parts[:3], 3)._jdf.queryExecution().optimizedPlan().toString()
