@@ -205,7 +205,7 @@ def source_queries() -> dict[str, Query]:
             slice_sql(),
         ),
         "s14_store_pick": q(
-            lambda wh: slices.pick_stores(wh("dim_store"), wh("fct_order"), 4), "store_id:s catchment_tier:s orders:i rank_in_tier:i",
+            lambda wh: slices.pick_stores(wh("dim_store"), wh.unwritten("fct_order"), 4), "store_id:s catchment_tier:s orders:i rank_in_tier:i",
             """select store_id, catchment_tier, n as orders, r as rank_in_tier
                from (select *, row_number() over (partition by catchment_tier order by n desc, store_id) as r
                      from stores join (select store_id, count(*) as n from order_fact group by 1) using (store_id)) order by r, n desc, store_id limit 4""",
