@@ -14,6 +14,7 @@ from larder.plans import jobs
 from larder.quality import gate
 from larder.sources import feeds, seeds, slices, tables
 from larder.streaming import live
+from larder.workspace import freed_shuffles
 from suite.ctes_feeds import FEEDS
 from suite.ctes_jobs import JOBS
 from suite.ctes_models import MODELS
@@ -67,10 +68,12 @@ def streamed(wh, name: str, transform) -> DataFrame:
 
 
 def streamed_upsert(wh) -> DataFrame:
-    """The items lie in folders by day, so the semi-join reads the touched days only (dynamic partition pruning)."""
+    """What a rebuild reads of the items lies in folders by day, so the semi-join reads the touched days only (dynamic partition pruning)."""
     path = _fresh(wh, "upsert")
-    tables.replace_days(wh("fct_order_item"), f"{path}/items")
-    items = wh.spark.read.schema(wh("fct_order_item").schema).parquet(f"{path}/items")
+    read = wh.unwritten("fct_order_item").select("store_id", "sku_id", "date_day", "signed_qty", "net_revenue")
+    with freed_shuffles(wh.spark):
+        tables.replace_days(read, f"{path}/items")
+    items = wh.spark.read.schema(read.schema).parquet(f"{path}/items")
 
     def rebuild(days: DataFrame) -> DataFrame:
         rows = items.join(days, "date_day", "left_semi")

@@ -52,6 +52,8 @@ def _kept(wh):
     return {n for n in ("fct_order_item", "fct_order", "stg_pos__orders") if wh.has(n)}
 
 def test_customers_and_store_picks_write_no_lines_and_no_orders(spark, tmp_path):
+    from suite import sources
+
     with Warehouse(spark, TpchFeeds(spark, SMALL), Workspace(spark, str(tmp_path / "a"))) as wh:
         picked = slices.pick_stores(wh("dim_store"), wh.unwritten("fct_order"), 4)
         # The join with the lines does not change how many orders there are, so no line is read for it.
@@ -66,7 +68,9 @@ def test_customers_and_store_picks_write_no_lines_and_no_orders(spark, tmp_path)
         a, b = [df.select(*[F.round(c, 4) if t == "double" else c for c, t in people.dtypes]) for df in (people, from_written)]
         assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
         assert not wh.has("fct_order_item")
-
+        days = sources.streamed_upsert(wh)
+        assert not wh.has("fct_order_item")
+        assert days.agg(F.sum("units_sold")).first()[0] == wh("fct_order_item").agg(F.sum("signed_qty")).first()[0]
 
 def test_values_that_follow_from_the_row_are_computed_on_reading(spark, tmp_path):
     workspace = Workspace(spark, str(tmp_path))
