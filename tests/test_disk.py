@@ -18,6 +18,7 @@ from tests.conftest import SMALL
 
 D, TS = date(2025, 3, 1), datetime(2025, 3, 1, 9, 0)
 
+
 def test_sold_days_come_in_a_file_a_day_and_no_line_is_kept_as_state(spark, tmp_path):
     root, path, facts, log = (str(tmp_path / n) for n in ("raw", "days", "lines", "log"))
     orders = [(f"o{n}", "S", "C", TS + timedelta(n % 3), TS, TS, False, "upi", 1, D + timedelta(n % 3)) for n in range(60)]
@@ -35,6 +36,7 @@ def test_sold_days_come_in_a_file_a_day_and_no_line_is_kept_as_state(spark, tmp_
     assert all(len([*day.glob("*.parquet")]) == 1 for day in (tmp_path / "days").glob("date_day=*"))
     assert not [*(tmp_path / "log" / "state").rglob("*keyWithIndex*")]  # what a join of streams keeps
 
+
 def test_a_batch_that_runs_again_adds_its_lines_once(spark, tmp_path):
     facts = str(tmp_path)
     rows = [(0, "line", "a", None, "K", 2, 4.0, TS, D), (1, "order", "a", "S", None, None, None, TS, D), (1, "line", "a", None, "L", 1, 4.0, TS, D),
@@ -48,9 +50,11 @@ def test_a_batch_that_runs_again_adds_its_lines_once(spark, tmp_path):
 
     assert [added(n) for n in (0, 1, 2, 1)] == [[], ["K", "L"], ["M"], ["K", "L"]]
 
+
 def _kept(wh):
     return {n for n in ("fct_order_item", "fct_order", "stg_pos__orders") if wh.has(n)}
 
+
 def test_customers_and_store_picks_write_no_lines_and_no_orders(spark, tmp_path):
     from suite import sources
 
@@ -72,6 +76,7 @@ def test_customers_and_store_picks_write_no_lines_and_no_orders(spark, tmp_path)
         assert not wh.has("fct_order_item")
         assert days.agg(F.sum("units_sold")).first()[0] == wh("fct_order_item").agg(F.sum("signed_qty")).first()[0]
 
+
 def test_values_that_follow_from_the_row_are_computed_on_reading(spark, tmp_path):
     workspace = Workspace(spark, str(tmp_path))
     with Warehouse(spark, TpchFeeds(spark, SMALL), workspace) as wh:
@@ -81,6 +86,7 @@ def test_values_that_follow_from_the_row_are_computed_on_reading(spark, tmp_path
             assert not follows & set(spark.read.parquet(workspace.path(name)).columns)
             assert kept.exceptAll(plan).isEmpty() and plan.exceptAll(kept).isEmpty()
 
+
 def test_a_written_table_and_a_cut_leave_no_shuffle_files(spark, tmp_path):
     def shuffled():
         time.sleep(1)  # files are removed in the background
@@ -95,7 +101,17 @@ def test_a_written_table_and_a_cut_leave_no_shuffle_files(spark, tmp_path):
     assert (written.count(), cut.count()) == (999, 20_000)
     assert spark.conf.get(FREE_SHUFFLES) == "false"
 
+
 def test_results_in_turn_are_all_there(spark):
     parts = [spark.range(n, n + 2) for n in range(0, 14, 2)]
     assert sorted(r.id for r in in_turn(parts, 3).collect()) == [*range(14)]
     assert "Union" not in in_turn(parts[:3], 3)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_checks_work_the_raw_lines_out_once(spark, tmp_path, monkeypatch):
+    calls = []
+    monkeypatch.setattr(rules, "_raw_lines", lambda wh, given=rules._raw_lines: (calls.append(1), given(wh))[1])
+    with Warehouse(spark, TpchFeeds(spark, SMALL), Workspace(spark, str(tmp_path))) as wh:
+        names = ["agg_revenue_ties_to_raw_order_totals", "order_items_tie_to_the_raw_feed", "returns_reconcile_across_encodings"]
+        assert {(r.check_name, r.failed_rows) for r in rules.singular_tests(wh, names).collect()} == {(n, 0) for n in names}
+        assert len(calls) == 1 and all(wh.has(t) for t in rules.LINE_TABLES)
